@@ -7,7 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .exact_dedup import exact_groups
+from .packing import pack_documents
+from .quality import quality_verdicts
+from .secrets import scan_secrets
 from .substring_dedup import remove_repeats
+from .toxicity import toxicity_scores
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +40,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_packing": op7_packing,
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": f"""
+        with d as (select distinct doc_id, {_LOWERED} as t from documents where doc_id is not null),
+             g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
+        from d join g using (t)""",
+}

@@ -8,7 +8,7 @@ its members.  So for any two places i, j there is a shift d < 13 with i+d and j+
 and two equal windows of 20 words share the 8 words that start there.  Only cover places are hashed
 (4 of 13); a window can be repeated only if it holds an anchor that occurs twice.
 
-Extension.  Only windows around repeated anchors are hashed in full (128 bits) and grouped; of each
+Extension.  Only windows around repeated anchors are hashed in full (96 bits) and grouped; of each
 group the earliest start stays and the others are removed.  No pairs are made: a group costs one entry
 for each batch of documents that holds it, because a batch merges its own repetitions first.
 
@@ -43,12 +43,10 @@ def remove_repeats(documents: DataFrame, length: int = 20, with_text: bool = Fal
     if anchor < 1:
         raise ValueError(f"length must be at least {PERIOD}")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    buckets = shuffle_buckets(documents.sparkSession)
-    by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    anchors = docs.mapInArrow(_anchor_packets(anchor, buckets), packets.PACKET)
-    repeated = by_doc(anchors.repartition("bucket").mapInArrow(_repeated, packets.REPLY))
+    buckets = shuffle_buckets(documents.sparkSession, 1)
+    repeated = packets.answered(docs.mapInArrow(_anchor_packets(anchor, buckets), packets.PACKET), _repeated, buckets)
     around = docs.join(repeated, "doc_id").mapInArrow(_window_packets(length, buckets), packets.PACKET)
-    later = by_doc(around.repartition("bucket").mapInArrow(_later, packets.REPLY))
+    later = packets.answered(around, _later, buckets)
     schema = RESULT + (", text string" if with_text else "")
     return docs.join(later, "doc_id", "left").mapInArrow(_kept(length, with_text), schema)
 
@@ -78,22 +76,19 @@ def _anchor_packets(k: int, buckets: int):
                 first[1:] = key[1:] != key[:-1]
                 again = ~first
                 again[:-1] |= ~first[1:]
-                yield from packets.known(buckets, doc[again], pos[again])
+                yield from packets.by_document(buckets, doc[again], pos[again])
                 yield from packets.split(buckets, key[first], doc[first], pos[first])
 
     return run
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for kind, (key, _, doc, pos) in packets.gathered(batches):
-        if kind == packets.ASK:
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            same[:-1] |= same[1:]
-            doc, pos = doc[order[same]], pos[order[same]]
-        yield from packets.replies(doc, pos)
+def _repeated(key: np.ndarray, _: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    return doc[order[same]], pos[order[same]]
 
 
 def _not_first(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,24 +117,21 @@ def _window_packets(length: int, buckets: int):
                 at = np.flatnonzero(whole & (np.cumsum(begin[:-1]) > 0))
                 counts = np.diff(w.first)
                 pos = np.arange(len(hashed)) - np.repeat(w.first[:-1], counts)
-                for held, values in zip(found, (hashed[at], windows(w.hash, w.first, length, 1)[0][at], np.repeat(ids[i:j], counts)[at], pos[at].astype(np.int32)), strict=True):
+                for held, values in zip(found, (hashed[at], windows(w.hash, w.first, length, 1)[0][at].astype(np.uint32), np.repeat(ids[i:j], counts)[at], pos[at].astype(np.int32)), strict=True):
                     held.append(values)
             if found[0]:
                 key, key2, doc, pos = map(np.concatenate, found)
                 order, first, later = _not_first(key, key2, doc, pos)
                 gone, kept = order[later], order[first]
-                yield from packets.known(buckets, doc[gone], pos[gone])
+                yield from packets.by_document(buckets, doc[gone], pos[gone])
                 yield from packets.split(buckets, key[kept], doc[kept], pos[kept], key2[kept])
 
     return run
 
 
-def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for kind, (key, key2, doc, pos) in packets.gathered(batches):
-        if kind == packets.ASK:
-            order, _, later = _not_first(key, key2, doc, pos)
-            doc, pos = doc[order[later]], pos[order[later]]
-        yield from packets.replies(doc, pos)
+def _later(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order, _, later = _not_first(key, key2, doc, pos)
+    return doc[order[later]], pos[order[later]]
 
 
 def _kept(length: int, with_text: bool):

@@ -12,6 +12,10 @@ import numpy as np
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators of terms: every ASCII character but letters and digits.
+PLAIN = np.zeros(256, bool)
+PLAIN[:128] = True
+PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C55
@@ -42,7 +46,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray):
+def _segments(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
     """Byte ranges that end at a document's end or after a separator."""
     n, a = len(data), 0
     while a < n:
@@ -50,11 +54,11 @@ def _segments(data: np.ndarray, offsets: np.ndarray):
         if b < n:
             at = int(offsets[np.searchsorted(offsets, b, "right") - 1])
             if at <= a:
-                gaps = np.flatnonzero(SEPARATOR[data[a:b]])
+                gaps = np.flatnonzero(separator[data[a:b]])
                 if len(gaps):
                     at = a + int(gaps[-1]) + 1
                 else:
-                    later = np.flatnonzero(SEPARATOR[data[b:]])
+                    later = np.flatnonzero(separator[data[b:]])
                     end = int(offsets[np.searchsorted(offsets, a, "right")])
                     at = min(end, b + int(later[0]) + 1) if len(later) else end
             b = at
@@ -67,11 +71,11 @@ class Words:
 
     __slots__ = ("hash", "start", "end", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, separator: np.ndarray = SEPARATOR) -> None:
         hs, ss, es = [], [], []
-        for a, b in _segments(data, offsets):
+        for a, b in _segments(data, offsets, separator):
             part = FOLD[data[a:b]] if fold else data[a:b]
-            word = ~SEPARATOR[part]
+            word = ~separator[part]
             first = word.copy()
             first[1:] &= ~word[:-1]
             last = word.copy()
@@ -84,11 +88,10 @@ class Words:
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             ss.append(s + a)
             es.append(e + a)
-            if hashes:
-                up, down = _power_tables(b - a + 1)
-                sums = np.zeros(b - a + 1, U)
-                np.cumsum((part.astype(U) + U(1)) * up[: b - a], out=sums[1:])
-                hs.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+            up, down = _power_tables(b - a + 1)
+            sums = np.zeros(b - a + 1, U)
+            np.cumsum((part.astype(U) + U(1)) * up[: b - a], out=sums[1:])
+            hs.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
         self.start = np.concatenate(ss) if ss else np.zeros(0, np.int64)
         self.end = np.concatenate(es) if es else np.zeros(0, np.int64)
         self.hash = np.concatenate(hs) if hs else np.zeros(0, U)

@@ -32,7 +32,7 @@ def unplaned(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(np.frombuffer(data, np.uint8).reshape(size, -1).T.tobytes(), kind)
 
 
-def _rows(at: np.ndarray, kind: int, columns: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+def of_sorted(at: np.ndarray, kind: int, columns: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
     """Packets of entries that are sorted by their bucket."""
     cuts = np.flatnonzero(np.diff(at)) + 1
     begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
@@ -42,11 +42,11 @@ def _rows(at: np.ndarray, kind: int, columns: list[np.ndarray | None]) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
 
-def split(buckets: int, key: np.ndarray, doc: np.ndarray, pos: np.ndarray, key2: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def split(buckets: int, key: np.ndarray, doc: np.ndarray, pos: np.ndarray, key2: np.ndarray | None = None, kind: int = ASK) -> Iterator[pa.RecordBatch]:
     """Packets of entries sorted by key; a bucket is a range of the key's upper bits."""
     if len(key):
         at = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-        yield from _rows(at, ASK, [key, key2, doc, pos])
+        yield from of_sorted(at, kind, [key, key2, doc, pos])
 
 
 def by_document(buckets: int, doc: np.ndarray, pos: np.ndarray, kind: int = KNOWN) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def by_document(buckets: int, doc: np.ndarray, pos: np.ndarray, kind: int = KNOW
     if len(doc):
         at = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(at, kind="stable")
-        yield from _rows(at[order], kind, [None, None, doc[order], pos[order]])
+        yield from of_sorted(at[order], kind, [None, None, doc[order], pos[order]])
 
 
 def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:

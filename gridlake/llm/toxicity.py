@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fit (on at most `sample_rows` labelled rows outside the held-out fold, chosen by a hash of their id): terms
-whose share differs between toxic and other examples beyond chance (G-squared) become the vocabulary.
+that at least `least_share` of them hold and whose share differs between toxic and other examples beyond
+chance (G-squared) become the vocabulary.
 IDF is counted over all documents.  Score (every whole text): the `k` nearest examples by cosine vote with
 their similarity as weight; a monotone map from votes to label rates, fitted on leave-one-out votes of the
 examples, makes a calibrated score.  A text without vocabulary terms gets the label rate of such examples.
@@ -170,7 +171,7 @@ class Model:
         return float(np.interp(v, *self.curve)) if self.curve else v, v, near
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_docs: int = 5, least_g: float = 20.0, k: int = 15, folds: int = 5) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.01, least_g: float = 20.0, k: int = 15, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, vote, evidence (the nearest examples) of every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)))
@@ -179,7 +180,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["__id"])  # sample_rows pairs of integers at most
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, fine = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    terms = joined.select("text", "toxic").mapInArrow(_label_counts, "term long, bad long, fine long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(f"bad + fine >= {least_docs}")
+    terms = joined.select("text", "toxic").mapInArrow(_label_counts, "term long, bad long, fine long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(f"bad + fine >= {max(5.0, least_share * (bad + fine))}")
     chosen = terms.withColumn("g", _g_squared(bad, fine)).where(f"g >= {least_g}").orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect() if bad and fine else []
     vocabulary = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
     counted = cut(docs.mapInArrow(_counted(vocabulary), "doc_id long, held_out boolean, terms binary, counts binary"))

@@ -3,7 +3,9 @@
 Fit (on at most `sample_rows` labelled rows outside the held-out fold, chosen by a hash of their id): terms
 that at least `least_share` of them hold and whose share differs between toxic and other examples beyond
 chance (G-squared) become the vocabulary.
-IDF is counted over all documents.  Score (every whole text): the `k` nearest examples by cosine vote with
+Terms are words and their beginnings.  One more term, which every document has as often as it has words,
+keeps a stray vocabulary word in a long text apart from a text full of them.  IDF is counted over all
+documents.  Score (every whole text): the `k` nearest examples by cosine vote with
 their similarity as weight; a monotone map from votes to label rates, fitted on leave-one-out votes of the
 examples, makes a calibrated score.  A text without vocabulary terms gets the label rate of such examples.
 
@@ -32,22 +34,28 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, vote doubl
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
-def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term hashes of a chunk and the document each belongs to."""
-    w = Words(data, offsets, fold=True, separator=PLAIN)
-    return w.hash, np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+#: Terms are words and their beginnings of so many bytes, which catch a stem under many endings.
+PREFIXES = (4, 5, 6, 7, 8)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First document of a chunk, term hashes, the document each belongs to, and words of each document."""
     data, offsets = strings(batch.column("text"))
     for i, j in doc_chunks(offsets):
-        yield i, j, *_terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold=True, separator=PLAIN, prefixes=PREFIXES)
+        doc = np.repeat(np.arange(j - i), np.diff(w.first))
+        parts, of = [w.hash], [doc]
+        for p in w.prefix:
+            at = np.flatnonzero(p)
+            parts.append(p[at])
+            of.append(doc[at])
+        yield i, np.concatenate(parts), np.concatenate(of), np.diff(w.first)
 
 
 def _label_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy()
-        for i, _, term, doc in _chunks(batch):
+        for i, term, doc, _ in _chunks(batch):
             pair = np.unique(np.stack([term, doc.astype(np.uint64)]), axis=1) if len(term) else np.zeros((2, 0), np.uint64)
             names, inverse = np.unique(pair[0], return_inverse=True)
             marked = np.bincount(inverse, toxic[i + pair[1].astype(np.int64)] == 1, len(names))
@@ -56,13 +64,13 @@ def _label_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _counted(vocabulary: np.ndarray):
-    """Term numbers and counts of each document, for the vocabulary's terms only."""
+    """Term numbers and counts of each document that has vocabulary terms, its number of words last."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[bytes] = [b""] * batch.num_rows
             counts: list[bytes] = [b""] * batch.num_rows
-            for i, _, term, doc in _chunks(batch):
+            for i, term, doc, words in _chunks(batch):
                 if len(vocabulary) and len(term):
                     at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
                     hit = vocabulary[at] == term
@@ -71,8 +79,8 @@ def _counted(vocabulary: np.ndarray):
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]])
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                         if a < b:
-                            found[i + docs[a]] = (pair[a:b] % len(vocabulary)).astype(np.int32).tobytes()
-                            counts[i + docs[a]] = n[a:b].astype(np.int32).tobytes()
+                            found[i + docs[a]] = np.append(pair[a:b] % len(vocabulary), len(vocabulary)).astype(np.int32).tobytes()
+                            counts[i + docs[a]] = np.append(n[a:b], words[docs[a]]).astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "held_out", "terms", "counts"])
 
     return run
@@ -171,7 +179,7 @@ class Model:
         return float(np.interp(v, *self.curve)) if self.curve else v, v, near
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.01, least_g: float = 20.0, k: int = 15, folds: int = 5) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.005, least_g: float = 30.0, k: int = 25, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, vote, evidence (the nearest examples) of every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)))
@@ -186,7 +194,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     counted = cut(docs.mapInArrow(_counted(vocabulary), "doc_id long, held_out boolean, terms binary, counts binary"))
     seen = {r[0]: r[1] for r in counted.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term long, docs long").groupBy("term").agg(F.sum("docs")).collect()}
     total = seen.get(len(vocabulary), 0)
-    idf = np.array([np.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in range(len(vocabulary))])
+    idf = np.array([np.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in range(len(vocabulary))] + [1.0])  # the last: all words
     rows = counted.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "toxic", "terms", "counts").collect()
     read = lambda b: np.frombuffer(bytes(b), np.int32)
     examples = {r[0]: (r[0], r[1], read(r[2]), read(r[3])) for r in rows}

@@ -67,12 +67,15 @@ def _segments(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
 
 
 class Words:
-    """start, end: byte places of each word; first: index of each document's first word, n+1 long."""
+    """start, end: byte places of each word; first: index of each document's first word, n+1 long.
 
-    __slots__ = ("hash", "start", "end", "first")
+    prefix: for each asked number of bytes, hashes of the words' beginnings (0 where the word is not longer)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, separator: np.ndarray = SEPARATOR) -> None:
+    __slots__ = ("hash", "start", "end", "first", "prefix")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, separator: np.ndarray = SEPARATOR, prefixes: tuple[int, ...] = ()) -> None:
         hs, ss, es = [], [], []
+        ps: list[list[np.ndarray]] = [[] for _ in prefixes]
         for a, b in _segments(data, offsets, separator):
             part = FOLD[data[a:b]] if fold else data[a:b]
             word = ~separator[part]
@@ -92,9 +95,12 @@ class Words:
             sums = np.zeros(b - a + 1, U)
             np.cumsum((part.astype(U) + U(1)) * up[: b - a], out=sums[1:])
             hs.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+            for k, held in zip(prefixes, ps, strict=True):
+                held.append(np.where(e - s > k, mix((sums[np.minimum(s + k, e)] - sums[s]) * down[s] + U(k << 32)), U(0)))
         self.start = np.concatenate(ss) if ss else np.zeros(0, np.int64)
         self.end = np.concatenate(es) if es else np.zeros(0, np.int64)
         self.hash = np.concatenate(hs) if hs else np.zeros(0, U)
+        self.prefix = [np.concatenate(held) if held else np.zeros(0, U) for held in ps]
         self.first = np.searchsorted(self.start, offsets, "left")
 
 

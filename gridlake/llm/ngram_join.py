@@ -16,8 +16,10 @@ few or no shingles, on which unrelated sets would agree, are left out.  No link
 Candidates.  Signatures travel in packets.  Groups of up to `small` documents give all pairs; larger ones
 give a star around their smallest document.  Pairs pass a sound filter first (parities of hashed shingles:
 two sets cannot differ in fewer shingles than their parities do) and are then verified on the sets
-themselves.  For larger groups whose members are not yet in one component, all pairs across components
-are made and verified in a second round, so nothing a star misses is lost.
+themselves.  Large groups whose members are not yet in one component go on: a few rounds pair members at
+random, a linear number of pairs, which joins what is densely linked; then every member is compared with
+every one of another component, by parities, in blocks of bounded size within tasks, and only pairs that
+pass are made and verified.  So no pair across components stays unchecked and no link is lost.
 
 Null or empty text: an empty set, linked with nothing.  Fewer words than `width`: the whole sequence is one
 shingle.  Rows without doc_id are left out; rows that repeat a doc_id share its component.  Other columns
@@ -40,6 +42,7 @@ from .words import Words, mix, windows
 
 U = np.uint64
 SMALL = 6
+_RANDOM_ROUNDS, _BLOCK = 2, 512
 _SPARE = 1.2
 _LOW48 = U((1 << 48) - 1)
 
@@ -79,8 +82,8 @@ def _prints(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketch(values: np.ndarray) -> bytes:
-    """Parities of hashed shingles: as many bits as the next power of two of the set's size, 64 at least."""
-    size = max(64, 1 << (len(values) - 1).bit_length()) if len(values) else 64
+    """Parities of hashed shingles: eight bits or more for each shingle, a power of two in all, 512 at least."""
+    size = max(512, 8 << (len(values) - 1).bit_length()) if len(values) else 512
     return np.packbits(np.bincount((values & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -216,8 +219,7 @@ def _plausible(percent: int):
             keep = []
             for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
                 x, y, m = int.from_bytes(sa, "little"), int.from_bytes(sb, "little"), 8 * min(len(sa), len(sb))
-                for _ in range(2):  # sizes within a factor of two: one fold at most
-                    x, y = (x ^ x >> m) & ((1 << m) - 1), (y ^ y >> m) & ((1 << m) - 1)
+                x, y = (x ^ x >> m) & ((1 << m) - 1), (y ^ y >> m) & ((1 << m) - 1)  # sizes within a factor of two: one fold at most
                 keep.append((x ^ y).bit_count() * (100 + percent) <= (na + nb) * (100 - percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -285,17 +287,111 @@ def similarity_components(documents: DataFrame, width: int = 5, percent: int = 8
     labels = components(linked)
     large = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("key"))
     if not large.isEmpty():
-        at = to_rep(large, "doc").distinct().join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        at = cut(at)
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = at.join(mixed, "key", "left_semi")
-        across = left.toDF("key", "a", "ca").join(left.toDF("key", "b", "cb"), "key").where("ca < cb").select("a", "b").distinct()
-        more = cut(links(across))
-        if not more.isEmpty():
-            labels = components(linked.union(more))
+        entries = cut(to_rep(large, "doc").distinct())
+        for step in range(_RANDOM_ROUNDS + 1):
+            mixed = _mixed(entries, labels)
+            if step < _RANDOM_ROUNDS:
+                more = cut(links(_random_pairs(mixed, step)))
+            else:
+                sized = mixed.join(sketches.toDF("doc", "n", "sketch"), "doc")
+                more = cut(links(_blocks(sized).mapInArrow(_across(percent), "a long, b long")))
+            if not more.isEmpty():
+                linked = linked.union(more)
+                labels = components(linked)
+            elif step < _RANDOM_ROUNDS and mixed.isEmpty():
+                break
     return members.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, doc, component, size (of the key's group), main (its most frequent component) of groups of several components."""
+    at = entries.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    counts = at.groupBy("key", "component").agg(F.count("*").alias("k"))
+    keys = counts.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
+    return cut(at.join(keys.where("parts > 1").select(F.col("key").alias("__key"), "size", "main"), F.col("key") == F.col("__key")).drop("__key"))
+
+
+def _random_pairs(mixed: DataFrame, step: int) -> DataFrame:
+    """About half as many pairs as members, across components: members that fall into one of `size` slots."""
+    slot = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("size"))
+    few = mixed.groupBy("key", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("m")).where("size(m) > 1")
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y.doc > x.doc) & (y.component != x.component)), lambda y: F.struct(x.doc.alias("a"), y.doc.alias("b")))))
+    return few.select(F.inline(pairs)).distinct()
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """Members dealt to pairs of blocks (one, two) of their group, sorted by group and pair.
+
+    Blocks of the main component meet only the others; the others meet all."""
+    rest = F.col("component") != F.col("main")
+    sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others")).withColumnRenamed("key", "__key")
+    m = mixed.join(sides, F.col("key") == F.col("__key")).drop("__key")
+    n_rest = F.ceil(F.col("others") / _BLOCK).cast("int")
+    n_main = F.ceil((F.col("size") - F.col("others")) / _BLOCK).cast("int")
+    own = F.when(rest, F.pmod(F.xxhash64("doc"), n_rest)).otherwise(n_rest + F.pmod(F.xxhash64("doc"), n_main)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(rest, n_rest + n_main).otherwise(n_rest) - 1)
+    dealt = m.withColumn("own", own).withColumn("other", F.explode(meets)).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    return dealt.select("key", "one", "two", "own", "doc", "component", "n", "sketch").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+
+def _across(percent: int):
+    """Pairs of one pair of blocks that may link, across components."""
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, part, n, own = (rows.column(c).to_numpy() for c in ("doc", "component", "n", "own"))
+        raw = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        width = min(map(len, raw))
+        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in raw])
+        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(left), 64):
+            x = left[i : i + 64]
+            apart = np.zeros((len(x), len(right)), np.int64)
+            for j in range(width):
+                apart += np.bitwise_count(bits[x, j][:, None] ^ bits[right, j][None, :])
+            total = n[x][:, None] + n[right][None, :]
+            close = (apart * (100 + percent) <= total * (100 - percent)) & (part[x][:, None] != part[right][None, :])
+            close &= 100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])
+            p, q = np.nonzero(close)
+            a.append(doc[x[p]])
+            b.append(doc[right[q]])
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for group in runs(batches, ("key", "one", "two")):
+            a, b = compare(group)
+            pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - seen
+            if len(seen) < 1_000_000:  # only saves repetitions; the pairs are made distinct later
+                seen |= pairs
+            if pairs:
+                one, two = zip(*sorted(pairs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Groups of rows with equal keys out of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in keys], axis=1)
+        begins = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            key = tuple(columns[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows and columns; of each component the document with the smallest doc_id stays."""
     kept = similarity_components(documents, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))

@@ -1,6 +1,6 @@
 """Vector tiles: the byte format of the public vector-tile specification 2.1, and its aggregate.
 
-tiles() clips and scales features to their tile, groups them by (z, x, y, layer) and encodes each group.
+tiles() clips and scales features to their tile, sorts them by tile and encodes each run of a tile.
 A tile is one value and must fit in memory by its nature; layers that would overfill coarse tiles start at a
 finer minzoom.  Features are scaled and clipped before the shuffle, so what travels is already tile-sized.
 """
@@ -19,6 +19,7 @@ from . import geometry
 from .vector import BUFFER, EXTENT, envelope, tile_cover
 
 MOVE, LINE, CLOSE = 1, 2, 7
+_TILE_COLUMNS = ["z", "x", "y", "layer", "data"]
 
 
 def _varint(n: int) -> bytes:
@@ -206,12 +207,31 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
                 out.append(None if shape is None else geometry.write(shape))
             yield rows.assign(**{wkb: out})[rows.columns][[o is not None for o in out]]
 
-    def encoded(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([fid] if fid else [wkb])
-        found = ((r[fid] if fid else None, geometry.read(bytes(r[wkb])), {a: r[a] for a in attributes}) for r in rows.to_dict("records"))
-        return pd.DataFrame({"z": rows["z"][:1], "x": rows["x"][:1], "y": rows["y"][:1], "layer": layer, "data": [encode_layer(layer, found, extent)]})
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        last, out = None, []
 
-    return covered.mapInPandas(scaled, covered.schema).groupBy("z", "x", "y").applyInPandas(encoded, "z int, x int, y int, layer string, data binary")
+        def tile() -> tuple:
+            found = ((r[3], geometry.read(bytes(r[4])), dict(zip(attributes, r[5:], strict=True))) for r in held)
+            return *last, layer, encode_layer(layer, found, extent)
+
+        for rows in batches:
+            if not fid:
+                rows = rows.assign(__fid=None)
+            for r in rows[["z", "x", "y", fid or "__fid", wkb, *attributes]].itertuples(index=False, name=None):
+                if r[:3] != last:
+                    if held:
+                        out.append(tile())
+                    held, last = [], r[:3]
+                held.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=_TILE_COLUMNS)
+                out = []
+        if held:
+            yield pd.DataFrame([tile()], columns=_TILE_COLUMNS)
+
+    placed = covered.mapInPandas(scaled, covered.schema).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", fid or wkb)
+    return placed.mapInPandas(encoded, "z int, x int, y int, layer string, data binary")
 
 
 def concat_layers(layers: Sequence[DataFrame]) -> DataFrame:

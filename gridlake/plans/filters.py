@@ -86,7 +86,7 @@ class Filters:
         if op == "like":
             self._need(op, args, 2, 3)
             options = args[2] if len(args) == 3 else {}
-            return self._left(args[0]).like(like_pattern(args[1], options.get("wildCard", "%")), "\\")
+            return F.like(self._left(args[0]), F.lit(like_pattern(args[1], options.get("wildCard", "%"))), F.lit("\\"))
         if op == "between":
             self._need(op, args, 3, 3)
             return self._left(args[0]).between(self._value(args[1]), self._value(args[2]))

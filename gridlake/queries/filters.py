@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.filters import INTERVALS, Filters
 from ..sources.derived import view
-from .registry import query
+from .registry import query, real
 
 POLYGON = {n: n for n in ("building", "aeroway", "landuse", "admin_level", "id", "xmin", "ymin", "xmax", "ymax")} | {"use": "landuse"}
 POINT = {n: n for n in ("id", "place", "user_id", "ts", "value", "lng", "lat")}
@@ -14,7 +14,8 @@ DWITHIN = "greatest(xmin - 1000000, 0, 1000000 - xmax) * greatest(xmin - 1000000
 _BOX = "xmin <= 3000000 and xmax >= -2000000 and ymin <= 2500000 and ymax >= -1500000"
 _IN = "xmin >= -2000000 and xmax <= 3000000 and ymin >= -1500000 and ymax <= 2500000"
 _MEET = "xmin < 3000000 and xmax > -2000000 and ymin < 2500000 and ymax > -1500000"
-_HOLDS = "xmin <= 0 and xmax >= 10 and ymin <= 0 and ymax >= 10"
+_HOLDS = "xmin <= -20000000 and xmax >= -19999990 and ymin <= -20000000 and ymax >= -19999990"
+_EDGE = f"xmin {{0}} -19900000 and xmax {{1}} {real(-19988205.4)} and ymin {{0}} -19900000 and ymax {{1}} -20000000"
 B = [-2e6, -1.5e6, 3e6, 2.5e6]
 
 #: name -> (table, expression, the same condition in SQL)
@@ -45,9 +46,9 @@ EXPRESSIONS: dict[str, tuple[str, list, str]] = {
     "jfe_spatial_intersects": ("polygons", ["intersects", B], _BOX),
     "jfe_spatial_disjoint": ("polygons", ["disjoint", B], f"not ({_BOX})"),
     "jfe_spatial_within": ("polygons", ["within", B], _IN),
-    "jfe_spatial_contains": ("polygons", ["contains", [0, 0, 10, 10]], _HOLDS),
+    "jfe_spatial_contains": ("polygons", ["contains", [-2e7, -2e7, -19999990.0, -19999990.0]], _HOLDS),
     "jfe_spatial_overlaps": ("polygons", ["overlaps", B], f"{_MEET} and not ({_IN}) and not (xmin <= -2000000 and xmax >= 3000000 and ymin <= -1500000 and ymax >= 2500000)"),
-    "jfe_spatial_touches": ("polygons", ["touches", B], f"{_BOX} and not ({_MEET})"),
+    "jfe_spatial_touches": ("polygons", ["touches", [-19988205.4, -2e7, -1.99e7, -1.99e7]], f"{_EDGE.format('<=', '>=')} and not ({_EDGE.format('<', '>')})"),
     "jfe_dwithin": ("polygons", ["dwithin", 1e6, -5e5, 2e6], DWITHIN),
     "jfe_beyond": ("polygons", ["beyond", 1e6, -5e5, 2e6], f"not ({DWITHIN})"),
     "jfe_temporal_before": ("points", ["before", "ts", "2024-02-01 00:00:00"], "ts < timestamp '2024-02-01 00:00:00'"),

@@ -65,7 +65,7 @@ def tile_latlon_bounds(spark, sf_dir):
     return t.select("z", "tx", "ty", *(milli(b, 10**7).alias(n) for b, n in zip(grid.tile_lonlat_bounds(c("tx"), c("ty"), c("z")), "swne")))
 
 
-@query(f"""select id, z, coalesce(array_to_string(list_transform(range(z - 1, -1, -1), i -> cast(((tx >> i) & 1) + 2 * (((cast(pow(2, z) as int) - 1 - ty) >> i) & 1) as varchar)), ''), '') as quadkey
+@query(f"""select id, z, coalesce(array_to_string(list_transform(range(z - 1, -1, -1), lambda i: cast(((tx >> i) & 1) + 2 * (((cast(pow(2, z) as int) - 1 - ty) >> i) & 1) as varchar)), ''), '') as quadkey
 from {_tiles_sql(0, 5, 11)} where tx >= 0 and ty >= 0""")
 def quadkey(spark, sf_dir):
     return _tiles(spark, sf_dir, 0, 5, 11).where("tx >= 0 and ty >= 0").select("id", "z", grid.quadkey(c("tx"), c("ty"), c("z")).alias("quadkey"))
@@ -146,7 +146,7 @@ def stride3_plan_down(spark, sf_dir):
     return _ranges(spark, sf_dir).select("id", "z", F.explode(grid.stride_down(c("tmaxy"), F.lit(-1))).alias("ty"))
 
 
-@query("""select id, cast(n as int) as n_levels, coalesce(array_to_string(list_transform(range(1, cast(n as bigint) + 1), i -> cast(cast(pow(2, i) as int) as varchar)), ','), '') as levels
+@query("""select id, cast(n as int) as n_levels, coalesce(array_to_string(list_transform(range(1, cast(n as bigint) + 1), lambda i: cast(cast(pow(2, i) as int) as varchar)), ','), '') as levels
 from (select id, ceil(log2(greatest(floor(xsize / 256.0), floor(ysize / 256.0), 1))) as n from fx_rasters)""")
 def overview_levels(spark, sf_dir):
     levels = grid.overview_levels(c("xsize"), c("ysize"))

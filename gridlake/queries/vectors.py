@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
-from ..operators import mvt
+from ..operators import geometry, mvt
 from ..operators import vector as V
 from ..sources.derived import view
 from .grids import COVER_SQL
@@ -112,12 +114,7 @@ def device_tracks(spark, sf_dir):
 
 
 def with_shapes(boxes):
-    """WKB rectangles of the box columns, made of bytes in the JVM-free Arrow path."""
-    import numpy as np
-    import pandas as pd
-
-    from ..operators import geometry
-
+    """WKB rectangles of the box columns, one Arrow batch at a time."""
     @F.pandas_udf("binary")
     def shape(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([geometry.write((3, [np.array([(p, q), (r, q), (r, s), (p, s), (p, q)])])) for p, q, r, s in zip(a, b, x, y, strict=True)])

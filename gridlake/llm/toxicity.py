@@ -100,44 +100,68 @@ def _frequencies(size: int):
     return run
 
 
-class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors behind per-term postings with block maxima."""
+_TIES = 20  # low bits of a key: the example's rank by id, so equal similarities have an order
+_TOP = (1 << _TIES) - 1
+
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], terms: int, block: int = 64) -> None:
+class BlockMaxIndex:
+    """Examples as unit TF-IDF vectors behind per-term postings, cut into blocks with the largest weight of each."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], terms: int, block: int = 256) -> None:
+        if len(ids) > _TOP:
+            raise ValueError(f"more than {_TOP} examples")
+        rank = np.argsort(np.argsort(np.array(ids, np.int64), kind="stable"), kind="stable")
+        by_rank = np.argsort(rank)
+        self.ids, self.labels = np.array(ids, np.int64)[by_rank], np.array(labels)[by_rank]
+        # examples of the same main term stand together, which keeps the bounds of other blocks low
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
-        self.ids, self.labels, self.block = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order]), block
+        self.place = np.empty(len(ids), np.int64)
+        self.place[order] = np.arange(len(ids))
+        self.rank, self.block, self.terms = rank[order], block, terms
         self.blocks = -(-len(ids) // block)
-        posts: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for at, i in enumerate(order):
-            for t, v in zip(*vectors[i], strict=True):
-                posts[t].append((at, v))
-        self.example = [np.array([a for a, _ in p], np.int64) for p in posts]
-        self.weight = [np.array([v for _, v in p]) for p in posts]
-        self.edges = [np.searchsorted(e, np.arange(self.blocks + 1) * block) for e in self.example]
+        term = np.concatenate([vectors[i][0] for i in order])
+        weight = np.concatenate([vectors[i][1] for i in order])
+        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by_block = np.lexsort((at, term, at // block))
+        self.term, self.weight, self.at = term[by_block], weight[by_block], at[by_block] % block
+        self.edges = np.searchsorted(at[by_block] // block, np.arange(self.blocks + 1))
         self.most = np.zeros((terms, self.blocks))
-        for t in range(terms):
-            np.maximum.at(self.most[t], self.example[t] // block, self.weight[t])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int, int]]:
-        """(similarity, id, label) of the k nearest with a similarity above 0, best first."""
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.edges[t][b], self.edges[t][b + 1]
-                if lo < hi:
-                    score[self.example[t][lo:hi] - b * self.block] += q * self.weight[t][lo:hi]
-            at = np.flatnonzero(score > 0)
-            near = [(float(s), i, y) for s, i, y in zip(score[at], self.ids[b * self.block + at].tolist(), self.labels[b * self.block + at].tolist(), strict=True) if i != skip]
-            best = sorted(best + near, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-
-def vote(near: list[tuple[float, int, int]]) -> float:
-    return sum(s * y for s, _, y in near) / sum(s for s, _, _ in near)
+        np.maximum.at(self.most, (term, at // block), weight)
+
+    def _postings(self, b: int) -> np.ndarray:
+        """Weights of a block's postings, by term and example."""
+        span = slice(self.edges[b], self.edges[b + 1])
+        out = np.zeros((self.terms, min(self.block, len(self.ids) - b * self.block)))
+        out[self.term[span], self.at[span]] = self.weight[span]
+        return out
+
+    def nearest(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and ranks (indexes of ids and labels) of each query's k nearest, best first; similarity 0 where there are fewer.
+
+        queries: unit vectors in rows; own: for each its number among the examples, to be left out."""
+        bounds = queries @ self.most
+        best = np.zeros((len(queries), k), np.int64)
+        for b in np.argsort(-bounds.max(0), kind="stable").tolist():
+            # rounding keeps a similarity within half a unit of the twelfth digit, so a lower bound cannot hide a neighbour
+            live = np.flatnonzero(bounds[:, b] >= (best[:, -1] >> _TIES) / 1e12 - 1e-9)
+            live = live[bounds[live, b] > 0]
+            if not len(live):
+                continue
+            keys = np.rint(queries[live] @ self._postings(b) * 1e12).astype(np.int64)
+            if own is not None:
+                inside = np.flatnonzero(self.place[own[live]] // self.block == b)
+                keys[inside, self.place[own[live[inside]]] % self.block] = 0
+            ranks = self.rank[b * self.block : b * self.block + keys.shape[1]]
+            keys = np.where(keys > 0, (keys << _TIES) | (_TOP - ranks), 0)
+            both = np.concatenate([best[live], keys], axis=1)
+            best[live] = -np.sort(np.partition(-both, k - 1, axis=1)[:, :k], axis=1)
+        return (best >> _TIES) / 1e12, np.where(best > 0, _TOP - (best & _TOP), 0)
+
+
+def votes(similar: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Share of the label among neighbours, weighted by similarity; nan without neighbours."""
+    total = similar.sum(1)
+    return np.where(total > 0, (similar * labels).sum(1) / np.where(total > 0, total, 1), np.nan)
 
 
 def monotone(votes: np.ndarray, labels: np.ndarray, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -157,30 +181,50 @@ def monotone(votes: np.ndarray, labels: np.ndarray, bins: int = 20) -> tuple[np.
 class Model:
     def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int) -> None:
         self.idf, self.k = idf, k
-        full = [(i, y, t, self.weights(t, c)) for i, y, t, c in examples if len(t)]
+        full = [x for x in examples if len(x[2])]
         empty = [y for _, y, t, _ in examples if not len(t)]
         self.bare = (sum(empty) + 0.5) / (len(empty) + 1) if empty else (sum(y for _, y, _, _ in examples) / len(examples) if examples else 0.0)
         self.index, self.curve = None, None
         if full:
-            self.index = BlockMaxIndex([(t, v) for _, _, t, v in full], [i for i, *_ in full], [y for _, y, *_ in full], len(idf))
-            loo = [(near, y) for i, y, t, v in full if (near := self.index.nearest(t, v, k, skip=i))]
-            if loo:
-                self.curve = monotone(np.array([vote(n) for n, _ in loo]), np.array([y for _, y in loo]))
+            self.index = BlockMaxIndex([(t, self.weights(t, c)) for _, _, t, c in full], [i for i, *_ in full], [y for _, y, *_ in full], len(idf))
+            loo, labels = [], np.array([y for _, y, *_ in full])
+            for a in range(0, len(full), 256):
+                part = full[a : a + 256]
+                similar, rank = self.index.nearest(self.dense([x[2:] for x in part]), k, own=np.arange(a, a + len(part)))
+                loo.append(votes(similar, self.index.labels[rank]))
+            loo = np.concatenate(loo)
+            if (~np.isnan(loo)).any():
+                self.curve = monotone(loo[~np.isnan(loo)], labels[~np.isnan(loo)])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.idf[terms]
         return v / np.linalg.norm(v)
 
-    def judge(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, float | None, list[tuple[float, int, int]]]:
-        near = self.index.nearest(terms, self.weights(terms, counts), self.k) if self.index and len(terms) else []
-        if not near:
-            return self.bare, None, []
-        v = vote(near)
-        return float(np.interp(v, *self.curve)) if self.curve else v, v, near
-
-
-def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.005, least_g: float = 30.0, k: int = 25, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted, vote, evidence (the nearest examples) of every row."""
+    def dense(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(self.idf)))
+        for i, (t, c) in enumerate(rows):
+            out[i, t] = self.weights(t, c)
+        return out
+
+    def judge(self, rows: list[tuple[np.ndarray, np.ndarray]], evidence: int) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """Score, vote (nan without neighbours) and the first neighbours of each row of terms and counts."""
+        score, vote = np.full(len(rows), float(self.bare)), np.full(len(rows), np.nan)
+        shown: list[list[dict]] = [[] for _ in rows]
+        full = [i for i, (t, _) in enumerate(rows) if len(t)] if self.index else []
+        for a in range(0, len(full), 256):
+            at = np.array(full[a : a + 256])
+            similar, rank = self.index.nearest(self.dense([rows[i] for i in at]), self.k)
+            v = votes(similar, self.index.labels[rank])
+            near = ~np.isnan(v)
+            vote[at] = v
+            score[at[near]] = np.interp(v[near], *self.curve) if self.curve else v[near]
+            for i, s, r in zip(at.tolist(), similar[:, :evidence].tolist(), rank[:, :evidence].tolist(), strict=True):
+                shown[i] = [{"doc_id": int(self.index.ids[j]), "similarity": x, "toxic": int(self.index.labels[j])} for x, j in zip(s, r, strict=True) if x > 0]
+        return score, vote, shown
+
+
+def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.005, least_g: float = 30.0, k: int = 25, folds: int = 5, evidence: int = 5) -> DataFrame:
+    """doc_id, held_out, score, predicted, vote, evidence (the first of the nearest examples) of every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)))
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").where(crc_fold("__id", folds) != 0)
@@ -201,18 +245,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     shared = spark.sparkContext.broadcast(Model(idf, [examples[i] for i in sorted(examples)], k))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
         for batch in batches:
-            out: list[tuple] = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if (t, c) not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    s, v, near = model.judge(read(t), read(c))
-                    known[t, c] = s, v, [{"doc_id": i, "similarity": x, "toxic": y} for x, i, y in near]
-                out.append(known[t, c])
-            s, v, near = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array(v, pa.float64()), pa.array(near, _EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "vote", "evidence"])
+            rows = [(read(t), read(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            s, v, near = shared.value.judge(rows, evidence)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(near, _EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "vote", "evidence"])
 
     return counted.mapInArrow(score, SCHEMA)
 

@@ -62,16 +62,18 @@ def test_block_max_index_is_exact():
         t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
         v = rng.integers(1, 4, len(t)).astype(float)
         vectors.append((t, v / np.linalg.norm(v)))
-    index = toxicity.BlockMaxIndex(vectors, list(range(500)), [i % 2 for i in range(500)], 40, block=16)
+    ids = rng.permutation(5000)[:500].tolist()
+    index = toxicity.BlockMaxIndex(vectors, ids, [i % 2 for i in ids], 40, block=16)
     dense = np.zeros((500, 40))
     for i, (t, v) in enumerate(vectors):
         dense[i, t] = v
-    for q in range(0, 500, 7):
+    queries = np.arange(0, 500, 7)
+    similar, rank = index.nearest(dense[queries], 10, own=queries)
+    for q, s, r in zip(queries, similar, rank):
         sims = np.round(dense @ dense[q], 12)
-        order = [i for i in np.lexsort((np.arange(500), -sims)) if sims[i] > 0 and i != q][:10]
-        near = index.nearest(*vectors[q], 10, skip=q)
-        assert [i for _, i, _ in near] == order
-        assert np.allclose([s for s, _, _ in near], sims[order])
+        order = [i for i in np.lexsort((ids, -sims)) if sims[i] > 0 and i != q][:10]
+        assert index.ids[r[s > 0]].tolist() == [ids[i] for i in order]
+        assert np.allclose(s[s > 0], sims[order]) and (index.labels[r[s > 0]] == index.ids[r[s > 0]] % 2).all()
 
 
 # html

@@ -42,7 +42,7 @@ from .words import Words, mix, windows
 
 U = np.uint64
 SMALL = 6
-_RANDOM_ROUNDS, _BLOCK = 2, 512
+_RANDOM_ROUNDS, _BLOCK = 2, 2048
 _SPARE = 1.2
 _LOW48 = U((1 << 48) - 1)
 

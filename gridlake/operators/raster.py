@@ -98,16 +98,18 @@ def _sin_pi(x: float) -> float:
     return sin(pi * x)
 
 
+def phase_weights(kernel: str, factor: int) -> list[tuple[int, float]]:
+    """Steps from a source pixel's first target to the targets it reaches, and its weight there."""
+    reach, weight = WEIGHTS[kernel]
+    steps = ((s, abs((s + 0.5) / factor - 0.5)) for s in range(-reach * factor, (reach + 1) * factor))
+    return [(s, float(w)) for s, d in steps if d < reach and (w := weight(d))]
+
+
 def interpolate(pixels: DataFrame, factor: int, kernel: str, keys: Sequence[str] = (), x: str = "px", y: str = "py", value: str = "iv") -> DataFrame:
     """Upsampling by a whole factor: every source pixel adds to the targets it reaches, and weights are normalised.
 
     The weights of each phase are literals, so this is one generator and one grouping."""
-    reach, weight = WEIGHTS[kernel]
-    taps = []
-    for step in range(-reach * factor, (reach + 1) * factor):
-        distance = abs((step + 0.5) / factor - 0.5)
-        if distance < reach and (w := weight(distance)):
-            taps.append(F.struct(F.lit(step).alias("s"), F.lit(float(w)).alias("w")))
+    taps = [F.struct(F.lit(step).alias("s"), F.lit(w).alias("w")) for step, w in phase_weights(kernel, factor)]
     across, down = F.explode(F.array(*taps)).alias("__a"), F.explode(F.array(*taps)).alias("__d")
     wide = pixels.where(F.col(value).isNotNull()).select(*keys, x, y, value, across).select("*", down)
     size = pixels.groupBy(*keys).agg(F.max(x).alias("__mx"), F.max(y).alias("__my"))

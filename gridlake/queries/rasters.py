@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import float_to_rgba, nodata_of_type, rgba_to_float
 from ..operators import raster
 from ..sources.derived import view
-from .registry import milli, milli_sql, query
+from .registry import milli, milli_sql, query, real
 
 KEYS = ("cell", "px", "py")
 PIXEL = "select cell, px, py, {} as value from fx_pixels group by cell, px, py"
@@ -92,10 +92,13 @@ def resample_mode(spark, sf_dir):
 
 
 def _interpolated(name, kernel):
-    @query(name=name)
+    taps = f"(values {', '.join(f'({s}, {real(w)})' for s, w in raster.phase_weights(kernel, 2))})"
+    wide = f"select asset_ord, px * 2 + a.s as px, py * 2 + d.s as py, a.w * d.w as w, iv from fx_pixels, {taps} a(s, w), {taps} d(s, w) where iv is not null"
+
+    @query(f"select asset_ord, cast(px as int) as px, cast(py as int) as py, {milli_sql('sum(w * iv) / sum(w)', 10)} as value from ({wide}) where px between 0 and 15 and py between 0 and 15 group by asset_ord, px, py", name=name)
     def run(spark, sf_dir):
         out = raster.interpolate(_pixels(spark, sf_dir), 2, kernel, ("asset_ord",))
-        return out.withColumn("value", milli(c("value")))
+        return out.withColumn("value", milli(c("value"), 10))
 
 
 for _k in raster.WEIGHTS:

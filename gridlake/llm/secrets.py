@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from math import log2
 
@@ -84,7 +85,7 @@ def find_spans(text: str, window: int = 20, limits: dict[str, float] = LIMITS, a
             kind = "hex" if HEX_CLASS.fullmatch(word) else "base64"
             for a, b in dense_windows(word, window, limits[kind]):
                 a, b = a + m.start(), b + m.start()
-                before = int(np.searchsorted(starts, b, "left"))  # base spans that start before b
+                before = bisect_left(starts, b)  # base spans that start before b
                 if not before or reach[before - 1] <= a:
                     spans.append((a, b, 3))
     return sorted(spans, key=lambda x: (x[0], x[2]))
@@ -104,9 +105,6 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents that hold a key word, AKIA, or a long enough run of hex digits or token characters."""
     hit = np.zeros(len(offsets) - 1, bool)
 
-    def mark(at: np.ndarray) -> None:
-        hit[np.minimum(np.searchsorted(offsets, at, "right") - 1, len(hit) - 1)] = True
-
     raw = data.tobytes()
     lower = raw.lower()
     for text, keys in ((lower, _KEYS), (raw, (b"AKIA",))):
@@ -120,11 +118,11 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         edges = np.flatnonzero(np.diff(table[data], prepend=False, append=False))
         begins, ends = edges[::2], edges[1::2]
         long = ends - begins >= least
-        for a, b in zip(begins[long], ends[long], strict=True):
-            mark(np.array([a]))
-            inside = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")]  # a run over a border
-            if len(inside):
-                mark(inside)
+        begins, ends = begins[long], ends[long]
+        doc = np.searchsorted(offsets, begins, "right") - 1
+        hit[doc] = True
+        for d, e in zip(doc[ends > offsets[doc + 1]], ends[ends > offsets[doc + 1]], strict=True):  # runs over a border
+            hit[d : int(np.searchsorted(offsets, e, "left"))] = True
     return hit
 
 

@@ -7,8 +7,12 @@ A shape is (kind, parts): kind 1 to 3 for points, lines and areas; parts is a li
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NAMES = {1: "ST_Point", 2: "ST_LineString", 3: "ST_Polygon", 4: "ST_MultiPoint", 5: "ST_MultiLineString", 6: "ST_MultiPolygon", 7: "ST_GeometryCollection"}
 Shape = tuple[int, list[np.ndarray]]
@@ -179,3 +183,23 @@ def simplify(line: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
             keep.add(a + 1 + at)
             todo += [(a, a + 1 + at), (a + 1 + at, b)]
     return line[sorted(keep)] if len(keep) >= least else line
+
+
+RELATIONS = {"intersects": intersects, "within": within, "disjoint": lambda a, b: not intersects(a, b), "contains": lambda a, b: within(b, a)}
+
+
+def related(df: DataFrame, relation: str, shape: Shape, wkb: str = "wkb", boxes: tuple[str, ...] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
+    """Rows whose shape stands in a relation to a given one.
+
+    Box columns decide first, in the scan; only shapes whose boxes meet go through Arrow to the exact test."""
+    x0, y0, x1, y1 = box(shape)
+    if relation != "disjoint":
+        a, b, c, d = (F.col(n) for n in boxes)
+        df = df.where((a <= x1) & (c >= x0) & (b <= y1) & (d >= y0))
+    test = RELATIONS[relation]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([v is not None and test(read(v), shape) for v in batch.column(wkb).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -158,3 +158,18 @@ def gdal_merge_window(spark, sf_dir):
     asset = (c("ulx"), c("uly"), c("ulx") + c("xsize") * c("px"), c("uly") - c("ysize") * c("px"))
     parts = raster.merge_window(asset, tuple(F.lit(v) for v in (-20000.0, 30000.0, 25000.0, -40000.0)), c("px"))
     return r.select("id", *(p.alias(n) for p, n in zip(parts, ("dx", "dy", "dw", "dh", "ox", "oy", "ow", "oh"))))
+
+
+@query("select id % 25 as mosaic, min(id % 6) as minz, max(id % 6 + xsize % 7) as maxz from fx_rasters group by 1")
+def zoom_range_union(spark, sf_dir):
+    r = view(spark, sf_dir, "fx_rasters").select((c("id") % 25).alias("mosaic"), (c("id") % 6).alias("lo"), (c("id") % 6 + c("xsize") % 7).alias("hi"))
+    return r.groupBy("mosaic").agg(F.min("lo").alias("minz"), F.max("hi").alias("maxz"))
+
+
+@query()
+def render_png(spark, sf_dir):
+    from ..functions.png import render_tiles
+
+    p = _pixels(spark, sf_dir).where("cell < 5").withColumn("v", c("iv").cast("double"))
+    p = p.select("cell", c("asset_ord").alias("asset"), "px", "py", *(x.alias(n) for x, n in zip(float_to_rgba(c("v"), -999999.0), "rgba")))
+    return render_tiles(p, 8, ("cell", "asset"))

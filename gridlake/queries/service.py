@@ -128,3 +128,17 @@ def validate_errors(spark, sf_dir):
     d = view(spark, sf_dir, "fx_datasource")
     checks = {"zoom order": "minzoom + datasource_id % 3 > maxzoom", "data type": "data_type not in ('raster')"}
     return store.errors(d, checks).select("datasource_id", "error")
+
+
+@query("select datasource_id, identifier, data_type from fx_datasource where identifier = 'Supplier#000000007' and data_type in ('vector', 'raster')")
+def catalog_lookup(spark, sf_dir):
+    from ..sources.datasources import find
+
+    return find(view(spark, sf_dir, "fx_datasource"), "Supplier#000000007").where(c("data_type").isin("vector", "raster")).select("datasource_id", "identifier", "data_type")
+
+
+@query("select ok, count(*) as requests, count(distinct ds) as sources from (select req_id, parts[4] as ds, coalesce(lower(string_split(parts[7], '.')[2]) in ('png', 'mvt', 'pbf') and try_cast(parts[5] as int) between 0 and 255, false) as ok from (select req_id, string_split(path, '/') as parts from fx_requests)) group by ok")
+def request_health(spark, sf_dir):
+    r = view(spark, sf_dir, "fx_requests")
+    parsed = store.parse_request(c("path"))
+    return r.select(parsed["ok"].alias("ok"), F.get(F.split("path", "/"), F.lit(3)).alias("ds")).groupBy("ok").agg(F.count("*").alias("requests"), F.countDistinct("ds").alias("sources"))

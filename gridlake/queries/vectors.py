@@ -135,3 +135,22 @@ def mvt_tile(spark, sf_dir):
 def mvt_concat(spark, sf_dir):
     both = mvt.concat_layers([_tiles(spark, sf_dir, "land", "landuse is not null and id % 4 = 0", (7,)), _tiles(spark, sf_dir, "aero", "aeroway is not null", (7,))])
     return mvt.compressed(both).withColumn("raw_bytes", F.length("data"))
+
+
+_SHAPE = (3, [np.array([(-2.00005e6, -1.50005e6), (3.00005e6, -1.50005e6), (3.00005e6, 2.50005e6), (-2.00005e6, 2.50005e6), (-2.00005e6, -1.50005e6)])])
+
+
+@query("select id from fx_polygons where xmin <= 3000050 and xmax >= -2000050 and ymin <= 2500050 and ymax >= -1500050")
+def geom_intersects(spark, sf_dir):
+    return geometry.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "intersects", _SHAPE).select("id")
+
+
+@query("select id from fx_polygons where xmin >= -2000050 and xmax <= 3000050 and ymin >= -1500050 and ymax <= 2500050")
+def geom_within(spark, sf_dir):
+    return geometry.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "within", _SHAPE).select("id")
+
+
+@query("select landuse, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from fx_polygons group by landuse")
+def bbox_union(spark, sf_dir):
+    p = view(spark, sf_dir, "fx_polygons")
+    return p.groupBy("landuse").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

@@ -6,7 +6,8 @@ bucket * 2^40 + rank.  Then adjacent names of a document are paired and the dist
 and named in the same way, round by round, until one name is left.  (rounds, name) is the document's
 identity: equal if and only if the texts are equal, since names stand for contents and not for hashes.
 
-The raw text is exchanged once, and each batch sends a block that it holds many times only once, so a
+A block is referred to by a place where it stands: doc_id, sha of the text, position.  doc_id alone would
+not do, since rows may repeat it with other texts.  The raw text is exchanged once, and each batch sends a block that it holds many times only once, so a
 block that a third of all documents share costs one row for each batch.  All later exchanges move
 integers.  Rounds grow with the logarithm of the longest text.
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_buckets, strings
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_REFS = "doc_id long, sha binary, pos int, n int, rep_doc long, rep_pos int"
-_BLOCKS = "rep_doc long, rep_pos int, block binary"
+_REFS = "doc_id long, sha binary, pos int, n int, rep_doc long, rep_sha binary, rep_pos int"
+_BLOCKS = "rep_doc long, rep_sha binary, rep_pos int, block binary"
 
 
 def identities(documents: DataFrame, block_bytes: int = 4096) -> DataFrame:
@@ -35,9 +36,9 @@ def identities(documents: DataFrame, block_bytes: int = 4096) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     buckets = shuffle_buckets(documents.sparkSession, 16)
     blocks = docs.mapInArrow(_blocks(block_bytes, refs=False), _BLOCKS)
-    named = _named(blocks, [F.col("block")], buckets).select("rep_doc", "rep_pos", "name")
+    named = _named(blocks, [F.col("block")], buckets).select("rep_doc", "rep_sha", "rep_pos", "name")
     refs = docs.mapInArrow(_blocks(block_bytes, refs=True), _REFS)
-    level = cut(refs.join(named, ["rep_doc", "rep_pos"]).groupBy("doc_id", "sha", "pos", "n").agg(F.min("name").alias("name")))
+    level = cut(refs.join(named, ["rep_doc", "rep_sha", "rep_pos"]).groupBy("doc_id", "sha", "pos", "n").agg(F.min("name").alias("name")))
     done, rounds = [], 0
     longest = level.agg(F.max("n")).first()[0] or 1
     while True:
@@ -79,25 +80,25 @@ def _named(rows: DataFrame, keys: list[Column], buckets: int) -> DataFrame:
 
 
 def _blocks(size: int, refs: bool):
-    names = ["doc_id", "sha", "pos", "n", "rep_doc", "rep_pos"] if refs else ["rep_doc", "rep_pos", "block"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32()] if refs else [pa.int64(), pa.int32(), pa.binary()]
+    names = (["doc_id", "sha", "pos", "n"] if refs else []) + ["rep_doc", "rep_sha", "rep_pos"] + ([] if refs else ["block"])
+    kinds = ([pa.int64(), pa.binary(), pa.int32(), pa.int32()] if refs else []) + [pa.int64(), pa.binary(), pa.int32()] + ([] if refs else [pa.binary()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             raw = data.tobytes().translate(_LOWER)
-            first: dict[bytes, tuple[int, int]] = {}
+            first: dict[bytes, tuple[int, bytes, int]] = {}
             rows: list[tuple] = []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = raw[offsets[i] : offsets[i + 1]]
-                sha = hashlib.sha256(text).digest() if refs else b""
+                sha = hashlib.sha256(text).digest()
                 n = max(1, -(-len(text) // size))
                 for pos in range(n):
                     block = text[pos * size : (pos + 1) * size]
-                    rep = first.setdefault(block, (doc, pos))
+                    rep = first.setdefault(block, (doc, sha, pos))
                     if refs:
                         rows.append((doc, sha, pos, n, *rep))
-                    elif rep == (doc, pos):
+                    elif rep == (doc, sha, pos):
                         rows.append((*rep, block))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

@@ -31,8 +31,8 @@ def crc_fold(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def shuffle_buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets for packed exchanges: a few for each shuffle partition of the session."""
+def shuffle_buckets(spark: SparkSession, per_partition: int = 1) -> int:
+    """Buckets for packed exchanges: one for each shuffle partition of the session, or so many."""
     return max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 

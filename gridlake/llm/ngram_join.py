@@ -16,7 +16,7 @@ few or no shingles, on which unrelated sets would agree, are left out.  No link
 Candidates.  Signatures travel in packets.  Groups of up to `small` documents give all pairs; larger ones
 give a star around their smallest document.  Pairs pass a sound filter first (parities of hashed shingles:
 two sets cannot differ in fewer shingles than their parities do) and are then verified on the sets
-themselves.  Large groups whose members are not yet in one component go on: a few rounds pair members at
+themselves.  Only documents of such pairs (and a few more, by a bitmap of bounded size) send their sets.  Large groups whose members are not yet in one component go on: a few rounds pair members at
 random, a linear number of pairs, which joins what is densely linked; then every member is compared with
 every one of another component, by parities, in blocks of bounded size within tasks, and only pairs that
 pass are made and verified.  So no pair across components stays unchecked and no link is lost.
@@ -82,8 +82,8 @@ def _prints(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketch(values: np.ndarray) -> bytes:
-    """Parities of hashed shingles: eight bits or more for each shingle, a power of two in all, 512 at least."""
-    size = max(512, 8 << (len(values) - 1).bit_length()) if len(values) else 512
+    """Parities of hashed shingles: two bits or more for each shingle, a power of two in all, 512 at least."""
+    size = max(512, 2 << (len(values) - 1).bit_length()) if len(values) else 512
     return np.packbits(np.bincount((values & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -226,9 +226,38 @@ def _plausible(percent: int):
     return run
 
 
-def _sets(width: int):
+def _marks(size: int):
+    """Words of a bitmap of `size` bits with a bit for each id."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(np.concatenate([mix(ints(batch, c).astype(U)) for c in ("a", "b")]) & U(size - 1))
+            if len(bit):
+                begin = np.flatnonzero(np.diff(bit >> U(6), prepend=U(size)))
+                words = np.bitwise_or.reduceat(U(1) << (bit & U(63)), begin)
+                yield pa.RecordBatch.from_arrays([pa.array((bit[begin] >> U(6)).astype(np.int64)), pa.array(words.view(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def id_bitmap(pairs: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """A bitmap of the hashed ids of pairs: 32 bits a pair, most_bits at most.
+
+    It only spares work: what it lets through besides is dropped by the joins, at any size."""
+    size = 1 << min(most_bits.bit_length() - 1, max(16, (32 * pairs.count()).bit_length()))
+    found = pairs.mapInArrow(_marks(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, U)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U)
+    return bitmap
+
+
+def _sets(width: int, bitmap):
+    """Shingle sets, as 6 bytes a shingle, of the documents whose ids are in a broadcast bitmap."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = mix(ints(batch, "doc_id").astype(U)) & U(64 * len(bitmap.value) - 1)
+            batch = batch.filter(pa.array((bitmap.value[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1))
             for i, j, sets, first in _chunk_sets(batch, width):
                 packed = [np.unique(sets[a:b] & _LOW48).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 packed = [np.frombuffer(p, np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in packed]
@@ -267,8 +296,8 @@ def similarity_components(documents: DataFrame, width: int = 5, percent: int = 8
     # abs() keeps n and hides the partitioning, so both sides of the join are exchanged and a hot group can be split
     groups = described.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")).select(F.abs("n").alias("n"), "one", "two", "rep")
     members = cut(described.select("doc_id", "n", "one", "two").join(groups, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    found = docs.mapInArrow(_signature_packets(width, percent, buckets), packets.PACKET).repartition("bucket")
-    found = cut(found.mapInArrow(_candidate_packets(buckets, small), packets.PACKET).repartition("bucket").mapInArrow(_unpack, "kind int, a long, b long"))
+    found = docs.mapInArrow(_signature_packets(width, percent, buckets), packets.PACKET).repartitionById(buckets, "bucket")
+    found = cut(found.mapInArrow(_candidate_packets(buckets, small), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_unpack, "kind int, a long, b long"))
     reps = members.select(F.col("doc_id").alias("__d"), F.col("rep"))
     sketches = described.dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch")
     to_rep = lambda df, c: df.join(reps, df[c] == F.col("__d")).drop("__d", c).withColumnRenamed("rep", c)
@@ -278,8 +307,7 @@ def similarity_components(documents: DataFrame, width: int = 5, percent: int = 8
         sized = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
         sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         likely = cut(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(percent), "a long, b long"))
-        needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary")
+        sets = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_bitmap(likely))), "doc_id long, shingles binary")
         both = likely.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
         return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
 

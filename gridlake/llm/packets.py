@@ -83,7 +83,7 @@ def answered(packets: DataFrame, answer, buckets: int) -> DataFrame:
         if docs:
             yield from by_document(buckets, np.concatenate(docs), np.concatenate(places))
 
-    return packets.repartition("bucket").mapInArrow(ask, PACKET).repartition("bucket").mapInArrow(_regroup, REPLY)
+    return packets.repartitionById(buckets, "bucket").mapInArrow(ask, PACKET).repartitionById(buckets, "bucket").mapInArrow(_regroup, REPLY)
 
 
 def _regroup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

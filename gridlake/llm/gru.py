@@ -19,9 +19,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _loss(x: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed loss of one column of each row's softmax, and its gradient; x is overwritten."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[rows, at].sum()
+    np.exp(x, out=x)
+    sums = x.sum(axis=1, keepdims=True)
+    x /= sums
+    x[rows, at] -= 1
+    return float(np.log(sums).sum() - picked), x
 
 
 def _log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,10 +107,7 @@ class Gru:
         flat, goal, total = states.reshape(-1, n), targets.ravel(), steps * width
         g = {name: np.zeros_like(getattr(self, name)) for name in _NAMES}
         kind, word = goal // self.per_class, goal % self.per_class
-        p = _log_softmax(flat @ self.class_w + self.class_b)
-        loss = -p[np.arange(total), kind].sum()
-        d = np.exp(p)
-        d[np.arange(total), kind] -= 1
+        loss, d = _loss(flat @ self.class_w + self.class_b, kind)
         d /= total
         g["class_w"], g["class_b"] = flat.T @ d, d.sum(0)
         back = d @ self.class_w.T
@@ -111,51 +115,62 @@ class Gru:
         edges = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
         for c in np.unique(kind):
             at = order[edges[c] : edges[c + 1]]
-            p = _log_softmax(flat[at] @ self.word_w[c] + self.word_b[c])
-            loss -= p[np.arange(len(at)), word[at]].sum()
-            d = np.exp(p)
-            d[np.arange(len(at)), word[at]] -= 1
+            own = flat[at]
+            more, d = _loss(own @ self.word_w[c] + self.word_b[c], word[at])
+            loss += more
             d /= total
-            g["word_w"][c], g["word_b"][c] = flat[at].T @ d, d.sum(0)
+            g["word_w"][c], g["word_b"][c] = own.T @ d, d.sum(0)
             back[at] += d @ self.word_w[c].T
         back, dh = back.reshape(steps, width, n), np.zeros((width, n), np.float32)
+        dx, da = np.empty((steps, width, 3 * n), self.u.dtype), np.empty((steps, width, 3 * n), self.u.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, a = kept[t]
             dh = dh + back[t]
             dn = dh * (1 - z) * (1 - new * new)
             dz = dh * (before - new) * z * (1 - z)
             dr = dn * a * r * (1 - r)
-            dx, da = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, dn * r], 1)
-            g["u"] += before.T @ da
-            g["bias"] += dx.sum(0)
-            np.add.at(g["inputs"], tokens[t], dx)
-            dh = (dh * z + da @ self.u.T) * (tokens[t] != END)[:, None]
+            dx[t] = np.concatenate([dz, dr, dn], 1)
+            da[t] = dx[t]
+            da[t, :, 2 * n :] *= r
+            dh = (dh * z + da[t] @ self.u.T) * (tokens[t] != END)[:, None]
+        dx = dx.reshape(total, -1)
+        g["u"], g["bias"] = np.concatenate([k[0] for k in kept]).T @ da.reshape(total, -1), dx.sum(0)
+        order = np.argsort(tokens.ravel(), kind="stable")
+        used, first = np.unique(tokens.ravel()[order], return_index=True)
+        g["inputs"][used] = np.add.reduceat(dx[order], first)
         return float(loss) / total, g, h
 
-    def train(self, stream: np.ndarray, streams: int = 64, steps: int = 32, rate: float = 0.08, least_updates: int = 60, most_passes: int = 3) -> float:
+    def train(self, stream: np.ndarray, streams: int = 64, steps: int = 32, rate: float = 0.08, least_updates: int = 60) -> float:
         """Adagrad over a token stream (documents end with END), cut into parallel streams; returns the last mean loss.
 
-        A short stream is read up to most_passes times, until least_updates steps are made."""
-        width = max(1, min(streams, len(stream) // (steps + 1)))
-        length = len(stream) // width
-        if length < 2:
+        Every token is learned once, whatever the stream's length; a short one is cut into fewer parallel streams,
+        so that least_updates steps are made where it has the tokens for them."""
+        total = len(stream) - 1
+        if total < 1:
             return 0.0
-        rows = stream[: width * length].reshape(width, length).T
+        width = max(1, min(streams, total // (least_updates * steps)))
+        length = total // width
+        tokens, targets = (x[: width * length].reshape(width, length).T for x in (stream[:-1], stream[1:]))
         memory = {name: np.full_like(getattr(self, name), 1e-6) for name in _NAMES}
-        h, at, loss, done = np.zeros((width, self.hidden), np.float32), 0, 0.0, 0
-        passes = min(most_passes, max(1, -(-least_updates * steps // max(1, length - 1))))
-        for _ in range(passes):
-            h, at = h * 0, 0
-            while at + 1 < length:
-                end = min(at + steps, length - 1)
-                loss, g, h = self.gradients(rows[at:end], rows[at + 1 : end + 1], h)
-                norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-                scale = min(1.0, 1.0 / max(norm, 1e-9))
-                for name in _NAMES:
-                    d = g[name] * scale
-                    memory[name] += d * d
-                    getattr(self, name)[...] -= rate * d / np.sqrt(memory[name])
-                at, done = end, done + 1
+
+        def update(tokens: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+            loss, g, h = self.gradients(tokens, targets, h)
+            at = {"inputs": np.unique(tokens), **dict.fromkeys(("word_w", "word_b"), np.unique(targets // self.per_class))}  # elsewhere the gradient is 0
+            g = {name: x[at[name]] if name in at else x for name, x in g.items()}
+            norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+            scale = tokens.size / (width * steps) * min(1.0, 1.0 / max(norm, 1e-9))
+            for name, x in g.items():
+                own, d = at.get(name, slice(None)), x * scale
+                memory[name][own] += d * d
+                getattr(self, name)[own] -= rate * d / np.sqrt(memory[name][own])
+            return loss, h
+
+        h, loss = np.zeros((width, self.hidden), np.float32), 0.0
+        for at in range(0, length, steps):
+            loss, h = update(tokens[at : at + steps], targets[at : at + steps], h)
+        rest = width * length
+        if rest < total:  # fewer tokens than streams: after the last stream's end
+            update(stream[rest:-1, None], stream[rest + 1 :, None], h[-1:])
         return loss
 
     def score(self, documents: list[np.ndarray], group: int = 1024, steps: int = 128) -> np.ndarray:

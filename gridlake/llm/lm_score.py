@@ -8,8 +8,8 @@ words outside.  The state runs through a document from its first word to its end
 On Spark.  Word counts of all training documents are gathered in packets by word hash; each batch sends a
 word once.  Words outside the vocabulary are looked up the other way round: each document's distinct ones
 go to their word's bucket, which counts them over all training documents and returns sums by document.
-The network is trained in `rounds` rounds, each on another 1/`train_share` of the training documents, dealt
-over trainers whose number grows with them; each trains on its own documents from the same start, and the
+The network is trained on every training document once, in `train_share` rounds, each on another
+1/`train_share` of them, dealt over trainers whose number grows with them; each trains on its own documents from the same start, and the
 mean of their weights starts the next round (weights are averaged on the executors, in slices).
 
 Null or empty text: the end token alone.  Rows without doc_id are left out.  Rows that repeat a doc_id
@@ -141,16 +141,16 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.bincount(where, v[order])) for v in (logs.view(np.float64), known, n))], ["__doc", "other_log", "other_known", "other_n"])
 
 
-def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, rounds: int, trainer_docs: int) -> Gru:
+def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_docs: int) -> Gru:
     """The mean of trainers' networks; docs: the training documents."""
     spark = docs.sparkSession
     share = F.pmod(F.xxhash64("doc_id"), F.lit(train_share)).cast("int")
     sizes = {r[0]: r[1] for r in docs.groupBy(share.alias("share")).count().collect()}  # train_share rows at most
     network, words = Gru(vocabulary.counts, hidden), spark.sparkContext.broadcast(vocabulary)
-    for turn in range(rounds):
-        trainers = max(1, -(-sizes.get(turn % train_share, 0) // trainer_docs))
+    for turn in range(train_share):
+        trainers = max(1, -(-sizes.get(turn, 0) // trainer_docs))
         trainer = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(trainers)).cast("int")
-        dealt = docs.where(share == turn % train_share).repartitionById(trainers, trainer).sortWithinPartitions("doc_id")
+        dealt = docs.where(share == turn).repartitionById(trainers, trainer).sortWithinPartitions("doc_id")
         start = spark.sparkContext.broadcast(network)
 
         def train(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_s
     return network
 
 
-def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden: int = 24, folds: int = 7, held_fold: int = 2, train_share: int = 8, rounds: int = 2, trainer_docs: int = 4_000) -> DataFrame:
+def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden: int = 24, folds: int = 7, held_fold: int = 2, train_share: int = 8, trainer_docs: int = 4_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -195,7 +195,7 @@ def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden:
     shared = spark.sparkContext.broadcast(words)
     others = docs.mapInArrow(_other_packets(shared, buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_looked_up(buckets), packets.PACKET)
     others = others.repartitionById(buckets, "bucket").mapInArrow(_summed, "__doc long, other_log double, other_known double, other_n double")
-    network = spark.sparkContext.broadcast(train_network(docs.where("not held_out"), words, hidden, train_share, rounds, trainer_docs))
+    network = spark.sparkContext.broadcast(train_network(docs.where("not held_out"), words, hidden, train_share, trainer_docs))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_logs = np.log10(shared.value.counts + 1)

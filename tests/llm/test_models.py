@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridlake.llm import gru, html_text, lm_score, packing, piece_fst, toxicity
@@ -241,6 +242,30 @@ def test_gru_scores_do_not_depend_on_windows_or_groups():
     assert 0.9 < total <= 1.0001
 
 
+@pytest.mark.parametrize("length", [1, 2, 40, 2000, 2047, 9001])
+def test_gru_training_reads_every_token_once(length, monkeypatch):
+    seen, gradients = collections.Counter(), gru.Gru.gradients
+
+    def counted(self, tokens, targets, h):
+        seen.update(zip(tokens.ravel().tolist(), targets.ravel().tolist()))
+        return gradients(self, tokens, targets, h)
+
+    monkeypatch.setattr(gru.Gru, "gradients", counted)
+    stream = np.random.default_rng(5).integers(0, 29, length).astype(np.int32)
+    gru.Gru(np.arange(1, 30.0), hidden=4, per_class=6).train(stream)
+    assert seen == collections.Counter(zip(stream[:-1].tolist(), stream[1:].tolist()))
+
+
+def test_every_training_document_reaches_the_network(spark):
+    values = [f"w{i} w{i}" for i in range(64)]
+    hashes, _ = lm_score._batch_words(pa.RecordBatch.from_pydict({"text": values}))
+    vocabulary = lm_score._Vocabulary(hashes[::2], np.array([64.0, 0] + [2.0] * 64))
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    inputs = lm_score.train_network(docs, vocabulary, hidden=4, train_share=8, trainer_docs=5).inputs
+    start = gru.Gru(vocabulary.counts, 4).inputs
+    assert (inputs != start).any(axis=1)[vocabulary.numbers(hashes[::2])].all()
+
+
 def test_lm_scores_against_brute_force(spark):
     rng = random.Random(12)
     patterned = [" ".join("red green blue yellow".split()[(i + j) % 4] for j in range(rng.randint(5, 60))) for i in range(120)]

@@ -170,6 +170,6 @@ def zoom_range_union(spark, sf_dir):
 def render_png(spark, sf_dir):
     from ..functions.png import render_tiles
 
-    p = _pixels(spark, sf_dir).where("cell < 5").withColumn("v", c("iv").cast("double"))
+    p = _pixels(spark, sf_dir).withColumn("v", c("iv").cast("double"))
     p = p.select("cell", c("asset_ord").alias("asset"), "px", "py", *(x.alias(n) for x, n in zip(float_to_rgba(c("v"), -999999.0), "rgba")))
     return render_tiles(p, 8, ("cell", "asset"))

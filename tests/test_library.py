@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import struct
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import encoding, grid, png, tags
 from gridlake.operators import geometry, mvt, raster, store, vector
 from gridlake.plans.filters import Filters, like_pattern
+from gridlake.queries import rasters
 from gridlake.sources import datasources
 from gridlake.streaming import tracking
 
@@ -97,6 +99,27 @@ def test_png_round_trip(spark):
     assert tile.tolist() == [[[9, 8, 7, 255], [0, 0, 0, 0]], [[0, 0, 0, 0], [1, 2, 3, 4]]]
 
 
+def rgba(v):
+    if v is None:
+        return 0, 0, 0, 0
+    e = math.floor(math.log2(abs(v))) if v else 0
+    sign = (v > 0) - (v < 0)
+    m = 8388608 + sign + sign * 8388608 * (abs(v) / 2**e - 1)
+    return int(m // 65536), int(m % 65536 // 256), int(m % 256), e + 128
+
+
+def test_render_png_draws_every_cell_and_asset(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    vectors = [(i, (rng.integers(-20000, 20000, 64) / 100000).tolist(), i % 10) for i in range(20)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.cell, r.asset): bytes(r.data) for r in rasters.render_png(spark, str(tmp_path)).collect()}
+    assert len(got) == 20
+    for i, vector_, label in vectors:
+        ints = [math.floor(x * 100000 + 0.5) for x in vector_]
+        image = np.array([rgba(None if n < -15000 else float(n)) for n in ints], np.uint8).reshape(8, 8, 4)
+        assert got[label, i] == png.png(image)
+
+
 # filters
 
 

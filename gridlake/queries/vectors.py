@@ -133,7 +133,7 @@ def mvt_tile(spark, sf_dir):
 
 @query()
 def mvt_concat(spark, sf_dir):
-    both = mvt.concat_layers([_tiles(spark, sf_dir, "land", "landuse is not null and id % 4 = 0", (7,)), _tiles(spark, sf_dir, "aero", "aeroway is not null", (7,))])
+    both = mvt.concat_layers([_tiles(spark, sf_dir, "land", "landuse is not null", (7,)), _tiles(spark, sf_dir, "aero", "aeroway is not null", (7,))])
     return mvt.compressed(both).withColumn("raw_bytes", F.length("data"))
 
 

@@ -1,3 +1,4 @@
+import gzip
 import json
 import math
 import random
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from gridlake.functions import encoding, grid, png, tags
 from gridlake.operators import geometry, mvt, raster, store, vector
 from gridlake.plans.filters import Filters, like_pattern
-from gridlake.queries import rasters
+from gridlake.queries import rasters, vectors
 from gridlake.sources import datasources
+from gridlake.sources.derived import view
 from gridlake.streaming import tracking
 
 c = F.col
@@ -181,6 +183,26 @@ def test_tiles_of_shapes(spark):
     assert packed["data"][:2] == b"\x1f\x8b"
 
 
+def test_mvt_concat_holds_every_feature(spark, tmp_path):
+    orders = [(i, "FOP"[i % 3], 1000.0 * i) for i in range(1, 81)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    boxes = {r.id: r for r in view(spark, str(tmp_path), "fx_polygons").collect()}
+    found = {"land": set(), "aero": set()}
+    for r in vectors.mvt_concat(spark, str(tmp_path)).collect():
+        layers = mvt.decode_tile(gzip.decompress(bytes(r.data)))
+        x0, y0, x1, y1 = vector.envelope(r.z, r.x, r.y)
+        for name, layer in layers.items():
+            for f in layer["features"]:
+                b = boxes[f["id"]]
+                assert b.xmin < x1 + 2e4 and b.xmax > x0 - 2e4 and b.ymin < y1 + 2e4 and b.ymax > y0 - 2e4
+                assert f["attributes"] == {k: v for k in ("building", "landuse", "admin_level") if (v := b[k]) is not None}
+                found[name].add((f["id"], r.x, r.y))
+    for name, column in (("land", "landuse"), ("aero", "aeroway")):
+        tile = lambda v: math.floor((v + 20037508.342789244) / (40075016.68557849 / 128))
+        inside = {(i, x, 127 - y) for i, b in boxes.items() if b[column] is not None for x in range(tile(b.xmin), tile(b.xmax) + 1) for y in range(tile(b.ymin), tile(b.ymax) + 1)}
+        assert inside <= found[name] and {i for i, _, _ in found[name]} == {i for i, b in boxes.items() if b[column] is not None}
+
+
 def test_geometry():
     ring = np.array([(0.0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])
     area = (3, [ring])

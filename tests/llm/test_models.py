@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridlake.llm import gru, html_text, lm_score, packing, piece_fst, toxicity
+from gridlake.llm import gru, html_text, lm_score, packing, piece_fst, queries, toxicity
 
 from .helpers import FOLD, as_dict, documents, texts, words
 
@@ -132,6 +132,16 @@ def test_piece_encoding_equals_the_library(spark):
     assert piece_fst.encode_pieces(documents(spark).limit(0)).count() == 0
 
 
+def test_piece_query_returns_the_ids(spark, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_fst.model_path(None))
+    docs = as_dict(VALUES[:30])
+    documents(spark, VALUES[:30]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_piece_encoding(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: model.encode(t or "") for i, t in docs.items()}
+
+
 def test_unigram_shortest_path_is_the_best_split():
     pieces = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab"]
     scores = [0.0, -3.0, -2.0, -2.1, -2.2, -2.5, -3.9, -6.6, -3.1, -4.0]

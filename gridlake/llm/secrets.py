@@ -34,7 +34,8 @@ HEX_CLASS = re.compile(r"[0-9a-fA-F]+")
 #: Limits in bits of entropy within a window of 20 characters.
 LIMITS = {"hex": 3.0, "base64": 3.8}
 #: Natural words (one case, or a capital first), words joined by - _ / or =, bare numbers and dates, repeated rules.
-ALLOW = (r"[A-Z]?[a-z]+|[A-Z]+", r"(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))+", r"[0-9_/=+-]+", r"(.)\1+")
+#: Words and joints share no character and no quantifier gives characters back, so matching takes linear time.
+ALLOW = (r"[A-Z]?[a-z]+|[A-Z]+", r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?[-_/=+]++(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)[-_/=+]++)*+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?", r"[0-9_/=+-]+", r"(.)\1+")
 _KEYS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -52,14 +53,14 @@ def dense_windows(text: str, window: int, limit: float) -> list[tuple[int, int]]
     counts: dict[str, int] = {}
     total, found = 0.0, []
     for i, c in enumerate(text):
-        k = counts.get(c, 0)
-        total += weigh[k + 1] - weigh[k]
-        counts[c] = k + 1
-        if i >= w:
+        if i >= w:  # the character that leaves goes first, so no count exceeds the window
             old = text[i - w]
             k = counts[old]
             total += weigh[k - 1] - weigh[k]
             counts[old] = k - 1
+        k = counts.get(c, 0)
+        total += weigh[k + 1] - weigh[k]
+        counts[c] = k + 1
         if i >= w - 1 and log2(w) - total / w >= limit - 1e-9:
             if found and found[-1][1] >= i - w + 1:
                 found[-1][1] = i + 1

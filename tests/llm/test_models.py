@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -191,6 +192,20 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack_documents(documents(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_both_ways_to_ids_agree_on_all_documents(sf):
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    library, encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), packing.encoder()
+    for text in pq.read_table(path, columns=["text"]).column("text").to_pylist():
+        assert encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_best_fill_is_the_best_subset():
     rng = random.Random(10)
     for _ in range(300):

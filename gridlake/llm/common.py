@@ -22,10 +22,36 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridlake-ckpt-"))
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridlake-ckpt-"))  # one process: any folder is shared
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df does not have yet (names of columns ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def only_rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The input's rows and columns: one row for each (doc_id, raw) of wanted, raw being xxhash64 of the text.
+
+    Repetitions merge before the exchange, so a row that a third of the table repeats costs one row for each partition."""
+    doc, raw, doc2, raw2 = fresh(documents, "__doc", "__raw", "__doc2", "__raw2")
+    keys = lambda i, text: (F.coalesce(i.cast("long"), F.lit(0)), F.xxhash64(text, i.isNull()))  # noqa: E731  equal keys without nulls
+    own = keys(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
+    theirs = keys(F.col("doc_id"), F.col("raw"))
+    once = documents.withColumns({doc: own[0], raw: own[1]}).dropDuplicates([doc, raw])
+    named = wanted.select(theirs[0].alias(doc2), theirs[1].alias(raw2))
+    return once.join(named, (F.col(doc) == F.col(doc2)) & (F.col(raw) == F.col(raw2)), "left_semi").drop(doc, raw)
+
+
 def crc_fold(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a fold count."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -78,15 +78,26 @@ def test_exact_dedup_against_grouping(spark, block):
 
 
 def test_exact_dedup_of_repeated_rows_and_empty_table(spark):
-    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "A"), (None, "a")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows).collect())
-    assert got == [(1, 1, 1, True), (1, 2, 2, False), (2, 2, 2, True)]
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "A"), (None, "a"), (None, None), (None, "")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows).collect())
+    assert got == {(1, 2, 4, False): 2, (1, 1, 1, True): 1, (2, 2, 4, True): 1, (None, 2, 4, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1}
     assert exact_dedup.exact_groups(rows.limit(0)).count() == 0
     kept = exact_dedup.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
     assert kept.count() == len({(t or "").translate(FOLD) for t in VALUES})
 
 
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    same = spark.createDataFrame([(1, "Same text"), (1, "Same text"), (1, "same text")], "doc_id long, text string")
+    assert exact_dedup.keep_one(same).count() == 1
+    mixed = spark.createDataFrame([(5, "a", 1), (5, "b", 2), (9, "b", 3), (None, "A", 4), (None, "c", 5), (None, "c", 6), (0, "c ", 7)], "doc_id long, text string, __raw int")
+    kept = exact_dedup.keep_one(mixed)
+    assert kept.columns == mixed.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "c"), (-1, "c "), (5, "a"), (9, "b")]
+    groups = collections.Counter((r.keep_id, r.kept) for r in exact_dedup.exact_groups(mixed).collect())
+    assert sum(n for (_, kept), n in groups.items() if kept) == 4
+
+
 def shingles(text):
     own = words((text or "").translate(FOLD))
     return frozenset(tuple(own[p : p + 5]) for p in range(len(own) - 4)) if len(own) >= 5 else frozenset([tuple(own)] if own else [])

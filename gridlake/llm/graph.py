@@ -1,26 +1,50 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table: forests within batches, then minimum labels with pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ints
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (a: member, b: smallest node) that join what the edges of each batch join."""
+    for batch in batches:
+        up: dict[int, int] = {}
+
+        def root(x: int, up: dict[int, int] = up) -> int:
+            while (parent := up.setdefault(x, x)) != x:
+                up[x] = up[parent]
+                x = up[x]
+            return x
+
+        for x, y in zip(ints(batch, "a").tolist(), ints(batch, "b").tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        members = np.array([x for x in up if root(x) != x], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(np.array([root(x) for x in members.tolist()], np.int64))], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges(a, b).
+    """node, component (its smallest node) for every node of edges(a, b) that has another one beside it.
 
     Each round a node takes the smallest label around it and then its label's label, so paths shorten by
-    at least half; rounds are cut by checkpoints and end when no label changes."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")))
+    at least half; rounds are cut by checkpoints and end when no label changes.  Edges hold both directions
+    and a loop for each node, so one grouping by node meets its own label and those around it."""
+    stars = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    pair = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct(F.col("a"), F.col("a").alias("b")), F.struct(F.col("b").alias("a"), F.col("b")))
+    both = cut(stars.select(F.inline(pair)).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "low").alias("component"), F.col("component").alias("before"))
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"), F.max(F.when(F.expr("a = b"), F.col("component"))).alias("before"))
         target = labels.select(F.col("node").alias("__t"), F.col("component").alias("jump"))
-        jumped = lower.join(target, F.col("component") == F.col("__t"), "left").select("node", F.least("component", "jump").alias("component"), "before")
-        labels = cut(jumped)
+        labels = cut(near.join(target, F.col("low") == F.col("__t")).select(F.col("a").alias("node"), F.col("jump").alias("component"), "before"))
         if labels.where("component < before").isEmpty():
             return labels.select("node", "component")
         labels = labels.drop("before")

@@ -13,17 +13,21 @@ with at most k differences to any partner signs only its k + 1 highest parts: of
 agree on, the highest is among the k + 1 highest of both, so they share that signature, and parts with
 few or no shingles, on which unrelated sets would agree, are left out.  No link is lost.
 
-Candidates.  Signatures travel in packets.  Groups of up to `small` documents give all pairs; larger ones
-give a star around their smallest document.  Pairs pass a sound filter first (parities of hashed shingles:
-two sets cannot differ in fewer shingles than their parities do) and are then verified on the sets
-themselves.  Only documents of such pairs (and a few more, by a bitmap of bounded size) send their sets.  Large groups whose members are not yet in one component go on: a few rounds pair members at
-random, a linear number of pairs, which joins what is densely linked; then every member is compared with
-every one of another component, by parities, in blocks of bounded size within tasks, and only pairs that
-pass are made and verified.  So no pair across components stays unchecked and no link is lost.
+Candidates.  Signatures travel in packets.  Groups of up to `small` sets give all pairs; larger ones give a
+star around one of them and a random cycle, twice as many pairs as members, which joins what is densely
+linked.  Pairs pass a sound filter first (parities of hashed shingles: two sets cannot differ in fewer
+shingles than their parities do) and are then verified on the sets themselves.  Only documents of such
+pairs (and a few more, by a bitmap of bounded size) send their sets.  In large groups whose members are then
+not yet in one component every member is compared with every one of another component, by parities, in
+blocks of bounded size within tasks, and only pairs that pass are made and verified.  So no pair across
+components stays unchecked and no link is lost.
+
+Sets are told apart by two 64-bit sums of their hashed shingles and verified on 48 bits of each shingle:
+right but for collisions of these hashes, which no part of the text can steer.
 
 Null or empty text: an empty set, linked with nothing.  Fewer words than `width`: the whole sequence is one
-shingle.  Rows without doc_id are left out; rows that repeat a doc_id share its component.  Other columns
-are ignored.
+shingle.  Every row is a row of the result, repeated rows and rows without doc_id too; the latter take part
+in links, and component_id is null where no document of the component has an id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packets
-from .common import cut, doc_chunks, ints, shuffle_buckets, strings
+from .common import cut, doc_chunks, ints, only_rows, shuffle_buckets, strings
 from .graph import components
 from .words import Words, mix, windows
 
 U = np.uint64
 SMALL = 6
-_RANDOM_ROUNDS, _BLOCK = 2, 2048
+_BLOCK = 2048
 _SPARE = 1.2
 _LOW48 = U((1 << 48) - 1)
 
@@ -94,13 +98,17 @@ def _chunk_sets(batch: pa.RecordBatch, width: int):
         yield i, j, sets, np.searchsorted(of, np.arange(j - i + 1))
 
 
+_DESCRIBED = "doc_id long, raw long, rid long, n long, one long, two long, sketch binary"
+
+
 def _describe(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, sets, first in _chunk_sets(batch, width):
                 one, two = _prints(sets, first)
                 sketches = [_sketch(sets[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "n", "one", "two", "sketch"])
+                own = (batch.column(c).slice(i, j - i) for c in ("doc_id", "raw", "rid"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "raw", "rid", "n", "one", "two", "sketch"])
 
     return run
 
@@ -145,29 +153,32 @@ def signatures(sets: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nd
 
 
 def _signature_packets(width: int, percent: int, buckets: int):
+    """(signature, first sum of the set) of each distinct set of a batch."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seen, keys, docs = ints(batch, "doc_id"), set(), [], []
-            for i, _, sets, first in _chunk_sets(batch, width):
+            seen, keys, names = set(), [], []
+            for _, _, sets, first in _chunk_sets(batch, width):
+                one, two = _prints(sets, first)
                 fresh = np.zeros(len(first) - 1, bool)
-                for d, p in enumerate(zip(*(x.tolist() for x in _prints(sets, first)), strict=True)):
+                for d, p in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
                     if p not in seen:
                         seen.add(p)
                         fresh[d] = True
                 key, owner = signatures(sets, first, percent)
                 keep = fresh[owner]
                 keys.append(key[keep])
-                docs.append(ids[i + owner[keep]])
+                names.append(one.view(np.int64)[owner[keep]])
             if keys:
-                key, doc = np.concatenate(keys), np.concatenate(docs)
+                key, name = np.concatenate(keys), np.concatenate(names)
                 order = np.argsort(key, kind="stable")
-                yield from packets.split(buckets, key[order], doc[order], np.zeros(len(key), np.int32))
+                yield from packets.split(buckets, key[order], name[order], np.zeros(len(key), np.int32))
 
     return run
 
 
 def group_pairs(key: np.ndarray, doc: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b) out of groups of equal keys, and which entries (sorted by key and doc) belong to large groups."""
+    """Pairs out of groups of equal keys, and which entries (sorted by key and doc) belong to large groups."""
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     begin = np.flatnonzero(first)
@@ -175,6 +186,10 @@ def group_pairs(key: np.ndarray, doc: np.ndarray, small: int) -> tuple[np.ndarra
     group = np.cumsum(first) - 1
     large = size[group] > small
     a, b = [doc[begin[group[large]]]], [doc[large]]
+    many = np.flatnonzero(large)  # in each large group a cycle in an order that all groups share
+    many = many[np.lexsort((mix(doc[many].view(U)), group[many]))]
+    a.append(doc[many[:-1]][group[many[1:]] == group[many[:-1]]])
+    b.append(doc[many[1:]][group[many[1:]] == group[many[:-1]]])
     few = np.flatnonzero(~large)
     for step in range(1, small):
         i = few[few + step < len(key)]
@@ -195,7 +210,7 @@ def _candidate_packets(buckets: int, small: int):
             key, doc = key[new], doc[new]
             a, b, large = group_pairs(key, doc, small)
             if len(a):
-                pair = np.unique(np.stack([a, b]), axis=1)
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 at = (mix(mix(pair[0].astype(U)) ^ pair[1].astype(U)) >> U(33)).astype(np.int64) % buckets
                 order = np.argsort(at, kind="stable")
                 yield from packets.of_sorted(at[order], packets.ASK, [pair[1][order].astype(U), None, pair[0][order], np.zeros(len(order), np.int32)])
@@ -213,6 +228,10 @@ def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(pair.shape[1], kind, np.int32)), pa.array(pair[0].copy()), pa.array(pair[1].copy())], ["kind", "a", "b"])
 
 
+_PAIR = "x long, y long, a long, ra long, b long, rb long, cx long, cy long"
+_PAIR_NAMES = [c.split()[0] for c in _PAIR.split(", ")]
+
+
 def _plausible(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,17 +240,17 @@ def _plausible(percent: int):
                 x, y, m = int.from_bytes(sa, "little"), int.from_bytes(sb, "little"), 8 * min(len(sa), len(sb))
                 x, y = (x ^ x >> m) & ((1 << m) - 1), (y ^ y >> m) & ((1 << m) - 1)  # sizes within a factor of two: one fold at most
                 keep.append((x ^ y).bit_count() * (100 + percent) <= (na + nb) * (100 - percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(_PAIR_NAMES).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _marks(size: int):
-    """Words of a bitmap of `size` bits with a bit for each id."""
+    """Words of a bitmap of `size` bits with a bit for each row name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(np.concatenate([mix(ints(batch, c).astype(U)) for c in ("a", "b")]) & U(size - 1))
+            bit = np.unique(np.concatenate([mix(ints(batch, c).astype(U)) for c in ("ra", "rb")]) & U(size - 1))
             if len(bit):
                 begin = np.flatnonzero(np.diff(bit >> U(6), prepend=U(size)))
                 words = np.bitwise_or.reduceat(U(1) << (bit & U(63)), begin)
@@ -240,8 +259,8 @@ def _marks(size: int):
     return run
 
 
-def id_bitmap(pairs: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """A bitmap of the hashed ids of pairs: 32 bits a pair, most_bits at most.
+def name_bitmap(pairs: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of the hashed row names of pairs: 32 bits a pair, most_bits at most.
 
     It only spares work: what it lets through besides is dropped by the joins, at any size."""
     size = 1 << min(most_bits.bit_length() - 1, max(16, (32 * pairs.count()).bit_length()))
@@ -252,16 +271,23 @@ def id_bitmap(pairs: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
 
 def _sets(width: int, bitmap):
-    """Shingle sets, as 6 bytes a shingle, of the documents whose ids are in a broadcast bitmap."""
+    """Shingle sets, as 6 bytes a shingle, of the rows whose names are in a broadcast bitmap; a task sends a row once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            bit = mix(ints(batch, "doc_id").astype(U)) & U(64 * len(bitmap.value) - 1)
+            bit = mix(ints(batch, "rid").astype(U)) & U(64 * len(bitmap.value) - 1)
             batch = batch.filter(pa.array((bitmap.value[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1))
-            for i, j, sets, first in _chunk_sets(batch, width):
-                packed = [np.unique(sets[a:b] & _LOW48).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                packed = [np.frombuffer(p, np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in packed]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
+            rids = ints(batch, "rid").tolist()
+            for i, _, sets, first in _chunk_sets(batch, width):
+                names, rows, packed = _prints(sets, first)[0].view(np.int64).tolist(), [], []
+                for d, name in enumerate(names):
+                    if (rids[i + d], name) not in seen and first[d] < first[d + 1]:
+                        seen.add((rids[i + d], name))
+                        rows.append(d)
+                        low = np.unique(sets[first[d] : first[d + 1]] & _LOW48)
+                        packed.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([rids[i + d] for d in rows], pa.int64()), pa.array([names[d] for d in rows], pa.int64()), pa.array(packed, pa.binary())], ["rid", "one", "shingles"])
 
     return run
 
@@ -288,63 +314,60 @@ def _verify(percent: int):
     return run
 
 
-def similarity_components(documents: DataFrame, width: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    buckets = shuffle_buckets(documents.sparkSession)
-    described = cut(docs.mapInArrow(_describe(width), "doc_id long, n long, one long, two long, sketch binary"))
-    # abs() keeps n and hides the partitioning, so both sides of the join are exchanged and a hot group can be split
-    groups = described.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")).select(F.abs("n").alias("n"), "one", "two", "rep")
-    members = cut(described.select("doc_id", "n", "one", "two").join(groups, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    found = docs.mapInArrow(_signature_packets(width, percent, buckets), packets.PACKET).repartitionById(buckets, "bucket")
+def _components(documents: DataFrame, width: int, percent: int, small: int) -> DataFrame:
+    """doc_id, raw (hash of the text), n, component (a number, null for empty sets) and component_id of every row."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("raw", F.xxhash64("text")).withColumn("rid", F.coalesce("doc_id", "raw"))
+    buckets = shuffle_buckets(spark)
+    described = cut(docs.mapInArrow(_describe(width), _DESCRIBED))
+    groups = described.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("low"), F.min("rid").alias("rid"), F.max("sketch").alias("sketch"))
+    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))
+    found = docs.select("text").mapInArrow(_signature_packets(width, percent, buckets), packets.PACKET).repartitionById(buckets, "bucket")
     found = cut(found.mapInArrow(_candidate_packets(buckets, small), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_unpack, "kind int, a long, b long"))
-    reps = members.select(F.col("doc_id").alias("__d"), F.col("rep"))
-    sketches = described.dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch")
-    to_rep = lambda df, c: df.join(reps, df[c] == F.col("__d")).drop("__d", c).withColumnRenamed("rep", c)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-        sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = cut(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(percent), "a long, b long"))
-        sets = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_bitmap(likely))), "doc_id long, shingles binary")
-        both = likely.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
-        return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
-
-    linked = cut(links(to_rep(to_rep(found.where("kind = 0").select("a", "b"), "a"), "b")))
-    labels = components(linked)
-    large = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("key"))
-    if not large.isEmpty():
-        entries = cut(to_rep(large, "doc").distinct())
-        for step in range(_RANDOM_ROUNDS + 1):
-            mixed = _mixed(entries, labels)
-            if step < _RANDOM_ROUNDS:
-                more = cut(links(_random_pairs(mixed, step)))
-            else:
-                sized = mixed.join(sketches.toDF("doc", "n", "sketch"), "doc")
-                more = cut(links(_blocks(sized).mapInArrow(_across(percent), "a long, b long")))
+
+    def verified(likely: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that link: numbers of nodes or, for cx and cy, of their components."""
+        bitmap = spark.sparkContext.broadcast(name_bitmap(likely))
+        sets = docs.select("rid", "text").mapInArrow(_sets(width, bitmap), "rid long, one long, shingles binary")
+        both = likely.join(sets.toDF("rb", "b", "right"), ["rb", "b"]).join(sets.toDF("ra", "a", "left"), ["ra", "a"])
+        linked = cut(both.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "left", "right").mapInArrow(_verify(percent), "a long, b long"))
+        bitmap.destroy()
+        return linked
+
+    side = lambda name, node, rid, n, sketch: groups.select(F.col("one").alias(name), F.col("node").alias(node), F.col("rid").alias(rid), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    pairs = found.where("kind = 0").select("a", "b").join(side("a", "x", "ra", "na", "sa"), "a").join(side("b", "y", "rb", "nb", "sb"), "b")
+    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").withColumns({"cx": F.col("x"), "cy": F.col("y")})
+    labels = components(verified(cut(pairs.mapInArrow(_plausible(percent), _PAIR))))
+    placed = groups.select("node", "n", "one", "two", "low").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    entries = found.where("kind = 1").select(F.col("a").alias("one"), F.col("b").alias("key"))
+    if not entries.isEmpty():
+        placed = cut(placed)
+        mixed = _mixed(entries.join(placed.select("one", "node", "component"), "one"))
+        if not mixed.isEmpty():
+            sized = mixed.join(groups.select("node", "n", "sketch", "rid"), "node")
+            more = verified(cut(_blocks(sized).mapInArrow(_across(percent), _PAIR).distinct()))
             if not more.isEmpty():
-                linked = linked.union(more)
-                labels = components(linked)
-            elif step < _RANDOM_ROUNDS and mixed.isEmpty():
-                break
-    return members.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+                joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))
+                placed = placed.join(joined, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    placed = cut(placed)
+    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    # abs() keeps n and hides the partitioning, so both sides of the join are exchanged and a hot group can be split
+    named = placed.join(lowest, "component").select(F.abs("n").alias("n"), "one", "two", "component", "component_id")
+    rows = described.select("doc_id", "raw", "n", "one", "two").join(named, ["n", "one", "two"], "left")
+    return rows.select("doc_id", "raw", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, doc, component, size (of the key's group), main (its most frequent component) of groups of several components."""
-    at = entries.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = at.groupBy("key", "component").agg(F.count("*").alias("k"))
-    keys = counts.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
-    return cut(at.join(keys.where("parts > 1").select(F.col("key").alias("__key"), "size", "main"), F.col("key") == F.col("__key")).drop("__key"))
+def similarity_components(documents: DataFrame, width: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    return _components(documents, width, percent, small).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _random_pairs(mixed: DataFrame, step: int) -> DataFrame:
-    """About half as many pairs as members, across components: members that fall into one of `size` slots."""
-    slot = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("size"))
-    few = mixed.groupBy("key", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("m")).where("size(m) > 1")
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y.doc > x.doc) & (y.component != x.component)), lambda y: F.struct(x.doc.alias("a"), y.doc.alias("b")))))
-    return few.select(F.inline(pairs)).distinct()
+def _mixed(entries: DataFrame) -> DataFrame:
+    """key, node, component, one, size (of the key's group), main (its first member's component), others (members outside it), for groups of several components."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "one").alias("main")).where("least < most")
+    at = entries.join(keys.select(F.col("key").alias("__key"), "size", "main"), F.col("key") == F.col("__key")).drop("__key")
+    return cut(at)
 
 
 def _blocks(mixed: DataFrame) -> DataFrame:
@@ -353,20 +376,20 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     Blocks of the main component meet only the others; the others meet all."""
     rest = F.col("component") != F.col("main")
     sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others")).withColumnRenamed("key", "__key")
-    m = mixed.join(sides, F.col("key") == F.col("__key")).drop("__key")
+    m = mixed.withColumnRenamed("one", "name").join(sides, F.col("key") == F.col("__key")).drop("__key")
     n_rest = F.ceil(F.col("others") / _BLOCK).cast("int")
     n_main = F.ceil((F.col("size") - F.col("others")) / _BLOCK).cast("int")
-    own = F.when(rest, F.pmod(F.xxhash64("doc"), n_rest)).otherwise(n_rest + F.pmod(F.xxhash64("doc"), n_main)).cast("int")
+    own = F.when(rest, F.pmod(F.xxhash64("node"), n_rest)).otherwise(n_rest + F.pmod(F.xxhash64("node"), n_main)).cast("int")
     meets = F.sequence(F.lit(0), F.when(rest, n_rest + n_main).otherwise(n_rest) - 1)
     dealt = m.withColumn("own", own).withColumn("other", F.explode(meets)).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
-    return dealt.select("key", "one", "two", "own", "doc", "component", "n", "sketch").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return dealt.select("key", "one", "two", "own", "node", "component", "n", "sketch", "rid", "name").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
 
 def _across(percent: int):
     """Pairs of one pair of blocks that may link, across components."""
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, part, n, own = (rows.column(c).to_numpy() for c in ("doc", "component", "n", "own"))
+        part, n, own = (rows.column(c).to_numpy() for c in ("component", "n", "own"))
         raw = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
         width = min(map(len, raw))
         bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in raw])
@@ -382,20 +405,21 @@ def _across(percent: int):
             close = (apart * (100 + percent) <= total * (100 - percent)) & (part[x][:, None] != part[right][None, :])
             close &= 100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])
             p, q = np.nonzero(close)
-            a.append(doc[x[p]])
-            b.append(doc[right[q]])
+            a.append(x[p])
+            b.append(right[q])
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for group in runs(batches, ("key", "one", "two")):
             a, b = compare(group)
-            pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - seen
-            if len(seen) < 1_000_000:  # only saves repetitions; the pairs are made distinct later
-                seen |= pairs
-            if pairs:
-                one, two = zip(*sorted(pairs), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+            node, name, rid, part = (group.column(c).to_numpy() for c in ("node", "name", "rid", "component"))
+            swap = node[a] > node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            rows = [i for i, p in enumerate(zip(node[a].tolist(), node[b].tolist(), strict=True)) if not (p in seen or (len(seen) < 1_000_000 and seen.add(p)))]  # only saves repetitions; the pairs are made distinct later
+            if rows:
+                a, b = a[rows], b[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (node[a], node[b], name[a], rid[a], name[b], rid[b], part[a], part[b])], _PAIR_NAMES)
 
     return run
 
@@ -421,6 +445,10 @@ def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows and columns; of each component the document with the smallest doc_id stays."""
-    kept = similarity_components(documents, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    return documents.join(kept, documents["doc_id"] == kept["__kept_id"], "left_semi")
+    """The input's rows and columns; of each component one row stays, of those with the smallest doc_id.
+
+    Rows without a word are linked with nothing, so all of them stay; of rows that repeat doc_id and text one does."""
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw")
+    first = _components(documents, width, percent, SMALL).where("n > 0").groupBy("component").agg(F.min(row).alias("row"))
+    return only_rows(documents.where(worded), first.select("row.doc_id", "row.raw")).union(documents.where(~worded))

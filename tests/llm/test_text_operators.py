@@ -159,12 +159,14 @@ def test_linked_sets_share_a_signature():
 
 
 def test_ngram_join_of_repeated_rows_and_empty_table(spark):
-    text = " ".join(f"w{i}" for i in range(30))
-    rows = spark.createDataFrame([(5, text), (5, text), (9, text + " x"), (None, text), (7, "")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(rows).collect())
-    assert got == [(5, 26, 5), (7, 0, 7), (9, 27, 5)]
+    text, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "wv")
+    rows = spark.createDataFrame([(5, text), (5, text), (9, text + " x"), (None, text), (7, ""), (None, None), (5, other), (6, other), (None, "alone")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(rows).collect())
+    assert got == {(5, 26, 5): 4 - 1, (6, 26, 5): 1, (7, 0, 7): 1, (9, 27, 5): 1, (None, 26, 5): 1, (None, 0, None): 1, (None, 1, None): 1}
     assert ngram_join.similarity_components(rows.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in ngram_join.keep_one(rows).collect()) == [5, 5, 7]
+    kept = ngram_join.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, ""), (0, "alone"), (5, "v0 v1"), (5, "w0 w1"), (7, "")]
 
 
 def test_components_of_chains_and_stars(spark):

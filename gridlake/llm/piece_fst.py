@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compile.  The normaliser (white space to its mark, and the mark put before the text), the pieces (a trie of
-arcs from characters to ids) and byte fallback (a character without a piece becomes its UTF-8 bytes) are
-composed once into one transducer.  Encode.  Composing it with an input gives an acyclic lattice over the
-places of the input; the shortest path in the tropical semiring is the encoding.  Decode runs backwards.
+Compile.  The normaliser (a space to its mark, and a mark put before the text), the pieces (a trie of arcs
+from characters to ids) and byte fallback (a character without a piece becomes its UTF-8 bytes) are composed
+once into one transducer: an arc that reads the mark in a piece reads a space as well.  Encode.  Composing it
+with an input gives an acyclic lattice over the places of the input; the shortest path in the tropical
+semiring is the encoding.  Decode runs backwards.
 
 Weights.  In a unigram model an arc weighs its piece's negative score.  A merge (BPE) model has no path
 weights; its encoding is the one path on which all neighbouring pieces are stable, that is, merging the
 characters of the two pieces yields these two pieces again.  So pairs are composed in as arcs of weight 0
-(stable) or infinity (not), found on demand by running the merges on the pair; each place of the lattice is
-then reached by exactly one finite path, and the result equals that of merging the whole text.
+(stable) or infinity (not), found on demand by undoing the merges next to the border from the last to the
+first; each place of the lattice is then reached by exactly one finite path, and the result equals that of
+merging the whole text.
 
 No piece may hold the white-space mark after another character (checked when compiling), so no path that
-is shortest crosses a mark in mid-piece: inputs split at marks, and the segments' paths are remembered.
+is shortest crosses a mark in mid-piece: inputs split at marks, and the segments' paths are remembered as
+packed ids (two generations of `_REMEMBER` entries, so frequent ones stay).
 
 Null or empty text: no ids.  Null doc_id stays.  Other columns are ignored.  A white-space mark (U+2581)
 in the input decodes to a space, as in the model's own library.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}*[^{MARK}]*")
+_SEGMENT = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
 _REMEMBER = 300_000
 _loaded: dict[str, PieceTransducer] = {}
 
@@ -50,10 +53,23 @@ class PieceTransducer:
                 raise ValueError(f"piece {piece!r} holds white space after other characters")
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
+                below = node.setdefault(c, {})
+                if c == MARK:
+                    node[" "] = below  # the normaliser's arc, composed in
+                node = below
             node[""] = i
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._paths: dict[str, list[int]] = {}
+        self.texts = [self._text(p, k) for p, k in zip(pieces, kinds, strict=True)]
+        self._pairs: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._paths: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _text(piece: str, kind: str) -> bytes:
+        """What an id decodes to."""
+        if kind == "byte":
+            return bytes([int(piece[3:5], 16)])
+        return piece.replace(MARK, " ").encode() if kind == "normal" else " ⁇ ".encode() if kind == "unknown" else b""
 
     @classmethod
     def load(cls, path: str) -> PieceTransducer:
@@ -81,36 +97,70 @@ class PieceTransducer:
             at = best[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _split(self, i: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes piece i, None for a single character."""
+        if i not in self._halves:
+            parts = list(self.pieces[i])
+            while len(parts) > 2:
+                at = min((-self.scores[j], k) for k in range(len(parts) - 1) if (j := self.ids.get(parts[k] + parts[k + 1])) is not None)[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._halves[i] = (self.ids[parts[0]], self.ids[parts[1]]) if len(parts) == 2 else None
+        return self._halves[i]
+
+    def _holds(self, x: int, y: int) -> bool:
+        """Whether merging the characters of pieces x and y gives these two again.
+
+        Going back in time, the later of the two pieces at the border is undone; a merge across the border
+        that has its turn before the one undone would have come first."""
+        pieces, scores, ids = self.pieces, self.scores, self.ids
+        limit, left = float("-inf"), True  # left: equal scores, the undone merge comes first
+        while True:
+            c = ids.get(pieces[x] + pieces[y])
+            if c is not None and (scores[c] > limit or (scores[c] == limit and not left)):
+                return False
+            one, two = self._split(x), self._split(y)
+            if one is None and two is None:
+                return True
+            if two is None or (one is not None and scores[x] < scores[y]):
+                limit, left, x = scores[x], True, one[1]
+            else:
+                limit, left, y = scores[y], False, two[0]
+
     def _stable(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a * len(self.pieces) + b
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > _REMEMBER:
+            if len(self._pairs) > 2 * _REMEMBER:
                 self._pairs.clear()
-            one, two = self.pieces[a], self.pieces[b]
-            found = self._pairs[key] = self.merged(one + two) == [one, two]
+            found = self._pairs[key] = self._holds(a, b)
         return found
 
     def shortest_path(self, segment: str) -> list[int]:
-        """Output ids of the shortest path through the lattice of a normalised segment."""
+        """Output ids of the shortest path through the lattice of a segment."""
         n = len(segment)
         cost, back = [0.0] + [float("inf")] * n, [(-1, -1)] * (n + 1)
+        trie, merges, pairs, size = self.trie, self.merges, self._pairs, len(self.pieces)
         for at in range(n):
-            if cost[at] == float("inf"):
+            here = cost[at]
+            if here == float("inf"):
                 continue
-            before, node, end = back[at][1], self.trie, at
+            before, node, end = back[at][1], trie, at
             while end < n and (node := node.get(segment[end])) is not None:
                 end += 1
                 i = node.get("")
                 if i is not None:
-                    if self.merges:
-                        weight = 0.0 if before < 0 or self._stable(before, i) else float("inf")
-                    else:
-                        weight = -self.scores[i]
-                    if cost[at] + weight < cost[end]:
-                        cost[end], back[end] = cost[at] + weight, (at, i)
-            if segment[at] not in self.ids and cost[at] + self.unknown_cost < cost[at + 1]:
-                cost[at + 1], back[at + 1] = cost[at] + self.unknown_cost, (at, -1)
+                    if merges:
+                        if here >= cost[end]:
+                            continue
+                        if before >= 0:
+                            holds = pairs.get(before * size + i)
+                            if not (self._stable(before, i) if holds is None else holds):
+                                continue
+                        cost[end], back[end] = here, (at, i)
+                    elif here - self.scores[i] < cost[end]:
+                        cost[end], back[end] = here - self.scores[i], (at, i)
+            if "" not in trie.get(segment[at], ()) and here + self.unknown_cost < cost[at + 1]:
+                cost[at + 1], back[at + 1] = here + self.unknown_cost, (at, -1)
         out: list[int] = []
         end = n
         while end:
@@ -118,42 +168,42 @@ class PieceTransducer:
             if i >= 0:
                 out.append(i)
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(segment[at:end].encode("utf-8", "replace"))]
+                out += [self.bytes[b] for b in reversed(segment[at:end].replace(" ", MARK).encode("utf-8", "replace"))]
             else:
                 out.append(self.unknown)
             end = at
         out.reverse()
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _path(self, segment: str) -> bytes:
+        """Packed ids of a segment that is not among the newer ones."""
+        path = self._older.get(segment)
+        if path is None:
+            path = np.array(self.shortest_path(segment), "<i4").tobytes()
+        if len(segment) < 64:
+            if len(self._paths) > _REMEMBER:
+                self._older, self._paths = self._paths, {}
+            self._paths[segment] = path
+        return path
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         if not text:
-            return []
-        text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        out: list[int] = []
-        paths = self._paths
-        for segment in _SEGMENT.findall(text):
-            path = paths.get(segment)
-            if path is None:
-                path = self.shortest_path(segment)
-                if len(segment) < 64:
-                    if len(paths) > _REMEMBER:
-                        paths.clear()
-                    paths[segment] = path
-            out += path
-        return out
+            return b""
+        segments = _SEGMENT.findall((MARK if self.prefix else "") + text)
+        get, other = self._paths.get, self._path
+        return b"".join([get(x) or other(x) for x in segments])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def decoded(self, ids: Iterable[int]) -> bytes:
+        texts = self.texts
+        out = b"".join([texts[i] for i in ids])
+        return out[1:] if self.prefix and out[:1] == b" " else out
 
     def decode(self, ids: Iterable[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == "byte":
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == "normal":
-                out += self.pieces[i].encode()
-            elif kind == "unknown":
-                out += " ⁇ ".encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 def model_path(path: str | None) -> str:
@@ -171,18 +221,15 @@ def encode_pieces(documents: DataFrame, path: str | None = None, with_ids: bool
         fst = PieceTransducer.load(model_path(path))
         for batch in batches:
             for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids, crc, same = [], [], []
-                for text in piece.column("text").to_pylist():
-                    found = fst.encode(text or "")
-                    packed = np.array(found, "<u4")
-                    ids.append(packed.astype(np.int32) if with_ids else len(found))
-                    crc.append(zlib.crc32(packed.tobytes()))
-                    same.append(fst.decode(found) == (text or ""))
-                sizes = [len(x) for x in ids] if with_ids else ids
-                columns = [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                packed = [fst.packed(t) for t in texts]
+                ids = np.frombuffer(b"".join(packed), "<i4").astype(np.int32)
+                ends = np.cumsum([0] + [len(x) // 4 for x in packed])
+                same = [fst.decoded(ids[a:b].tolist()) == t.encode("utf-8", "replace") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+                columns = [piece.column("doc_id"), pa.array(np.diff(ends)), pa.array([zlib.crc32(x) for x in packed], pa.int64()), pa.array(same, pa.bool_())]
                 names = ["doc_id", "n_ids", "ids_crc32", "round_trip"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -1,22 +1,27 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page becomes a flat list of text blocks.  A block ends at every tag that is not an inline one.  Each
-block has its word count and link density, those of the blocks before and after it, and what encloses it
-(the nearest telling element: an article or main part, or a menu, header, footer, sidebar, notice, advert,
-form, comment list).  A decision tree, grown on the small labelled table below, says which blocks are main
-text.  Scripts, styles, templates, comments and the page's head never make blocks.
+block has its word count, link density and words per line, whether it is a heading, the word counts and link
+densities of the two blocks before and after it, and what encloses it, where the page says so (the nearest
+telling element: an article or main part, or a menu, header, footer, sidebar, notice, advert, form, comment
+list).  A decision tree says which blocks are main text.  It is grown on the small labelled table below, and
+each of its pages is there twice, with and without enclosing elements, so that counts and densities decide
+wherever a page names nothing.  Scripts, styles, templates, comments and the page's head never make blocks.
 
 Text: character references are decoded, white space within a block becomes one space, ends are trimmed,
 blocks are joined in page order by one line feed; nothing else is dropped or capped.
 
 Null html: an empty page, empty text.  Null ids and urls stay.  Repeated rows give repeated results.  Other
-columns are ignored.  Unclosed and misnested tags are taken as they come.
+columns are ignored.  Unclosed and misnested tags are taken as they come: a tag or quote that is never closed
+ends the reading of quotes, from there on a tag ends at the first ">".  Reading takes time linear in the page.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_LETTER = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,9 +53,6 @@ WORDS = {
 }
 _KIND_OF = {word: kind for kind, words in WORDS.items() for word in words.split()}
 KINDS = ("none", "main", "menu", "header", "footer", "side", "notice", "advert", "form", "comments", "caption")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_frame", "in_aside", "heading")
-
-
 def _kind(tag: str, attributes: str) -> str | None:
     if not attributes.strip():
         return NAMES.get(tag)
@@ -76,128 +80,188 @@ class Block:
         self.text, self.words, self.linked, self.kind, self.main, self.heading = text, words, linked, kind, main, heading
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of each tag; name is empty for comments and declarations."""
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else size
+            yield at, end, "", "", ""
+            at = end
+        elif at > last:  # no tag can end
+            return
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+            at = end
+        elif _LETTER.match(page, at):
+            m = _TAG.match(page, at) if quotes else None
+            if m is None:
+                quotes, m = False, _PLAIN_TAG.match(page, at)
+            yield at, m.end(), m[1], m[2].lower(), m[3]
+            at = m.end()
+        else:
+            at += 1
+
+
+class _Open:
+    """An open element and what it and those around it say of the text inside."""
+
+    __slots__ = ("tag", "inner", "main", "bad")
+
+    def __init__(self, tag: str, kind: str | None, around: _Open | None) -> None:
+        inner, main, bad = (around.inner, around.main, around.bad) if around else ("none", False, None)
+        self.tag, self.main, self.bad = tag, main or kind == "main", kind if kind in ("comments", "advert", "notice", "form") else bad
+        self.inner = inner if kind is None else "main" if kind == "header" and main else kind  # an article's own header
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in their order."""
     found: list[Block] = []
-    stack: list[tuple[str, str | None]] = []
+    stack: list[_Open] = []
+    opened: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
-    link, at, heading = 0, 0, False
+    unclosed: set[str] = set()
+    link, heading, at, skip = 0, False, 0, 0
+
+    def push(tag: str, kind: str | None) -> None:
+        stack.append(_Open(tag, kind, stack[-1] if stack else None))
+        opened[tag] += 1
 
     def close() -> None:
-        nonlocal parts
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = sum(len(p.split()) for p, is_link in parts if is_link)
-                kinds = [k for _, k in stack if k]
-                inner = kinds[-1] if kinds else "none"
-                if inner == "header" and "main" in kinds[:-1]:
-                    inner = "main"  # an article's own header
-                bad = next((k for k in reversed(kinds) if k in ("comments", "advert", "notice", "form")), None)
-                found.append(Block(text, len(text.split()), linked, bad or inner, "main" in kinds, heading))
-            parts = []
-
-    size, skip = len(page), None
-    while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            parts.append((html.unescape(page[at:end]), link > 0))
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+                top = stack[-1] if stack else None
+                found.append(Block(text, text.count(" ") + 1, linked, (top.bad or top.inner) if top else "none", bool(top and top.main), heading))
+            parts.clear()
+
+    for start, end, slash, tag, attributes in _tokens(page):
+        if start < skip:
             continue
-        tag = m[2].lower()
-        if not m[1] and tag in SKIPPED:
-            if not m[3].endswith("/"):
-                skip = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = skip.end() if skip else (size if tag != "head" else at)
+        if start > at:
+            parts.append((html.unescape(page[at:start]), link > 0))
+        at = end
+        if not tag:
+            continue
+        if not slash and tag in SKIPPED:
+            if not attributes.endswith("/"):
+                m = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+                if m:
+                    at = skip = m.end()
+                else:
+                    unclosed.add(tag)
+                    at = skip = end if tag == "head" else len(page)
             close()
             continue
         if tag in INLINE:
             if tag == "a":
-                link = max(0, link - 1) if m[1] else 1
+                link = max(0, link - 1) if slash else 1
             elif tag == "br":
                 parts.append((" ", link > 0))
-            elif not m[1] and m[3] and (kind := _kind(tag, m[3])) and kind != "main":
-                stack.append((tag, kind))
+            elif not slash and attributes and (kind := _kind(tag, attributes)) and kind != "main":
+                push(tag, kind)
                 continue
-            if m[1] and stack and stack[-1][0] == tag:
-                stack.pop()
+            if slash and stack and stack[-1].tag == tag:
+                opened[stack.pop().tag] -= 1
             continue
         close()
-        if m[1]:
+        if slash:
             link = 0
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                closed = stack.pop().tag
+                opened[closed] -= 1
+                if closed == tag:
                     break
         else:
             heading = tag[0] == "h" and tag[1:].isdigit()
-            if tag not in VOID and not m[3].endswith("/") and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.append((tag, _kind(tag, m[3])))
-            elif tag in ("p", "li", "td") and m[3] and (kind := _kind(tag, m[3])) and kind != "main":
-                stack.append((tag, kind))
+            if tag not in VOID and not attributes.endswith("/") and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+                push(tag, _kind(tag, attributes))
+            elif tag in ("p", "li", "td") and attributes and (kind := _kind(tag, attributes)) and kind != "main":
+                push(tag, kind)
+    if at < len(page):
+        parts.append((html.unescape(page[at:]), link > 0))
     close()
     return found
 
 
-def block_features(found: list[Block]) -> np.ndarray:
-    """FEATURES of each block; the page's border counts as an empty block."""
-    n = len(found)
-    words = np.array([0, *(b.words for b in found), 0], np.float64)
-    links = np.array([0, *(b.linked / b.words for b in found), 0], np.float64)
-    kind = [b.kind for b in found]
-    columns = [
-        words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:],
-        np.array([b.main for b in found], np.float64),
-        np.array([k in ("menu", "header", "footer") for k in kind], np.float64),
-        np.array([k in ("side", "notice", "advert", "form", "comments") for k in kind], np.float64),
-        np.array([b.heading for b in found], np.float64),
-    ]
-    return np.stack(columns, axis=1) if n else np.zeros((0, len(FEATURES)))
+_NEAR = (-2, -1, 0, 1, 2)
+FEATURES = (*(f"words{d:+d}" for d in _NEAR), *(f"links{d:+d}" for d in _NEAR), "words_a_line", "heading", "enclosure")
+_FRAME, _ASIDE = ("menu", "header", "footer"), ("side", "notice", "advert", "form", "comments")
+
+
+def features(words: list[int], linked: list[int], lines: list[int], heading: list[bool], main: list[bool], kind: list[str]) -> np.ndarray:
+    """FEATURES of the blocks of one page; beyond its ends lie empty blocks.
+
+    enclosure: 1 in a main part, -1 in anything else that tells, 0 where the page says nothing."""
+    n = len(words)
+    count = np.zeros(n + 4)
+    count[2:-2] = words
+    share = np.zeros(n + 4)
+    share[2:-2] = linked
+    share /= np.maximum(count, 1)
+    near = [x[2 + d : n + 2 + d] for x in (count, share) for d in _NEAR]
+    enclosure = [-1 if k in _FRAME or k in _ASIDE else int(m) for k, m in zip(kind, main, strict=True)]
+    return np.stack([*near, count[2:-2] / np.maximum(lines, 1), np.array(heading, np.float64), np.array(enclosure, np.float64)], axis=1) if n else np.zeros((0, len(FEATURES)))
+
+
+def block_features(found: list[Block], line: int = 80) -> np.ndarray:
+    """FEATURES of each block; a line has so many characters."""
+    return features([b.words for b in found], [b.linked for b in found], [-(-len(b.text) // line) for b in found], [b.heading for b in found], [b.main for b in found], [b.kind for b in found])
 
 
-#: Labelled by hand: FEATURES, then 1 for main text.  Typical blocks of news, blog, shop and forum pages.
+#: Labelled by hand: pages of news, blogs, shops, wikis and forums as rows of blocks.  A block is a letter for what
+#: encloses it (m main, n menu, t header, f footer, s sidebar, c comments, x notice, a advert, o form, b nothing),
+#: its words, "/" and its linked words, "h" for a heading, "+" for main text.
 LABELLED = (
-    # paragraphs of an article, long, short, with a few links, after and before other things
-    (48, 0.00, 62, 0.00, 55, 0.00, 1, 0, 0, 0, 1), (120, 0.02, 9, 0.00, 80, 0.00, 1, 0, 0, 0, 1), (2, 0.00, 90, 0.00, 77, 0.00, 1, 0, 0, 0, 1),
-    (1, 0.00, 1, 0.00, 140, 0.00, 1, 0, 0, 0, 1), (35, 0.10, 40, 0.00, 8, 1.00, 1, 0, 0, 0, 1), (14, 0.00, 15, 0.00, 5, 0.00, 1, 0, 0, 0, 1),
-    (6, 0.00, 1, 1.00, 30, 0.00, 1, 0, 0, 0, 1), (75, 0.00, 70, 0.00, 6, 0.00, 1, 0, 0, 0, 1), (22, 0.30, 50, 0.00, 41, 0.00, 1, 0, 0, 0, 1),
-    (1, 0.00, 30, 0.00, 12, 0.00, 1, 0, 0, 0, 1), (3, 0.00, 3, 0.00, 2, 0.00, 1, 0, 0, 0, 1), (400, 0.00, 12, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
-    # headings and captions of an article, list entries and references with links in it
-    (7, 0.00, 8, 0.00, 60, 0.00, 1, 0, 0, 1, 1), (4, 0.00, 80, 0.00, 45, 0.00, 1, 0, 0, 1, 1), (9, 0.00, 1, 1.00, 1, 0.00, 1, 0, 0, 1, 1),
-    (5, 1.00, 40, 0.00, 52, 0.00, 1, 0, 0, 1, 1), (11, 0.00, 75, 0.00, 66, 0.00, 1, 0, 0, 0, 1), (8, 0.50, 7, 0.40, 9, 0.50, 1, 0, 0, 0, 1),
-    (2, 0.00, 6, 0.00, 1, 0.00, 1, 0, 0, 1, 1), (3, 1.00, 33, 0.00, 60, 0.00, 1, 0, 0, 0, 1),
-    # text of pages that have no article element
-    (60, 0.00, 70, 0.00, 40, 0.00, 0, 0, 0, 0, 1), (33, 0.05, 4, 1.00, 58, 0.00, 0, 0, 0, 0, 1), (90, 0.00, 5, 0.00, 9, 0.80, 0, 0, 0, 0, 1),
-    (18, 0.00, 45, 0.00, 50, 0.00, 0, 0, 0, 0, 1), (6, 0.00, 3, 1.00, 64, 0.00, 0, 0, 0, 1, 1), (12, 0.00, 38, 0.00, 29, 0.00, 0, 0, 0, 0, 1),
-    (25, 0.20, 52, 0.00, 31, 0.00, 0, 0, 0, 0, 1), (5, 0.00, 60, 0.00, 72, 0.00, 0, 0, 0, 1, 1), (16, 0.00, 0, 0.00, 21, 0.00, 0, 0, 0, 0, 1),
-    (4, 0.00, 55, 0.00, 61, 0.00, 0, 0, 0, 0, 1), (11, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (3, 0.00, 0, 0.00, 12, 0.00, 0, 0, 0, 1, 1),
-    # lists of links outside an article
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 0), (2, 1.00, 1, 1.00, 9, 0.00, 0, 0, 0, 0, 0), (5, 1.00, 70, 0.00, 4, 1.00, 0, 0, 0, 0, 0),
-    (12, 0.90, 10, 0.90, 14, 1.00, 0, 0, 0, 0, 0), (8, 0.75, 6, 1.00, 5, 1.00, 0, 0, 0, 0, 0), (3, 0.67, 2, 1.00, 2, 1.00, 0, 0, 0, 0, 0),
-    (4, 1.00, 0, 0.00, 5, 1.00, 0, 0, 0, 1, 0), (2, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 0), (20, 0.95, 18, 1.00, 25, 0.90, 0, 0, 0, 0, 0),
-    # menus, headers and footers
-    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0, 0), (9, 0.00, 80, 0.00, 0, 0.00, 0, 1, 0, 0, 0),
-    (14, 0.20, 60, 0.00, 0, 0.00, 0, 1, 0, 0, 0), (4, 0.00, 0, 0.00, 1, 1.00, 0, 1, 0, 1, 0), (30, 0.00, 45, 0.00, 0, 0.00, 0, 1, 0, 0, 0),
-    (3, 1.00, 55, 0.00, 40, 0.00, 1, 1, 0, 0, 0), (65, 0.10, 12, 0.00, 8, 0.00, 0, 1, 0, 0, 0), (6, 0.00, 1, 1.00, 60, 0.00, 0, 1, 0, 0, 0),
-    # sidebars, notices, adverts, forms and reader comments, also within an article
-    (8, 0.00, 1, 1.00, 9, 0.00, 0, 0, 1, 0, 0), (40, 0.00, 75, 0.00, 60, 0.00, 1, 0, 1, 0, 0), (12, 0.50, 60, 0.00, 0, 0.00, 0, 0, 1, 0, 0),
-    (25, 0.05, 0, 0.00, 3, 1.00, 0, 0, 1, 0, 0), (90, 0.00, 30, 0.00, 44, 0.00, 0, 0, 1, 0, 0), (3, 0.00, 50, 0.00, 70, 0.00, 1, 0, 1, 1, 0),
-    (15, 0.00, 52, 0.00, 48, 0.00, 1, 0, 1, 0, 0), (5, 1.00, 6, 1.00, 4, 1.00, 0, 0, 1, 0, 0), (2, 0.00, 7, 0.00, 11, 0.00, 0, 0, 1, 0, 0),
-    (55, 0.00, 6, 0.00, 35, 0.00, 0, 0, 1, 0, 0), (7, 0.00, 66, 0.00, 58, 0.00, 1, 0, 1, 0, 0), (130, 0.01, 140, 0.00, 95, 0.00, 1, 0, 1, 0, 0),
-)
+    "t2/2 n1/1 n1/1 n2/2 n1/1 n1/1 a8 m9h+ m12+ m48+ m62+ m120/3+ m55+ m4+ m40/4+ m75+ m22+ m3+ m96+ f9",
+    "n1/1 n1/1 n1/1 n1/1 n2/2 a10 m7h+ m19+ m33+ m8+ m51+ m1+ m85+ m130+ m2+ m64+ f11",
+    "n1/1 n1/1 n1/1 a6 m11h+ m5+ m210+ m17+ m90+ f8",
+    "n1/1 n1/1 n1/1 n1/1 n1/1 n1/1 a7 m3h+ m2+ m14+ f10",
+    "t1/1 n1/1 n1/1 n1/1 x18 x1 m8h+ m4+ m60+ m6h+ m71+ m45/2+ a9 m66+ m5h+ m80+ m38+ s2h s7/7 s9/9 s6/6 f3/3 f2/2 f9",
+    "t3 t1/1 n1/1 n3/3 n2/2 m6h+ m3/1+ m41+ m52+ m4+ m5+ m6+ m3+ m58+ m12+ s3h s1/1 s2/2 s1/1 c2h c3/1 c25 c4/1 c60 c3/1 c11 o2 o1 f12/2",
+    "n2/2 n2/2 n2/2 m10h+ m44+ m9+ m8+ m11+ m36+ m73+ m29+ x15 o3 o1 f2/2 f1/1 f2/2 f8",
+    "t2 n1/1 n1/1 n1/1 n1/1 b5h+ b30+ b41+ b66+ b18+ b52+ f7 f1/1 f2/2",
+    "n1/1 n1/1 n1/1 m4h+ m90/9+ m120/14+ m5h+ m85/8+ m12/2+ m9/1+ m15/2+ m4h+ m70/6+ m3h+ m9/8 m11/9 f20/6",
+    "b1/1 b1/1 b2/2 b9h+ b25+ b80+ b63+ b57+ b110+ b1/1 b2/2 b1/1 b8",
+    "t1/1 n2/2 n1/1 m5h+ m2+ m24+ m3h+ m4+ m5+ m4+ m6+ m31+ a12 s2h s6/6 s5/5 s8/8 o4 f2/2 f2/2 f14",
+    "n1/1 n1/1 n1/1 n1/1 a9 m8h+ m28+ m160+ m41+ m72+ m15+ c1h c4/1 c33 c4/1 c18 c3/1 c7 f6",
+    "b10+", "b6+", "b3+", "b14+ b55+ b60+ b9+ b33+", "b40+", "b6h+ b120+", "m5h+ m1+ m1+ m2+ m1+ m60+",
+    "n1/1 n1/1 b35+ b7+ b48+ b90+ f5 f1/1", "s2h s6/6 s7/7 s5/5 m9h+ m50+ m61+ m47+ m70+ s3h s22 f8",
+)
+_KIND_LETTERS = {"m": "main", "n": "menu", "t": "header", "f": "footer", "s": "side", "c": "comments", "x": "notice", "a": "advert", "o": "form", "b": "none"}
+_BLOCK = re.compile(r"([mntfscxaob])(\d+)(?:/(\d+))?(h?)(\+?)")
+
+
+def labelled_rows(pages: Iterable[str], variants: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels of labelled pages: each as it is and in variants of other lengths, with enclosures (six
+    copies, so the tree asks for them first) and without (so counts and densities decide where a page names nothing)."""
+    rng, rows, labels = random.Random(seed), [], []
+    for page in pages:
+        read = [m.groups() for m in map(_BLOCK.fullmatch, page.split())]
+        for v in range(variants):
+            stretch = lambda n, v=v: n if v == 0 or n < 3 else max(2, round(n * rng.uniform(0.5, 1.8)))
+            words = [stretch(int(b[1])) for b in read]
+            linked = [round(w * int(b[2] or 0) / int(b[1])) for w, b in zip(words, read, strict=True)]
+            lines = [-(-round(w * rng.uniform(5.5, 7.5)) // 80) for w in words]
+            heading, main = [b[3] == "h" for b in read], [b[0] == "m" for b in read]
+            for named in (True,) * 6 + (False,):  # what a page says of itself counts most
+                kind = [_KIND_LETTERS[b[0]] if named else "none" for b in read]
+                rows.append(features(words, linked, lines, heading, [named and m for m in main], kind))
+                labels += [b[4] == "+" for b in read]
+    return np.concatenate(rows), np.array(labels, np.float64)
 
 
 class DecisionTree:
-    """Binary splits by Gini impurity, grown until pure (or to `depth`)."""
+    """Binary splits by Gini impurity, grown until pure, to `depth`, or to leaves of `least` rows."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> None:
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 10, least: int = 20) -> None:
         self.feature, self.cut, self.left, self.value = [], [], [], []
+        self.least = least
         self._grow(rows, labels, depth, self._add())
         self.arrays = np.array(self.feature), np.array(self.cut), np.array(self.left), np.array(self.value)
         self.depth = depth
@@ -208,15 +272,18 @@ class DecisionTree:
         return len(self.feature) - 1
 
     def _grow(self, rows: np.ndarray, labels: np.ndarray, depth: int, at: int) -> None:
-        self.value[at] = share = float(labels.mean())
-        best = (share * (1 - share) * len(labels) - 1e-9, -1, 0.0)
+        n, ones = len(labels), labels.sum()
+        self.value[at] = ones / n
+        best = (ones * (n - ones) / n - 1e-9, -1, 0.0)
         for f in range(rows.shape[1]) if depth else ():
-            values = np.unique(rows[:, f])
-            for c in (values[1:] + values[:-1]) / 2:
-                below = rows[:, f] < c
-                cost = sum(p.mean() * (1 - p.mean()) * len(p) for p in (labels[below], labels[~below]))
-                if cost < best[0]:
-                    best = (cost, f, float(c))
+            order = np.argsort(rows[:, f], kind="stable")
+            values, seen = rows[order, f], np.cumsum(labels[order])[:-1]
+            k = np.arange(1, n)
+            cost = seen * (k - seen) / k + (ones - seen) * (n - k - ones + seen) / (n - k)
+            cost[(values[1:] == values[:-1]) | (k < self.least) | (n - k < self.least)] = np.inf
+            i = int(np.argmin(cost)) if n > 1 else -1
+            if i >= 0 and cost[i] < best[0]:
+                best = (float(cost[i]), f, float(values[i] + values[i + 1]) / 2)
         if best[1] < 0:
             return
         _, f, c = best
@@ -241,10 +308,9 @@ def page_text(page: str, tree: DecisionTree) -> str:
     return "\n".join(b.text for b, keep in zip(found, tree.predict(block_features(found)), strict=True) if keep) if found else ""
 
 
-def extract_text(pages: DataFrame, labelled: Iterable[tuple] = LABELLED) -> DataFrame:
+def extract_text(pages: DataFrame, labelled: Iterable[str] = LABELLED) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    table = np.array(list(labelled), np.float64)
-    tree = DecisionTree(table[:, :-1], table[:, -1])
+    tree = DecisionTree(*labelled_rows(labelled))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -260,6 +261,23 @@ def test_window_entropy_from_incremental_counts():
             assert got == hot
 
 
+def test_secret_scans_of_runs_and_rules_take_linear_time():
+    rng = random.Random(15)
+    values = [c * n + tail for c in "=A0-_/" for n in (1, 19, 20, 21, 22, 40, 1000) for tail in ("", "aBc9dEf", "b1")]
+    values += ["-" * n + "aBc9dEf" for n in (10, 18, 40, 10_000, 200_000)] + ["-a" * 100_000 + "B9x", "aB" * 100_000, "Ab-" * 100_000 + "9a9"]
+    values += ["".join(rng.choice("aBcD019-_=+/ ") for _ in range(rng.randint(0, 200))) for _ in range(2000)]
+    began = time.process_time()
+    for text in values:
+        for a, b, kind in secrets.find_spans(text):
+            assert 0 <= a < b <= len(text) and 0 <= kind < 4
+    assert time.process_time() - began < 20
+    loose = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))+")
+    quick = re.compile(secrets.ALLOW[1])
+    for _ in range(20_000):
+        text = "".join(rng.choice("aBcD12-_=") for _ in range(rng.randint(0, 10)))
+        assert bool(loose.fullmatch(text)) == bool(quick.fullmatch(text))
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     values = ['x password = "hunter22" y', "clean text", None, "0123456789abcdef0123456789abcdef"]
     docs = documents(spark, values)

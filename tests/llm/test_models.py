@@ -208,8 +208,7 @@ def test_packing_covers_every_id_once(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    library.encode_special_tokens = True
-    values = VALUES + ["<|endoftext|> x", "a\x1cb c", "中文 " * 900]
+    values = VALUES + ["<|endoftext|> x", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "<|endof text|>", " " * 400_000 + "end", "a\x1cb c", "中文 " * 900]
     docs = as_dict(values)
     rows = packing.pack_documents(documents(spark, values)).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)

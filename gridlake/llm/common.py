@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,6 +52,34 @@ def only_rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.join(named, (F.col(doc) == F.col(doc2)) & (F.col(raw) == F.col(raw2)), "left_semi").drop(doc, raw)
 
 
+def first_rows(df: DataFrame, n: int, order: list[Column], part: str, parts: int, fan: int = 32) -> DataFrame:
+    """The first n rows, out of parts that hold at most n rows each (column `part`, from 0): as a tree, so a task
+    orders at most fan * n rows and the driver, which takes the last step, meets no more."""
+    group, place = fresh(df, "__group", "__place")
+    while parts > fan:
+        parts = -(-parts // fan)
+        within = Window.partitionBy(group).orderBy(*order)
+        df = df.withColumn(group, F.expr(f"{part} div {fan}")).withColumn(place, F.row_number().over(within)).where(F.col(place) <= n)
+        df = df.withColumn(part, F.col(group)).drop(group, place)
+    return df.orderBy(*order).limit(n)
+
+
+def hashed_sample(df: DataFrame, n: int, key: Column, *ties: Column) -> DataFrame:
+    """The n rows with the smallest xxhash64 of key (all rows, if fewer).
+
+    Rows are counted first, and only hashes below a threshold that lets about n pass are sorted, so the driver and
+    the sorting task meet little more than n rows, however many partitions there are."""
+    hashed = F.xxhash64(key)
+    total, share = df.count(), 1.1 * n + 100
+    while share < total:
+        below = df.where(hashed <= F.lit(int(-(2**63) + 2**64 * (share / total))))
+        if below.count() >= n:
+            df = below
+            break
+        share *= 2
+    return df.orderBy(hashed, key, *ties).limit(n)
+
+
 def crc_fold(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a fold count."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

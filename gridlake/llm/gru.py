@@ -69,13 +69,14 @@ class Gru:
             at += old.size
         return self
 
-    def _step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Next state out of gate inputs x (with bias) and state h, and what the backward pass needs."""
         n = self.hidden
-        x, a = self.inputs[token] + self.bias, h @ self.u
+        a = h @ self.u
         gates = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return new + z * (h - new), z, r, new, a[:, 2 * n :]
+        z, r, a = gates[:, :n], gates[:, n:], a[:, 2 * n :]
+        new = np.tanh(x[:, 2 * n :] + r * a)
+        return new + z * (h - new), z, r, new, a
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, part: int = 8192) -> np.ndarray:
         """Natural log of the probability of each target after each state."""
@@ -97,48 +98,55 @@ class Gru:
     def gradients(self, tokens: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean loss, its gradients, and the last state, over one window of (steps, streams)."""
         steps, width = tokens.shape
-        n, kept, states = self.hidden, [], np.empty((steps, width, self.hidden), np.float32)
+        n, total = self.hidden, steps * width
+        x = self.inputs[tokens] + self.bias
+        live = (tokens != END)[:, :, None]  # a document starts from an empty state
+        before, z, r, new, a, states = (np.empty((steps, width, n), self.u.dtype) for _ in range(6))
         for t in range(steps):
-            h = h * (tokens[t] != END)[:, None]  # a document starts from an empty state
-            before = h
-            h, z, r, new, a = self._step(tokens[t], h)
-            kept.append((before, z, r, new, a))
-            states[t] = h
-        flat, goal, total = states.reshape(-1, n), targets.ravel(), steps * width
+            before[t] = h = h * live[t]
+            states[t], z[t], r[t], new[t], a[t] = self._step(x[t], h)
+            h = states[t]
+        flat, goal = states.reshape(-1, n), targets.ravel()
         g = {name: np.zeros_like(getattr(self, name)) for name in _NAMES}
         kind, word = goal // self.per_class, goal % self.per_class
+        order = np.argsort(kind, kind="stable")  # each class is then one slice
+        flat, kind, word = flat[order], kind[order], word[order]
         loss, d = _loss(flat @ self.class_w + self.class_b, kind)
         d /= total
         g["class_w"], g["class_b"] = flat.T @ d, d.sum(0)
         back = d @ self.class_w.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
-        for c in np.unique(kind):
-            at = order[edges[c] : edges[c + 1]]
-            own = flat[at]
-            more, d = _loss(own @ self.word_w[c] + self.word_b[c], word[at])
-            loss += more
-            d /= total
-            g["word_w"][c], g["word_b"][c] = own.T @ d, d.sum(0)
-            back[at] += d @ self.word_w[c].T
-        back, dh = back.reshape(steps, width, n), np.zeros((width, n), np.float32)
-        dx, da = np.empty((steps, width, 3 * n), self.u.dtype), np.empty((steps, width, 3 * n), self.u.dtype)
+        used, begin = np.unique(kind, return_index=True)
+        slices = [(c, slice(i, j)) for c, i, j in zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), total], strict=True)]
+        logits = self.word_b[kind]
+        for c, at in slices:
+            logits[at] += flat[at] @ self.word_w[c]
+        more, d = _loss(logits, word)
+        d /= total
+        g["word_b"][used] = np.add.reduceat(d, begin)
+        for c, at in slices:
+            g["word_w"][c] = flat[at].T @ d[at]
+            back[at] += d[at] @ self.word_w[c].T
+        sent = np.empty_like(back)
+        sent[order] = back
+        sent, dh = sent.reshape(steps, width, n), np.zeros((width, n), self.u.dtype)
+        keep = 1 - z
+        by_z, by_new, by_r = (before - new) * z * keep, keep * (1 - new * new), a * r * (1 - r)
+        z, dx, da, back_u = z * live, np.empty((steps, width, 3 * n), self.u.dtype), np.empty((steps, width, 3 * n), self.u.dtype), self.u.T.copy()
         for t in range(steps - 1, -1, -1):
-            before, z, r, new, a = kept[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            da[t] = dx[t]
-            da[t, :, 2 * n :] *= r
-            dh = (dh * z + da[t] @ self.u.T) * (tokens[t] != END)[:, None]
+            dh += sent[t]
+            own, row = dx[t], da[t]
+            np.multiply(dh, by_z[t], out=own[:, :n])
+            np.multiply(dh, by_new[t], out=own[:, 2 * n :])
+            np.multiply(own[:, 2 * n :], by_r[t], out=own[:, n : 2 * n])
+            row[:, : 2 * n] = own[:, : 2 * n]
+            np.multiply(own[:, 2 * n :], r[t], out=row[:, 2 * n :])
+            dh = dh * z[t] + (row @ back_u) * live[t]
         dx = dx.reshape(total, -1)
-        g["u"], g["bias"] = np.concatenate([k[0] for k in kept]).T @ da.reshape(total, -1), dx.sum(0)
+        g["u"], g["bias"] = before.reshape(total, n).T @ da.reshape(total, -1), dx.sum(0)
         order = np.argsort(tokens.ravel(), kind="stable")
         used, first = np.unique(tokens.ravel()[order], return_index=True)
         g["inputs"][used] = np.add.reduceat(dx[order], first)
-        return float(loss) / total, g, h
+        return float(loss + more) / total, g, h
 
     def train(self, stream: np.ndarray, streams: int = 64, steps: int = 32, rate: float = 0.08, least_updates: int = 60) -> float:
         """Adagrad over a token stream (documents end with END), cut into parallel streams; returns the last mean loss.
@@ -174,24 +182,26 @@ class Gru:
         return loss
 
     def score(self, documents: list[np.ndarray], group: int = 1024, steps: int = 128) -> np.ndarray:
-        """log10 probability of each document's tokens (END last); the state runs through from window to window."""
+        """log10 probability of each document's tokens (END last); the state runs through from window to window.
+
+        Documents of a group go side by side, the longest first; no array is as large as the longest document times the group."""
         lengths = np.array([len(d) for d in documents])
-        order, out = np.argsort(-lengths, kind="stable"), np.zeros(len(documents))
+        order, out, inputs = np.argsort(-lengths, kind="stable"), np.zeros(len(documents)), self.inputs + self.bias
         for g in range(0, len(order), group):
             at = order[g : g + group]
             size = lengths[at]
-            tokens = np.zeros((int(size[0]) + 1, len(at)), np.int32)  # column: END, then the document
-            for c, i in enumerate(at):
-                tokens[1 : size[c] + 1, c] = documents[i]
-            h, total = np.zeros((len(at), self.hidden), np.float32), np.zeros(len(at))
+            tokens = np.concatenate([documents[i] for i in at])
+            start = np.cumsum(size) - size
+            h, total, last = np.zeros((len(at), self.hidden), np.float32), np.zeros(len(at)), np.full(len(at), END)
             for begin in range(0, int(size[0]), steps):
                 end = min(begin + steps, int(size[0]))
                 states, goals, owners = [], [], []
                 for t in range(begin, end):
                     live = int(np.searchsorted(-size, -t, "left"))  # documents longer than t
-                    h = self._step(tokens[t, :live], h[:live])[0]
+                    h = self._step(inputs[last[:live]], h[:live])[0]
+                    last = tokens[start[:live] + t]
                     states.append(h)
-                    goals.append(tokens[t + 1, :live])
+                    goals.append(last)
                     owners.append(np.arange(live))
                 total += np.bincount(np.concatenate(owners), self.log_probs(np.concatenate(states), np.concatenate(goals)), len(at))
             out[at] = total / np.log(10)

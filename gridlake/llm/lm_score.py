@@ -9,11 +9,12 @@ On Spark.  Word counts of all training documents are gathered in packets by word
 word once.  Words outside the vocabulary are looked up the other way round: each document's distinct ones
 go to their word's bucket, which counts them over all training documents and returns sums by document.
 The network is trained on every training document once, in `train_share` rounds, each on another
-1/`train_share` of them, dealt over trainers whose number grows with them; each trains on its own documents from the same start, and the
-mean of their weights starts the next round (weights are averaged on the executors, in slices).
+1/`train_share` of them, dealt over trainers whose number grows with them; each trains on its own documents from
+the same start, and the mean of their weights starts the next round (weights are averaged on the executors, in
+slices and as a tree, so no task holds more than `_FAN` trainers' slices).
 
-Null or empty text: the end token alone.  Rows without doc_id are left out.  Rows that repeat a doc_id
-share the part that looks up words outside the vocabulary, in proportion to their number of such words;
+Null or empty text: the end token alone.  Rows without doc_id are scored and learned from.  Rows that repeat a
+doc_id share the part that looks up words outside the vocabulary, in proportion to their number of such words;
 equal rows get equal scores.  Other columns are ignored.
 """
 
@@ -24,16 +25,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packets
-from .common import crc_fold, cut, doc_chunks, ints, shuffle_buckets, strings
+from .common import crc_fold, cut, doc_chunks, first_rows, ints, shuffle_buckets, strings
 from .gru import END, UNKNOWN, Gru
 from .words import Words
 
 U = np.uint64
-_SLICES = 32
+_SLICES, _FAN = 32, 64
 
 
 def _batch_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,8 @@ def _totals(most: int):
             top = np.lexsort((words, -count))[:most]
             kind = np.ones(len(top) + 1, np.int32)
             kind[0] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([[len(words)], words[top].view(np.int64)])), pa.array(np.concatenate([[count.sum()], count[top]]))], ["kind", "word", "n"])
+            part = np.full(len(kind), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(part), pa.array(np.concatenate([[len(words)], words[top].view(np.int64)])), pa.array(np.concatenate([[count.sum()], count[top]]))], ["kind", "part", "word", "n"])
 
     return run
 
@@ -108,7 +111,7 @@ def _other_packets(vocabulary, buckets: int):
                 new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
                 begin = np.flatnonzero(new)
                 n = np.diff(np.concatenate([begin, [len(key)]]))
-                yield from packets.split(buckets, key[begin], ints(batch, "doc_id")[of[begin]], n, (~_held(batch))[of[begin]].astype(np.uint32))
+                yield from packets.split(buckets, key[begin], ints(batch, "rid")[of[begin]], n, (~_held(batch))[of[begin]].astype(np.uint32))
 
     return run
 
@@ -141,16 +144,26 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.bincount(where, v[order])) for v in (logs.view(np.float64), known, n))], ["__doc", "other_log", "other_known", "other_n"])
 
 
+_WEIGHTS = "slice int, trainer int, tokens long, weights binary"
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums over at most _FAN trainers of a slice of weights times tokens, and of tokens, in the trainers' order."""
+    rows = rows.sort_values("trainer")
+    total = sum(np.frombuffer(w) for w in rows["weights"])
+    return pd.DataFrame({"slice": rows["slice"][:1], "trainer": [rows["trainer"].iloc[0] // _FAN], "tokens": [rows["tokens"].sum()], "weights": [total.tobytes()]})
+
+
 def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_docs: int) -> Gru:
-    """The mean of trainers' networks; docs: the training documents."""
+    """The mean of trainers' networks; docs: the training documents (rid, text)."""
     spark = docs.sparkSession
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(train_share)).cast("int")
+    share = F.pmod(F.xxhash64("rid"), F.lit(train_share)).cast("int")
     sizes = {r[0]: r[1] for r in docs.groupBy(share.alias("share")).count().collect()}  # train_share rows at most
     network, words = Gru(vocabulary.counts, hidden), spark.sparkContext.broadcast(vocabulary)
     for turn in range(train_share):
         trainers = max(1, -(-sizes.get(turn, 0) // trainer_docs))
-        trainer = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(trainers)).cast("int")
-        dealt = docs.where(share == turn).repartitionById(trainers, trainer).sortWithinPartitions("doc_id")
+        trainer = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(trainers)).cast("int")
+        dealt = docs.where(share == turn).repartitionById(trainers, trainer).sortWithinPartitions("rid", "text")
         start = spark.sparkContext.broadcast(network)
 
         def train(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
@@ -163,16 +176,17 @@ def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_s
             if len(tokens) > 1:
                 own = Gru(words.value.counts, hidden).load(start.value.flat())
                 own.train(tokens)
-                parts = np.array_split(own.flat(), _SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([len(tokens)] * _SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "tokens", "weights"])
-
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["tokens", "weights"])  # a fixed order of addition
-            total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(rows["weights"], rows["tokens"], strict=True))
-            return pd.DataFrame({"slice": rows["slice"][:1], "weights": [(total / rows["tokens"].sum()).astype(np.float32).tobytes()]})
-
-        made = dealt.mapInArrow(train, "slice int, tokens long, weights binary").groupBy("slice").applyInPandas(mean, "slice int, weights binary")
-        parts = sorted((r[0], bytes(r[1])) for r in made.collect())
+                parts = np.array_split(own.flat().astype(np.float64) * len(tokens), _SLICES)
+                me = np.full(_SLICES, TaskContext.get().partitionId(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(me), pa.array([len(tokens)] * _SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "trainer", "tokens", "weights"])
+
+        made = dealt.mapInArrow(train, _WEIGHTS)
+        while True:  # log(trainers) levels
+            made = made.groupBy("slice", F.expr(f"trainer div {_FAN}").cast("int").alias("trainer")).applyInPandas(_added, _WEIGHTS)
+            trainers = -(-trainers // _FAN)
+            if trainers == 1:
+                break
+        parts = sorted((r[0], (np.frombuffer(bytes(r[3])) / r[2]).astype(np.float32).tobytes()) for r in made.collect())
         if len(parts) == _SLICES:
             network = Gru(vocabulary.counts, hidden).load(np.frombuffer(b"".join(p for _, p in parts), np.float32))
     return network
@@ -181,13 +195,13 @@ def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_s
 def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden: int = 24, folds: int = 7, held_fold: int = 2, train_share: int = 8, trainer_docs: int = 4_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    docs = docs.withColumn("held_out", crc_fold("doc_id", folds) == held_fold)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"rid": F.coalesce("doc_id", F.xxhash64("text")), "held_out": F.coalesce(crc_fold("doc_id", folds) == held_fold, F.lit(False))})
     buckets = shuffle_buckets(spark)
-    totals = cut(docs.mapInArrow(_count_packets(buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_totals(vocabulary - 2), "kind int, word long, n long"))
+    totals = cut(docs.mapInArrow(_count_packets(buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_totals(vocabulary - 2), "kind int, part int, word long, n long"))
     distinct, tokens = (x or 0 for x in totals.where("kind = 0").agg(F.sum("word"), F.sum("n")).first())
     ends = docs.where("not held_out").count()
-    top = totals.where("kind = 1").orderBy(F.desc("n"), "word").limit(vocabulary - 2).select("word", "n").collect()
+    top = first_rows(totals.where("kind = 1"), vocabulary - 2, [F.desc("n"), F.asc("word")], "part", buckets).select("word", "n").collect()
     kept = np.array([r[1] for r in top], np.int64)
     rest_tokens, rest_distinct = tokens - int(kept.sum()), distinct - len(top)
     n_all, v_all = tokens + ends, distinct + (ends > 0)
@@ -208,11 +222,11 @@ def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden:
             of = np.repeat(np.arange(len(counts)), counts)
             own = np.bincount(of[inside], minlength=len(counts))
             base = np.bincount(of[inside], known_logs[numbers[inside]], len(counts)) + known_logs[END]
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(counts + 1), pa.array(own + (ends > 0)), pa.array(counts - own), pa.array(base), pa.array(network.value.score(docs_))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "n_other", "base", "model"])
+            columns = [batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(counts + 1), pa.array(own + (ends > 0)), pa.array(counts - own), pa.array(base), pa.array(network.value.score(docs_))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "held_out", "n_tokens", "known", "n_other", "base", "model"])
 
-    scored = docs.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, n_other long, base double, model double")
-    joined = scored.join(others, F.col("doc_id") == F.col("__doc"), "left")
+    scored = docs.mapInArrow(score, "doc_id long, rid long, held_out boolean, n_tokens long, known long, n_other long, base double, model double")
+    joined = scored.join(others, F.col("rid") == F.col("__doc"), "left")
     share = F.coalesce(F.col("n_other") / F.when(F.col("other_n") > 0, F.col("other_n")), F.lit(0.0))
     joined = joined.withColumn("logs", F.coalesce(F.col("other_log") * share, F.lit(0.0))).withColumn("more", F.coalesce(F.round(F.col("other_known") * share).cast("long"), F.lit(0)))
     return joined.select(

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -305,6 +306,27 @@ def test_gru_scores_do_not_depend_on_windows_or_groups():
     assert 0.9 < total <= 1.0001
 
 
+def test_gru_scores_one_long_document_beside_short_ones():
+    rng = np.random.default_rng(6)
+    model = gru.Gru(np.arange(1, 30.0), hidden=4, per_class=6)
+    docs = [np.array([0], np.int32)] * 1023 + [np.append(rng.integers(2, 29, 200_000), 0).astype(np.int32)]
+    tracemalloc.start()
+    scores = model.score(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(scores).all() and most < 100e6
+    assert np.allclose(scores[:1023], scores[0])
+
+
+def test_averages_of_many_trainers(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "_FAN", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}") for i in range(60)], "rid long, text string")
+    hashes, _ = lm_score._batch_words(pa.RecordBatch.from_pydict({"text": [f"w{i}" for i in range(7)]}))
+    vocabulary = lm_score._Vocabulary(hashes, np.array([60.0, 0] + [10.0] * 7))
+    network = lm_score.train_network(docs, vocabulary, hidden=4, train_share=1, trainer_docs=8)
+    assert np.isfinite(network.flat()).all() and network.flat().std() > 0
+
+
 @pytest.mark.parametrize("length", [1, 2, 40, 2000, 2047, 9001])
 def test_gru_training_reads_every_token_once(length, monkeypatch):
     seen, gradients = collections.Counter(), gru.Gru.gradients
@@ -323,7 +345,7 @@ def test_every_training_document_reaches_the_network(spark):
     values = [f"w{i} w{i}" for i in range(64)]
     hashes, _ = lm_score._batch_words(pa.RecordBatch.from_pydict({"text": values}))
     vocabulary = lm_score._Vocabulary(hashes[::2], np.array([64.0, 0] + [2.0] * 64))
-    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(values)), "rid long, text string")
     inputs = lm_score.train_network(docs, vocabulary, hidden=4, train_share=8, trainer_docs=5).inputs
     start = gru.Gru(vocabulary.counts, 4).inputs
     assert (inputs != start).any(axis=1)[vocabulary.numbers(hashes[::2])].all()
@@ -353,6 +375,7 @@ def test_lm_scores_against_brute_force(spark):
 def test_lm_scores_of_repeated_rows_and_empty_table(spark):
     rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a"), (None, "x"), (3, None)], "doc_id long, text string")
     got = lm_score.language_model_scores(rows).collect()
-    assert sorted(r.doc_id for r in got) == [1, 1, 2, 3]
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3]
+    assert {(r.held_out, r.n_tokens, r.n_known) for r in got if r.doc_id is None} == {(False, 2, 2)}
     assert len({(r.base_score, r.score, r.n_known) for r in got if r.doc_id == 1}) == 1
     assert lm_score.language_model_scores(rows.limit(0)).count() == 0

@@ -14,6 +14,8 @@ each block.  Blocks are visited from the highest upper bound down; once a bound
 similarity no later block can hold a neighbour, so the neighbours are exact.  Equal similarities are
 ordered by the example's id.  Index and vocabulary are bounded by the parameters and are broadcast.
 
+A labelled document is not among its own neighbours, in the fit as in the scores.
+
 Null or empty text: scored as a text without terms.  Null doc_id: scored, not held out.  No usable labels:
 score 0.  Labels that repeat an id: the larger one counts.  Other columns are ignored.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, doc_chunks, strings
+from .common import crc_fold, cut, doc_chunks, hashed_sample, strings
 from .words import PLAIN, Words, mix
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, vote double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -138,7 +140,7 @@ class BlockMaxIndex:
     def nearest(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and ranks (indexes of ids and labels) of each query's k nearest, best first; similarity 0 where there are fewer.
 
-        queries: unit vectors in rows; own: for each its number among the examples, to be left out."""
+        queries: unit vectors in rows; own: for each its number among the examples, to be left out, or -1."""
         bounds = queries @ self.most
         best = np.zeros((len(queries), k), np.int64)
         for b in np.argsort(-bounds.max(0), kind="stable").tolist():
@@ -149,7 +151,7 @@ class BlockMaxIndex:
                 continue
             keys = np.rint(queries[live] @ self._postings(b) * 1e12).astype(np.int64)
             if own is not None:
-                inside = np.flatnonzero(self.place[own[live]] // self.block == b)
+                inside = np.flatnonzero((own[live] >= 0) & (self.place[own[live]] // self.block == b))
                 keys[inside, self.place[own[live[inside]]] % self.block] = 0
             ranks = self.rank[b * self.block : b * self.block + keys.shape[1]]
             keys = np.where(keys > 0, (keys << _TIES) | (_TOP - ranks), 0)
@@ -186,6 +188,7 @@ class Model:
         self.bare = (sum(empty) + 0.5) / (len(empty) + 1) if empty else (sum(y for _, y, _, _ in examples) / len(examples) if examples else 0.0)
         self.index, self.curve = None, None
         if full:
+            self.number = {i: n for n, (i, *_) in enumerate(full)}
             self.index = BlockMaxIndex([(t, self.weights(t, c)) for _, _, t, c in full], [i for i, *_ in full], [y for _, y, *_ in full], len(idf))
             loo, labels = [], np.array([y for _, y, *_ in full])
             for a in range(0, len(full), 256):
@@ -206,14 +209,17 @@ class Model:
             out[i, t] = self.weights(t, c)
         return out
 
-    def judge(self, rows: list[tuple[np.ndarray, np.ndarray]], evidence: int) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
-        """Score, vote (nan without neighbours) and the first neighbours of each row of terms and counts."""
+    def judge(self, ids: list[int | None], rows: list[tuple[np.ndarray, np.ndarray]], evidence: int) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """Score, vote (nan without neighbours) and the first neighbours of each row of terms and counts.
+
+        An example is no neighbour of its own document, so its label has no vote in its score."""
         score, vote = np.full(len(rows), float(self.bare)), np.full(len(rows), np.nan)
         shown: list[list[dict]] = [[] for _ in rows]
         full = [i for i, (t, _) in enumerate(rows) if len(t)] if self.index else []
         for a in range(0, len(full), 256):
             at = np.array(full[a : a + 256])
-            similar, rank = self.index.nearest(self.dense([rows[i] for i in at]), self.k)
+            own = np.array([self.number.get(ids[i], -1) for i in at.tolist()])
+            similar, rank = self.index.nearest(self.dense([rows[i] for i in at]), self.k, own)
             v = votes(similar, self.index.labels[rank])
             near = ~np.isnan(v)
             vote[at] = v
@@ -228,7 +234,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)))
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").where(crc_fold("__id", folds) != 0)
-    sample = cut(marks.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
+    sample = cut(hashed_sample(cut(marks.groupBy("__id").agg(F.max("toxic").alias("toxic"))), sample_rows, F.col("__id")))
     joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["__id"])  # sample_rows pairs of integers at most
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, fine = float(sizes.get(1, 0)), float(sizes.get(0, 0))
@@ -247,7 +253,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(read(t), read(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            s, v, near = shared.value.judge(rows, evidence)
+            s, v, near = shared.value.judge(batch.column("doc_id").to_pylist(), rows, evidence)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(near, _EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "vote", "evidence"])
 
     return counted.mapInArrow(score, SCHEMA)

@@ -48,6 +48,7 @@ def test_toxicity_is_right_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert got[9000].score == got[9001].score < 0.5 and not got[None].held_out
     assert got[0].evidence and got[0].evidence[0].similarity >= got[0].evidence[-1].similarity
+    assert all(e.doc_id != i for i, r in got.items() for e in r.evidence)
     learned = {e.doc_id for r in got.values() for e in r.evidence}
     assert not learned & set(held)
     other = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels.where("crc32(cast(doc_id as string)) % 5 <> 0")).collect()}

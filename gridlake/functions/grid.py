@@ -135,9 +135,29 @@ def geodetic_tile_bounds(tx: Column, ty: Column, z: Column, tms: bool = True, ti
     return tx * tile_size * res - 180, ty * tile_size * res - 90, (tx + 1) * tile_size * res - 180, (ty + 1) * tile_size * res - 90
 
 
+def geodetic_tile_range(x0: Column, y0: Column, x1: Column, y1: Column, z: Column, tms: bool = True) -> tuple[Column, ...]:
+    """tminx, tminy, tmaxx, tmaxy of a box in degrees, cropped to the world."""
+    low, high = lonlat_to_geodetic_tile(x0, y0, z, tms), lonlat_to_geodetic_tile(x1, y1, z, tms)
+    side = power_of_two(z)
+    return *(F.greatest(t, F.lit(0)) for t in low), F.least(high[0], (2 * side - 1).cast("int")), F.least(high[1], (side - 1).cast("int"))
+
+
+def tile_range(x0: Column, y0: Column, x1: Column, y1: Column, z: Column) -> tuple[Column, ...]:
+    """tminx, tminy, tmaxx, tmaxy (TMS) of a box in metres, within the grid."""
+    last = (power_of_two(z) - 1).cast("int")
+    return tuple(F.least(F.greatest(t, F.lit(0)), last) for pair in (meters_to_tile(x0, y0, z), meters_to_tile(x1, y1, z)) for t in pair)
+
+
 # raster profile
 
 
+def bounds_of_geotransform(gt: Column, xsize: Column, ysize: Column) -> tuple[Column, ...]:
+    """minx, miny, maxx, maxy of a raster with square pixels; a rotated or skewed one raises an error."""
+    at = lambda i: F.get(gt, F.lit(i))
+    left = F.when((at(2) != 0) | (at(4) != 0), F.raise_error(F.lit("raster is rotated or skewed")).cast("double")).otherwise(at(0))
+    return left, at(3) - ysize * at(1), left + xsize * at(1), at(3)
+
+
 def ceil_log2(x: Column) -> Column:
     """ceil(log2(x)) without the last-bit error of a logarithm."""
     e = F.floor(F.log2(x))

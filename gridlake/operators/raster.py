@@ -7,11 +7,13 @@ Null is nodata.  Columns that identify a pixel are given by the caller.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grid
+
 SELECTIONS = ("first", "highest", "lowest", "mean", "median", "stdev", "count")
 MERGES = ("first", "last", "min", "max", "mean", "sum", "count")
 KERNELS = ("nearest", "average", "min", "max", "med", "mode", "rms")
@@ -152,3 +154,31 @@ def merge_window(asset: tuple[Column, ...], target: tuple[Column, ...], pixel: C
     out += [whole((right - sx) / pixel + 0.5) - out[4], whole((sy - bottom) / pixel + 0.5) - out[5]]
     meet = (left < right) & (bottom < top)
     return tuple(F.when(meet, c) for c in out)
+
+
+def base_tile_plan(rasters: DataFrame, key: str) -> DataFrame:
+    """key, z, tx, ty (TMS) of the base tiles of each raster and zoom (minx, miny, maxx, maxy in metres, z), three apart in
+    both directions, and place: the order of work, from the highest zoom down, rows downwards, columns upwards."""
+    x0, y0, x1, y1 = grid.tile_range(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy")), F.col("z"))
+    lines = rasters.select(key, "z", grid.stride(x0, x1).alias("__xs"), grid.stride_down(y1, y0).alias("__ys"))
+    above = Window.partitionBy(key).orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, -1)  # a raster's zooms, not its tiles
+    tiles = F.size("__xs").cast("long") * F.size("__ys")
+    lines = lines.withColumn("__before", F.coalesce(F.sum(tiles).over(above), F.lit(0)))
+    rows = lines.select(key, "z", "__xs", "__before", F.posexplode("__ys").alias("__row", "ty"))
+    cells = rows.select(key, "z", "ty", (F.col("__before") + F.col("__row").cast("long") * F.size("__xs")).alias("__start"), F.posexplode("__xs").alias("__col", "tx"))
+    return cells.select(key, "z", "tx", "ty", (F.col("__start") + F.col("__col") + 1).alias("place"))
+
+
+def tiles_with_assets(plan: DataFrame, assets: DataFrame, zooms: Iterable[int], keys: Sequence[str]) -> DataFrame:
+    """Rows of plan (keys, z, tx, ty) whose tile or one of its eight neighbours meets a box of assets (keys, minx ... maxy).
+
+    Both sides become cells of three tiles by three, so it is an equi-join: an asset lists the cells it meets, a tile the
+    one to four cells its neighbourhood meets, and the boxes in tiles decide."""
+    x0, y0, x1, y1 = grid.tile_range(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy")), F.col("z"))
+    held = assets.withColumn("z", F.explode(F.array(*(F.lit(int(i)) for i in zooms)))).select(*keys, "z", x0.alias("__x0"), y0.alias("__y0"), x1.alias("__x1"), y1.alias("__y1")).distinct()
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / 3).cast("int"), F.floor(high / 3).cast("int")))
+    held = held.withColumn("__cx", cells(F.col("__x0"), F.col("__x1"))).withColumn("__cy", cells(F.col("__y0"), F.col("__y1")))
+    near = plan.withColumn("__cx", cells(F.col("tx") - 1, F.col("tx") + 1)).withColumn("__cy", cells(F.col("ty") - 1, F.col("ty") + 1))
+    on = [*keys, "z", "__cx", "__cy"]
+    meets = (F.col("tx") + 1 >= F.col("__x0")) & (F.col("tx") - 1 <= F.col("__x1")) & (F.col("ty") + 1 >= F.col("__y0")) & (F.col("ty") - 1 <= F.col("__y1"))
+    return near.join(held, on).where(meets).select(*plan.columns).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grid
+from ..operators import raster
 from ..operators.vector import neighbours, tile_cover
 from ..sources.derived import view
 from .registry import at_zooms, milli, milli_sql, query, real, zooms_sql
@@ -104,10 +105,10 @@ def geodetic_tile(spark, sf_dir):
 _CLAMP = lambda axis, what: f"cast(least(greatest(ceil(({what} + {O}) / ({RES} / pow(2.0, z)) / 256) - 1, 0), pow(2, z) - 1) as int)"
 
 
-@query(f"""with b as (select place, min(mx) as x0, max(mx) as x1, min(my) as y0, max(my) as y1 from fx_points_m where id % 3 = 0 group by place)
+@query(f"""with b as (select place, min(mx) as x0, max(mx) as x1, min(my) as y0, max(my) as y1 from fx_points_m group by place)
 select place, cast(z as int) as z, {_CLAMP('x', 'x0')} as tminx, {_CLAMP('x', 'x1')} as tmaxx, {_CLAMP('y', 'y0')} as tminy, {_CLAMP('y', 'y1')} as tmaxy from b, range(0, 19) t(z)""")
 def tile_range_by_zoom(spark, sf_dir):
-    b = view(spark, sf_dir, "fx_points_m").where("id % 3 = 0").groupBy("place").agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
+    b = view(spark, sf_dir, "fx_points_m").groupBy("place").agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
     b = at_zooms(b, *range(grid.MAX_ZOOM))
     last = (grid.power_of_two(c("z")) - 1).cast("int")
     low, high = grid.meters_to_tile(c("x0"), c("y0"), c("z")), grid.meters_to_tile(c("x1"), c("y1"), c("z"))
@@ -227,3 +228,58 @@ where (dx <> 0 or dy <> 0) and x + dx between 0 and pow(2, z) - 1 and y + dy bet
 def neighbors(spark, sf_dir):
     t = _tiles(spark, sf_dir, 1, 5).where("tx >= 0 and ty >= 0").select("z", c("tx").alias("x"), grid.flip_y(c("ty"), c("z")).alias("y")).distinct()
     return neighbours(t)
+
+
+_BOX = "select id, ulx as minx, uly - ysize * px as miny, ulx + xsize * px as maxx, uly as maxy from fx_rasters"
+
+
+@query(_BOX)
+def output_bounds(spark, sf_dir):
+    r = view(spark, sf_dir, "fx_rasters").withColumn("gt", F.array(c("ulx"), c("px"), F.lit(0.0), c("uly"), F.lit(0.0), -c("px")))
+    return r.select("id", *(v.alias(n) for v, n in zip(grid.bounds_of_geotransform(c("gt"), c("xsize"), c("ysize")), ("minx", "miny", "maxx", "maxy"))))
+
+
+_GRES = "(180.0::double / 256 / pow(2.0, z))"
+_GCLAMP = lambda v, shift, top: f"cast(least(greatest(ceil(({shift} + {v}) / {_GRES} / 256) - 1, 0), {top}) as int)"
+
+
+@query(f"""with b as (select place, min(lng) as x0, max(lng) as x1, min(lat) as y0, max(lat) as y1 from fx_points group by place)
+select place, cast(z as int) as z, cast(greatest(ceil((180 + x0) / {_GRES} / 256) - 1, 0) as int) as tminx, cast(greatest(ceil((90 + y0) / {_GRES} / 256) - 1, 0) as int) as tminy,
+  cast(least(ceil((180 + x1) / {_GRES} / 256) - 1, pow(2, z + 1) - 1) as int) as tmaxx, cast(least(ceil((90 + y1) / {_GRES} / 256) - 1, pow(2, z) - 1) as int) as tmaxy from b, range(0, 19) t(z)""")
+def geodetic_range_by_zoom(spark, sf_dir):
+    b = view(spark, sf_dir, "fx_points").groupBy("place").agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    ranges = grid.geodetic_tile_range(c("x0"), c("y0"), c("x1"), c("y1"), c("z"))
+    return at_zooms(b, *range(19)).select("place", "z", *(v.alias(n) for v, n in zip(ranges, ("tminx", "tminy", "tmaxx", "tmaxy"))))
+
+
+_M = f"select id, xsize, ysize, px, ulx * 100 as minx, (uly - ysize * px) * 100 as miny, (ulx + xsize * px) * 100 as maxx, uly * 100 as maxy, cast(id % 3 + 4 as int) as lowz from fx_rasters"
+_TILE = lambda v: f"cast(least(greatest(ceil(({v} + {O}) / ({RES} / pow(2.0, z)) / 256) - 1, 0), pow(2, z) - 1) as int)"
+_PLAN = f"""with r as ({_M}),
+b as (select id, cast(z as int) as z, {_TILE('minx')} as x0, {_TILE('maxx')} as x1, {_TILE('miny')} as y0, {_TILE('maxy')} as y1 from r, range(0, 3) s(k), lateral (select lowz + k as z) q),
+xs as (select id, z, unnest(list_distinct(list_concat(range(x0, x1, 3), [x1]))) as tx from b),
+ys as (select id, z, unnest(list_distinct(list_concat(range(y1, y0, -3), [y0]))) as ty from b)
+select id, z, tx, ty, row_number() over (partition by id order by z desc, ty desc, tx) as place from xs join ys using (id, z)"""
+
+
+def _plan(spark, sf_dir):
+    r = view(spark, sf_dir, "fx_rasters")
+    r = r.withColumn("gt", F.array(c("ulx") * 100, c("px") * 100, F.lit(0.0), c("uly") * 100, F.lit(0.0), c("px") * -100))
+    box = grid.bounds_of_geotransform(c("gt"), c("xsize"), c("ysize"))
+    r = r.select("id", *(v.alias(n) for v, n in zip(box, ("minx", "miny", "maxx", "maxy"))), F.explode(F.sequence((c("id") % 3 + 4).cast("int"), (c("id") % 3 + 6).cast("int"))).alias("z"))
+    return raster.base_tile_plan(r, "id")
+
+
+@query(_PLAN)
+def base_tile_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@query(f"""with p as ({_PLAN.replace("with r as", "with r as", 1)}), n as (select id, z, tx, ty, place, tx + dx as nx, ty + dy as ny from p, range(-1, 2) a(dx), range(-1, 2) e(dy)),
+e as (select distinct n.id, n.z, n.tx, n.ty, n.place from n join (select id, cast(z as int) as z, {_TILE('minx')} as x0, {_TILE('maxx')} as x1, {_TILE('miny')} as y0, {_TILE('maxy')} as y1 from ({_M}), range(4, 9) s(z)) b
+  on n.z = b.z and nx between b.x0 and b.x1 and ny between b.y0 and b.y1 and n.id % 5 = b.id % 5)
+select id % 5 as mosaic, z, tx, ty, count(*) as jobs from e group by 1, 2, 3, 4""")
+def base_tiles_with_assets(spark, sf_dir):
+    r = view(spark, sf_dir, "fx_rasters")
+    assets = r.select((c("id") % 5).alias("mosaic"), *((v * 100).alias(n) for v, n in zip((c("ulx"), c("uly") - c("ysize") * c("px"), c("ulx") + c("xsize") * c("px"), c("uly")), ("minx", "miny", "maxx", "maxy"))))
+    plan = _plan(spark, sf_dir).withColumn("mosaic", c("id") % 5)
+    return raster.tiles_with_assets(plan, assets, range(4, 9), ("mosaic",)).groupBy("mosaic", "z", "tx", "ty").agg(F.count("*").alias("jobs"))

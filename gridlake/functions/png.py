@@ -32,6 +32,21 @@ def render_tiles(pixels: DataFrame, size: int, keys: tuple[str, ...] = ("z", "x"
     return pixels.groupBy(*keys).applyInPandas(draw, schema)  # a tile has size * size pixels at most
 
 
+def drawn_pixels(tiles: DataFrame, keys: tuple[str, ...] = ("z", "x", "y"), data: str = "data") -> DataFrame:
+    """keys, px, py, r, g, b, a of every pixel of images written by render_tiles()."""
+    kinds = dict(tiles.dtypes)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                image = read_png(bytes(getattr(row, data)))
+                py, px = (v.ravel() for v in np.indices(image.shape[:2]))
+                bands = {n: image[:, :, i].ravel().astype(np.int32) for i, n in enumerate("rgba")}
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "px": px, "py": py, **bands})
+
+    return tiles.select(*keys, data).mapInPandas(read, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "px int, py int, r int, g int, b int, a int"]))
+
+
 def read_png(data: bytes) -> np.ndarray:
     """Pixels of an image written by png()."""
     parts: dict[bytes, bytes] = {}

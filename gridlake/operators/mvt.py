@@ -1,8 +1,8 @@
 """Vector tiles: the byte format of the public vector-tile specification 2.1, and its aggregate.
 
-tiles() clips and scales features to their tile, sorts them by tile and encodes each run of a tile.
-A tile is one value and must fit in memory by its nature; layers that would overfill coarse tiles start at a
-finer minzoom.  Features are scaled and clipped before the shuffle, so what travels is already tile-sized.
+tiles() clips, scales and encodes features before the shuffle, so what travels is the bytes of a tile; the rows
+of a tile are then only strung together, with the tables of keys and values.  A tile is one value and must fit
+in memory by its nature; layers that would overfill coarse tiles start at a finer minzoom.
 """
 
 from __future__ import annotations
@@ -108,20 +108,37 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
+def geometry_fields(shape: geometry.Shape) -> bytes:
+    """Type and geometry of a feature message."""
+    return _varint(3 << 3) + _varint(shape[0]) + _field(4, b"".join(map(_varint, geometry_commands(shape))))
+
+
+class LayerBody:
+    """A layer that grows feature by feature; only its bytes, keys and values are held."""
+
+    def __init__(self) -> None:
+        self.body, self.keys, self.values = bytearray(), {}, {}
+
+    def add(self, fid: int | None, drawn: bytes, attributes: Iterable[tuple[str, object]]) -> None:
+        """drawn: geometry_fields of the feature.  Null attributes are left out."""
+        keys, values = self.keys, self.values
+        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(_value(v), len(values))) for k, v in attributes if v is not None and v == v)
+        self.body += _field(2, (_varint(1 << 3) + _varint(int(fid)) if fid is not None and fid >= 0 else b"") + (_field(2, tags) if tags else b"") + drawn)
+
+    def layer(self, name: str, extent: int) -> bytes:
+        """b"" if there are no features."""
+        if not self.body:
+            return b""
+        tables = b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, v) for v in self.values)
+        return _field(3, _field(1, name.encode()) + bytes(self.body) + tables + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2))
+
+
 def encode_layer(name: str, features: Iterable[tuple[int | None, geometry.Shape, dict]], extent: int = EXTENT) -> bytes:
-    """One layer of a tile; b"" if there are no features.  Null attributes are left out."""
-    keys: dict[str, int] = {}
-    values: dict[bytes, int] = {}
-    body = bytearray()
+    """One layer of a tile; b"" if there are no features."""
+    body = LayerBody()
     for fid, shape, attributes in features:
-        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(_value(v), len(values))) for k, v in attributes.items() if v is not None and v == v)
-        feature = (_varint(1 << 3) + _varint(int(fid)) if fid is not None and fid >= 0 else b"") + (_field(2, tags) if tags else b"")
-        feature += _varint(3 << 3) + _varint(shape[0]) + _field(4, b"".join(map(_varint, geometry_commands(shape))))
-        body += _field(2, feature)
-    if not body:
-        return b""
-    layer = _field(1, name.encode()) + bytes(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
-    return _field(3, layer + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2))
+        body.add(fid, geometry_fields(shape), attributes.items())
+    return body.layer(name, extent)
 
 
 def decode_tile(data: bytes) -> dict[str, dict]:
@@ -189,6 +206,35 @@ def decode_tile(data: bytes) -> dict[str, dict]:
     return layers
 
 
+def points_of(commands: Sequence[int]) -> tuple[list[int], list[int]]:
+    """Tile coordinates that a feature's commands visit, in their order."""
+    xs, ys, at, x, y = [], [], 0, 0, 0
+    while at < len(commands):
+        kind, count = commands[at] & 7, commands[at] >> 3
+        at += 1
+        for _ in range(count if kind != CLOSE else 0):
+            x, y = (old + ((v >> 1) ^ -(v & 1)) for old, v in zip((x, y), commands[at : at + 2], strict=True))
+            xs.append(x)
+            ys.append(y)
+            at += 2
+    return xs, ys
+
+
+def decoded(tiles: DataFrame, data: str = "data") -> DataFrame:
+    """z, x, y, layer, id, type, xs, ys, attributes of every feature of tiles (plain or gzip)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for z, x, y, raw in rows[["z", "x", "y", data]].itertuples(index=False, name=None):
+                raw = bytes(raw)
+                for name, layer in decode_tile(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).items():
+                    out += [(z, x, y, name, f["id"], f["type"], *points_of(f["commands"]), {k: str(v) for k, v in f["attributes"].items()}) for f in layer["features"]]
+            yield pd.DataFrame(out, columns=["z", "x", "y", "layer", "id", "type", "xs", "ys", "attributes"])
+
+    return tiles.select("z", "x", "y", data).mapInPandas(read, "z int, x int, y int, layer string, id long, type int, xs array<int>, ys array<int>, attributes map<string,string>")
+
+
 def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Sequence[str] = (), wkb: str = "wkb", fid: str | None = "id", extent: int = EXTENT, buffer: int = BUFFER, simplify: bool = False) -> DataFrame:
     """z, x, y, layer, data of every non-empty tile of a layer; features need box columns and WKB shapes."""
     columns = [*([fid] if fid else []), wkb, *attributes]
@@ -204,31 +250,25 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
                     width = (40075016.68557849 / (extent * 2**z)) if z > 11 else 40075016.68557849 / 2 ** (z + 8)
                     parts = [geometry.simplify(p, width, 2 if kind == 2 else 4) for p in parts]
                 shape = to_tile((kind, parts), env, extent, buffer)
-                out.append(None if shape is None else geometry.write(shape))
+                out.append(None if shape is None else geometry_fields(shape))
             yield rows.assign(**{wkb: out})[rows.columns][[o is not None for o in out]]
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        last, out = None, []
-
-        def tile() -> tuple:
-            found = ((r[3], geometry.read(bytes(r[4])), dict(zip(attributes, r[5:], strict=True))) for r in held)
-            return *last, layer, encode_layer(layer, found, extent)
-
+        last, body, out = None, LayerBody(), []
         for rows in batches:
             if not fid:
                 rows = rows.assign(__fid=None)
             for r in rows[["z", "x", "y", fid or "__fid", wkb, *attributes]].itertuples(index=False, name=None):
                 if r[:3] != last:
-                    if held:
-                        out.append(tile())
-                    held, last = [], r[:3]
-                held.append(r)
+                    if last:
+                        out.append((*last, layer, body.layer(layer, extent)))
+                    last, body = r[:3], LayerBody()
+                body.add(r[3], bytes(r[4]), zip(attributes, r[5:], strict=True))
             if out:
                 yield pd.DataFrame(out, columns=_TILE_COLUMNS)
                 out = []
-        if held:
-            yield pd.DataFrame([tile()], columns=_TILE_COLUMNS)
+        if last:
+            yield pd.DataFrame([(*last, layer, body.layer(layer, extent))], columns=_TILE_COLUMNS)
 
     placed = covered.mapInPandas(scaled, covered.schema).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", fid or wkb)
     return placed.mapInPandas(encoded, "z int, x int, y int, layer string, data binary")

@@ -90,23 +90,35 @@ def envelope(z: int, x: int, y: int, margin: float = 0.0) -> tuple[float, float,
     return size * (x - margin) - grid.WORLD_EDGE, grid.WORLD_EDGE - size * (y + 1 + margin), size * (x + 1 + margin) - grid.WORLD_EDGE, grid.WORLD_EDGE - size * (y - margin)
 
 
-def tile_cover(df: DataFrame, zooms: Iterable[int], margin: float = 0.0, box: Sequence[str] = BOX, max_tiles: int = 1 << 16) -> DataFrame:
+def tile_cover(df: DataFrame, zooms: Iterable[int], margin: float = 0.0, box: Sequence[str] = BOX, max_tiles: int | None = None, spread: int | None = None) -> DataFrame:
     """df with one row for each XYZ tile (z, x, y) that a feature's box meets.
 
-    A feature that would cover more than max_tiles tiles at a zoom raises an error instead of flooding the
-    shuffle: give its layer a lower maxzoom."""
-    edge, low, high = grid.WORLD_EDGE, [], []
+    Tiles come out of a generator, row by row.  With `spread`, a feature of more tiles than that at a zoom is first
+    cut into blocks of 256 columns and rows, which are dealt over all tasks (the table is then read twice).  With
+    `max_tiles`, such a feature raises an error."""
+    edge = grid.WORLD_EDGE
     z = F.col("z")
     size, last = F.lit(2 * edge) / grid.power_of_two(z), grid.power_of_two(z) - 1
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), last).cast("int")
     x0, y0, x1, y1 = (F.col(c) for c in box)
-    low += [clamp(F.floor((x0 + edge) / size - margin).cast("double")), clamp(F.floor((edge - y1) / size - margin).cast("double"))]
-    high += [clamp(F.floor((x1 + edge) / size + margin).cast("double")), clamp(F.floor((edge - y0) / size + margin).cast("double"))]
+    low = [clamp(F.floor((x0 + edge) / size - margin).cast("double")), clamp(F.floor((edge - y1) / size - margin).cast("double"))]
+    high = [clamp(F.floor((x1 + edge) / size + margin).cast("double")), clamp(F.floor((edge - y0) / size + margin).cast("double"))]
     spans = df.where(x0.isNotNull()).withColumn("z", F.explode(F.array(*(F.lit(int(i)) for i in zooms)))).withColumns({"__x0": low[0], "__y0": low[1], "__x1": high[0], "__y1": high[1]})
     tiles = (F.col("__x1") - F.col("__x0") + 1).cast("long") * (F.col("__y1") - F.col("__y0") + 1)
-    guard = F.when(tiles > max_tiles, F.raise_error(F.concat(F.lit("feature covers too many tiles at zoom "), z.cast("string")))).otherwise(F.col("__x1"))
-    spans = spans.withColumn("x", F.explode(F.sequence("__x0", guard.cast("int")))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
-    return spans.drop("__x0", "__y0", "__x1", "__y1")
+
+    def cells(rows: DataFrame) -> DataFrame:
+        end = F.col("__x1")
+        if max_tiles is not None:
+            end = F.when(tiles > max_tiles, F.raise_error(F.concat(F.lit("feature covers too many tiles at zoom "), z.cast("string")))).otherwise(end).cast("int")
+        rows = rows.withColumn("x", F.explode(F.sequence("__x0", end))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
+        return rows.drop("__x0", "__y0", "__x1", "__y1")
+
+    if spread is None:
+        return cells(spans)
+    cut = lambda a, b: F.explode(F.sequence(F.col(a), F.col(b), F.lit(256)))
+    blocks = spans.where(tiles > spread).withColumn("__bx", cut("__x0", "__x1")).withColumn("__by", cut("__y0", "__y1")).repartition(*box, "z", "__bx", "__by")
+    ends = {"__x0": F.col("__bx"), "__x1": F.least(F.col("__x1"), F.col("__bx") + 255), "__y0": F.col("__by"), "__y1": F.least(F.col("__y1"), F.col("__by") + 255)}
+    return cells(spans.where(tiles <= spread)).unionByName(cells(blocks.withColumns(ends).drop("__bx", "__by")))
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:

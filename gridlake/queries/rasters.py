@@ -173,3 +173,17 @@ def render_png(spark, sf_dir):
     p = _pixels(spark, sf_dir).withColumn("v", c("iv").cast("double"))
     p = p.select("cell", c("asset_ord").alias("asset"), "px", "py", *(x.alias(n) for x, n in zip(float_to_rgba(c("v"), -999999.0), "rgba")))
     return render_tiles(p, 8, ("cell", "asset"))
+
+
+_PIXEL_RGBA = """with v as (select cell, asset_ord as asset, cast(px as int) as px, cast(py as int) as py, cast(iv as double) as v from fx_pixels),
+e as (select *, case when v > -999999 then floor(log2(abs(v) + 1 - sign(v) * sign(v))) end as e from v),
+m as (select *, case when v > -999999 then 8388608 + sign(v) + sign(v) * 8388608 * (abs(v) / pow(2.0, e) - 1) end as m from e)
+select cell, asset, px, py, coalesce(cast(floor(m / 65536) as int), 0) as r, coalesce(cast(floor((m - floor(m / 65536) * 65536) / 256) as int), 0) as g,
+  coalesce(cast(floor(m - floor(m / 65536) * 65536 - floor((m - floor(m / 65536) * 65536) / 256) * 256) as int), 0) as b, coalesce(cast(e + 128 as int), 0) as a from m"""
+
+
+@query(_PIXEL_RGBA)
+def render_png_decoded(spark, sf_dir):
+    from ..functions.png import drawn_pixels
+
+    return drawn_pixels(render_png(spark, sf_dir), ("cell", "asset"))

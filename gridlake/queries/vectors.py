@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions import tags as T
 from ..operators import geometry, mvt
 from ..operators import vector as V
 from ..sources.derived import view
-from .grids import COVER_SQL
-from .registry import query, real
+from .grids import COVER_SQL, EDGE
+from .registry import query, real, zooms_sql
 
 c = F.col
 FILTER = ["all", ["==", ["get", "building"], "yes"], ["any", ["has", "aeroway"], ["in", ["get", "use"], "forest", "water"]]]
@@ -137,6 +138,31 @@ def mvt_concat(spark, sf_dir):
     return mvt.compressed(both).withColumn("raw_bytes", F.length("data"))
 
 
+_SIZE, _TO = f"({real(2 * grid.WORLD_EDGE)} / pow(2.0, z))", f"cast(4096 as double)"
+_SIDE = lambda v, edge: f"greatest(least(({v} - ({edge})) * ({_TO} / (e1 - e0)), 4160.0), -64.0)"
+_DOWN = lambda v: f"greatest(least(({v} - n1) * (-{_TO} / (n1 - n0)), 4160.0), -64.0)"
+_LAST = lambda v: f"cast(greatest(least(floor({v}), pow(2.0, z) - 1), 0) as int)"
+#: Boxes on the grid of each tile that their widened tile meets, clipped to the buffered tile.
+_DRAWN = lambda zooms: f"""(select *, cast(round_even({_SIDE('xmin', 'e0')}, 0) as int) as l, cast(round_even({_SIDE('xmax', 'e0')}, 0) as int) as r, cast(round_even({_DOWN('ymax')}, 0) as int) as t, cast(round_even({_DOWN('ymin')}, 0) as int) as b from (
+  select *, {_SIZE} * x - {EDGE} as e0, {EDGE} - {_SIZE} * (y + 1) as n0, {_SIZE} * (x + 1) - {EDGE} as e1, {EDGE} - {_SIZE} * y as n1 from (
+    select *, cast(unnest(range(y0, y1 + 1)) as int) as y from (select *, cast(unnest(range(x0, x1 + 1)) as int) as x from (
+      select *, {_LAST(f'(xmin + {EDGE}) / {_SIZE} - 0.015625')} as x0, {_LAST(f'(xmax + {EDGE}) / {_SIZE} + 0.015625')} as x1, {_LAST(f'({EDGE} - ymax) / {_SIZE} - 0.015625')} as y0, {_LAST(f'({EDGE} - ymin) / {_SIZE} + 0.015625')} as y1
+      from fx_polygons, {zooms_sql(*zooms)})))))"""
+
+
+@query(f"select z, x, y, id, 3 as type, 4 as points, l as \"left\", t as top, r as \"right\", b as bottom, building, landuse, cast(admin_level as varchar) as admin_level from {_DRAWN((6, 8))} where building = 'yes' and r > l and b > t")
+def mvt_tile_decoded(spark, sf_dir):
+    d = mvt.decoded(mvt_tile(spark, sf_dir))
+    a = c("attributes")
+    return d.select("z", "x", "y", "id", "type", F.size("xs").alias("points"), F.array_min("xs").alias("left"), F.array_min("ys").alias("top"), F.array_max("xs").alias("right"), F.array_max("ys").alias("bottom"), *(a[k].alias(k) for k in ("building", "landuse", "admin_level")))
+
+
+@query(f"""select z, x, y, layer, count(*) as features, sum(id) as ids from (
+  select 'land' as layer, * from {_DRAWN((7,))} where landuse is not null union all select 'aero' as layer, * from {_DRAWN((7,))} where aeroway is not null) where r > l and b > t group by 1, 2, 3, 4""")
+def mvt_concat_decoded(spark, sf_dir):
+    return mvt.decoded(mvt_concat(spark, sf_dir)).groupBy("z", "x", "y", "layer").agg(F.count("*").alias("features"), F.sum("id").alias("ids"))
+
+
 _SHAPE = (3, [np.array([(-2.00005e6, -1.50005e6), (3.00005e6, -1.50005e6), (3.00005e6, 2.50005e6), (-2.00005e6, 2.50005e6), (-2.00005e6, -1.50005e6)])])
 
 

@@ -78,6 +78,10 @@ def test_cover_of_a_box_is_every_tile_it_meets(spark):
                     if x0 < e[2] and x1 >= e[0] and y0 <= e[3] and y1 > e[1]:
                         expected.add((i, z, x, y))
     assert got == expected
+    for spread in (1, 20):
+        assert sorted((r.id, r.z, r.x, r.y) for r in vector.tile_cover(df, (0, 3, 4), spread=spread).collect()) == sorted(expected)
+    world = spark.createDataFrame([(-2e7, -2e7, 2e7, 2e7)], "xmin double, ymin double, xmax double, ymax double")
+    assert vector.tile_cover(world, (9,)).count() == vector.tile_cover(world, (9,), spread=1000).count() == 4**9
     with pytest.raises(Exception, match="too many tiles"):
         vector.tile_cover(df, (12,), max_tiles=10).collect()
 

@@ -7,9 +7,9 @@ and named in the same way, round by round, until one name is left.  (rounds, nam
 identity: equal if and only if the texts are equal, since names stand for contents and not for hashes.
 
 A block is referred to by a place where it stands: doc_id, sha of the text, position.  doc_id alone would
-not do, since rows may repeat it with other texts.  The raw text is exchanged once, and each batch sends a block that it holds many times only once, so a
-block that a third of all documents share costs one row for each batch.  All later exchanges move
-integers.  Rounds grow with the logarithm of the longest text.
+not do, since rows may repeat it with other texts.  The raw text is exchanged once, and each batch sends a
+block that it holds many times only once, so a block that a third of all documents share costs one row for
+each batch.  All later exchanges move integers.  Rounds grow with the logarithm of the longest text.
 
 Null text counts as empty.  Every row of the input is a row of the result, rows without doc_id and repeated
 rows included; of a group's rows with the largest doc_id (none, if no row has one) exactly one is kept.

@@ -76,8 +76,7 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": f"""
-        with d as (select distinct doc_id, {_LOWERED} as t from documents where doc_id is not null),
-             g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
-        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
-        from d join g using (t)""",
+        select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+          row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+        from (select doc_id, {_LOWERED} as t from documents)""",
 }

@@ -39,17 +39,29 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def row_keys(doc_id: Column, raw: Column) -> tuple[Column, Column]:
+    """Two keys without nulls that name a row by its doc_id, null or not, and the xxhash64 of its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(0)), F.xxhash64(raw, doc_id.isNull())
+
+
+def _matched(documents: DataFrame, rows: DataFrame, how: str, once: bool) -> DataFrame:
+    doc, raw, doc2, raw2 = fresh(documents, "__doc", "__raw", "__doc2", "__raw2")
+    own, theirs = row_keys(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))), row_keys(F.col("doc_id"), F.col("raw"))
+    keyed = documents.withColumns({doc: own[0], raw: own[1]})
+    named = rows.select(theirs[0].alias(doc2), theirs[1].alias(raw2))
+    return (keyed.dropDuplicates([doc, raw]) if once else keyed).join(named, (F.col(doc) == F.col(doc2)) & (F.col(raw) == F.col(raw2)), how).drop(doc, raw)
+
+
 def only_rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """The input's rows and columns: one row for each (doc_id, raw) of wanted, raw being xxhash64 of the text.
 
     Repetitions merge before the exchange, so a row that a third of the table repeats costs one row for each partition."""
-    doc, raw, doc2, raw2 = fresh(documents, "__doc", "__raw", "__doc2", "__raw2")
-    keys = lambda i, text: (F.coalesce(i.cast("long"), F.lit(0)), F.xxhash64(text, i.isNull()))  # noqa: E731  equal keys without nulls
-    own = keys(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
-    theirs = keys(F.col("doc_id"), F.col("raw"))
-    once = documents.withColumns({doc: own[0], raw: own[1]}).dropDuplicates([doc, raw])
-    named = wanted.select(theirs[0].alias(doc2), theirs[1].alias(raw2))
-    return once.join(named, (F.col(doc) == F.col(doc2)) & (F.col(raw) == F.col(raw2)), "left_semi").drop(doc, raw)
+    return _matched(documents, wanted, "left_semi", once=True)
+
+
+def without_rows(documents: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """The input's rows and columns without those whose (doc_id, raw) is in unwanted."""
+    return _matched(documents, unwanted, "left_anti", once=False)
 
 
 def first_rows(df: DataFrame, n: int, order: list[Column], part: str, parts: int, fan: int = 32) -> DataFrame:

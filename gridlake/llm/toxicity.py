@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, doc_chunks, hashed_sample, strings
+from .common import crc_fold, cut, doc_chunks, hashed_sample, strings, without_rows
 from .words import PLAIN, Words, mix
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, vote double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
+SCHEMA = "doc_id long, raw long, held_out boolean, score double, predicted int, vote double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
@@ -83,7 +83,7 @@ def _counted(vocabulary: np.ndarray):
                         if a < b:
                             found[i + docs[a]] = np.append(pair[a:b] % len(vocabulary), len(vocabulary)).astype(np.int32).tobytes()
                             counts[i + docs[a]] = np.append(n[a:b], words[docs[a]]).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "held_out", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "raw", "held_out")), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "raw", "held_out", "terms", "counts"])
 
     return run
 
@@ -229,10 +229,20 @@ class Model:
         return score, vote, shown
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.005, least_g: float = 30.0, k: int = 25, folds: int = 5, evidence: int = 5) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, vote, evidence (the first of the nearest examples) of every row."""
+    return _scores(documents, labels, **options).drop("raw")
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The input's rows and columns without rows predicted toxic; a row is known by doc_id, null or not, and text."""
+    return without_rows(documents, _scores(documents, labels, **options).where("predicted = 1").select("doc_id", "raw"))
+
+
+def _scores(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_terms: int = 2048, least_share: float = 0.005, least_g: float = 30.0, k: int = 25, folds: int = 5, evidence: int = 5) -> DataFrame:
+    """toxicity_scores with raw, the hash of a row's text."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False)))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"raw": F.xxhash64("text"), "held_out": F.coalesce(crc_fold("doc_id", folds) == 0, F.lit(False))})
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").where(crc_fold("__id", folds) != 0)
     sample = cut(hashed_sample(cut(marks.groupBy("__id").agg(F.max("toxic").alias("toxic"))), sample_rows, F.col("__id")))
     joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["__id"])  # sample_rows pairs of integers at most
@@ -241,7 +251,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     terms = joined.select("text", "toxic").mapInArrow(_label_counts, "term long, bad long, fine long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).where(f"bad + fine >= {max(5.0, least_share * (bad + fine))}")
     chosen = terms.withColumn("g", _g_squared(bad, fine)).where(f"g >= {least_g}").orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect() if bad and fine else []
     vocabulary = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
-    counted = cut(docs.mapInArrow(_counted(vocabulary), "doc_id long, held_out boolean, terms binary, counts binary"))
+    counted = cut(docs.mapInArrow(_counted(vocabulary), "doc_id long, raw long, held_out boolean, terms binary, counts binary"))
     seen = {r[0]: r[1] for r in counted.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term long, docs long").groupBy("term").agg(F.sum("docs")).collect()}
     total = seen.get(len(vocabulary), 0)
     idf = np.array([np.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in range(len(vocabulary))] + [1.0])  # the last: all words
@@ -254,7 +264,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
         for batch in batches:
             rows = [(read(t), read(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             s, v, near = shared.value.judge(batch.column("doc_id").to_pylist(), rows, evidence)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(near, _EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "vote", "evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "raw", "held_out")), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(near, _EVIDENCE)], ["doc_id", "raw", "held_out", "score", "predicted", "vote", "evidence"])
 
     return counted.mapInArrow(score, SCHEMA)
 

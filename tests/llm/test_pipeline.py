@@ -53,3 +53,16 @@ def test_stages_against_plain_versions(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda rows: sorted((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
     assert key(whole) == key(pieces)
+
+
+def test_toxicity_stage_drops_rows_not_ids(spark, tmp_path):
+    values, marks = toxic_corpus(300)
+    bad, fine = values[0], values[1]
+    rows = [(i, t, 1) for i, t in enumerate(values)] + [(7001, bad, 1), (7001, fine, 2), (None, bad, 3), (None, fine, 4), (None, fine, 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc int")
+    labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    odd = [(r.doc_id, r.text) for r in kept.collect() if r.doc_id is None or r.doc_id > 7000]
+    assert sorted(odd, key=str) == sorted([(7001, fine), (None, fine), (None, fine), (None, None)], key=str)

@@ -7,17 +7,14 @@ documents.  Stages work on all rows their predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridlake.llm import exact_dedup, ngram_join, packing, secrets, toxicity
 from gridlake.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples vote toxic go; rows without doc_id go as well."""
-    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias("__toxic_id"))
-    return docs.where("doc_id is not null").join(toxic, docs["doc_id"] == toxic["__toxic_id"], "left_anti")
+    """Documents that the nearest labelled examples vote toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +28,12 @@ def new_tiles(tiles: DataFrame, stored: DataFrame, order: Sequence[Column], keys
 
 
 def append_tiles(tiles: DataFrame, path: str, order: Sequence[Column]) -> None:
-    """Insert or ignore into a Parquet store partitioned by zoom."""
+    """Insert or ignore into a Parquet store partitioned by zoom; a store has one writer at a time."""
     spark = tiles.sparkSession
     try:
         tiles = new_tiles(tiles, spark.read.parquet(path), order)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         tiles = first_of(tiles, TILE, order)
     tiles.write.mode("append").partitionBy("z").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.encoding import float_to_rgba, nodata_of_type, rgba_to_float
-from ..operators import raster
+from ..operators import pyramid, raster
 from ..sources.derived import view
 from .registry import milli, milli_sql, query, real
 
@@ -187,3 +187,27 @@ def render_png_decoded(spark, sf_dir):
     from ..functions.png import drawn_pixels
 
     return drawn_pixels(render_png(spark, sf_dir), ("cell", "asset"))
+
+
+_BASE_TILES = """with p as (select cell, asset_ord, cast(px as int) as px, cast(py as int) as py, case when iv % 10 <> 3 and iv > 2000 then iv end as iv from fx_pixels),
+v as (select cell, px, py, {} as v from p group by cell, px, py),
+t as (select * from v where cell in (select cell from v where v is not null)),
+e as (select *, case when v > -9999999 then floor(log2(abs(v) + 1 - sign(v) * sign(v))) end as e from t),
+m as (select *, case when v > -9999999 then 8388608 + {} + sign(v) * 8388608 * (abs(v) / pow(2.0, e) - 1) end as m from e)
+select 5 as z, cast(cell % 4 as int) as x, cast(floor(cell / 4) as int) as y, px, py, coalesce(cast(floor(m / 65536) as int), 0) as r, coalesce(cast(floor((m - floor(m / 65536) * 65536) / 256) as int), 0) as g,
+  coalesce(cast(floor(m - floor(m / 65536) * 65536 - floor((m - floor(m / 65536) * 65536) / 256) * 256) as int), 0) as b, coalesce(cast(e + 128 as int), 0) as a from m"""
+
+
+def _base_tiles(name, method, sql, with_sign=True):
+    @query(_BASE_TILES.format(sql, "sign(v)" if with_sign else "0"), name=name)
+    def run(spark, sf_dir):
+        from ..functions.png import drawn_pixels
+
+        p = _pixels(spark, sf_dir).withColumn("iv", F.when(c("iv") % 10 == 3, F.lit(-9999999)).when(c("iv") > 2000, c("iv")))
+        p = p.select(F.lit(5).alias("z"), (c("cell") % 4).cast("int").alias("x"), F.floor(c("cell") / 4).cast("int").alias("y"), "asset_ord", "px", "py", "iv")
+        return drawn_pixels(pyramid.base_tiles(p, method, size=8, with_sign=with_sign))
+
+
+_base_tiles("base_tiles_first", "first", "cast(arg_min(iv, asset_ord) as double)")
+_base_tiles("base_tiles_mean", "mean", "cast(cast(sum(iv) as bigint) as double) / count(iv)")
+_base_tiles("base_tiles_lowest_without_sign", "lowest", "cast(min(iv) as double)", with_sign=False)

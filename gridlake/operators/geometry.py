@@ -6,12 +6,14 @@ A shape is (kind, parts): kind 1 to 3 for points, lines and areas; parts is a li
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMES = {1: "ST_Point", 2: "ST_LineString", 3: "ST_Polygon", 4: "ST_MultiPoint", 5: "ST_MultiLineString", 6: "ST_MultiPolygon", 7: "ST_GeometryCollection"}
@@ -74,16 +76,26 @@ def area(ring: np.ndarray) -> float:
     return float(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2
 
 
+def from_text(text: str) -> Shape:
+    """A shape out of well-known text: points, lines or rings are the innermost brackets; a third coordinate is left out."""
+    kind = re.match(r"\s*(?:SRID=\d+;)?\s*(MULTI)?(POINT|LINESTRING|POLYGON)", text, re.I)
+    if not kind:
+        raise ValueError(f"not a shape: {text[:40]!r}")
+    parts = [np.array([[float(v) for v in p.split()[:2]] for p in group.split(",")]) for group in re.findall(r"\(([^()]+)\)", text)]
+    return {"POINT": 1, "LINESTRING": 2, "POLYGON": 3}[kind[2].upper()], parts
+
+
 def contains_points(rings: list[np.ndarray], points: np.ndarray) -> np.ndarray:
-    """Even-odd rule over all rings."""
+    """Even-odd rule over all rings, a block of edges at a time."""
     inside = np.zeros(len(points), bool)
+    edges = np.concatenate([np.hstack([r, np.roll(r, -1, axis=0)]) for r in rings]) if rings else np.zeros((0, 4))
+    edges = edges[edges[:, 1] != edges[:, 3]]
     px, py = points[:, 0], points[:, 1]
-    for ring in rings:
-        a, b = ring, np.roll(ring, -1, axis=0)
-        for (x0, y0), (x1, y1) in zip(a, b, strict=True):
-            if y0 != y1:
-                cross = (y0 > py) != (y1 > py)
-                inside ^= cross & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
+    step = max(1, 200_000 // max(1, len(points)))
+    for i in range(0, len(edges), step):
+        x0, y0, x1, y1 = (edges[i : i + step, k, None] for k in range(4))
+        hit = ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
+        inside ^= hit.sum(0) % 2 == 1
     return inside
 
 
@@ -125,6 +137,88 @@ def within(a: Shape, b: Shape) -> bool:
     return b[0] == 3 and bool(contains_points(b[1], np.concatenate(a[1])).all()) and not _cross(a, b)
 
 
+def _on_border(rings: Shape, points: np.ndarray) -> np.ndarray:
+    s = _segments(rings)
+    d, p = s[:, None, 2:] - s[:, None, :2], points[None] - s[:, None, :2]
+    size = (d * d).sum(-1)
+    at = np.clip((d * p).sum(-1) / np.where(size > 0, size, 1), 0, 1)
+    gap = np.hypot(*np.moveaxis(p - at[..., None] * d, -1, 0))
+    return (gap <= 1e-12 * max(1.0, np.abs(s).max(initial=0), np.abs(points).max(initial=0))).any(0)
+
+
+def _pieces(a: Shape, b: Shape) -> np.ndarray:
+    """Midpoints of the pieces into which b's border cuts a's."""
+    out, t = [], _segments(b)
+    for row in _segments(a):
+        p, d = row[:2], row[2:] - row[:2]
+        e = t[:, 2:] - t[:, :2]
+        across = d[0] * e[:, 1] - d[1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = ((t[:, 0] - p[0]) * e[:, 1] - (t[:, 1] - p[1]) * e[:, 0]) / across
+            ends = ((t.reshape(-1, 2) - p) * d).sum(1) / (d * d).sum()  # of pieces that run along
+        cuts = np.concatenate([at[across != 0], ends])
+        cuts = np.unique(np.concatenate([[0.0, 1.0], cuts[(cuts > 0) & (cuts < 1)]]))
+        out.append(p + ((cuts[1:] + cuts[:-1]) / 2)[:, None] * d)
+    return np.concatenate(out) if out else np.zeros((0, 2))
+
+
+def _inner_point(a: Shape) -> np.ndarray:
+    """A point inside an area: the middle of its widest stretch on a line between two heights of vertices."""
+    s = _segments(a)
+    ys = np.unique(s[:, [1, 3]])
+    k = int(np.argmax(np.diff(ys)))
+    y = (ys[k] + ys[k + 1]) / 2
+    hit = s[(s[:, 1] > y) != (s[:, 3] > y)]
+    xs = np.sort(hit[:, 0] + (y - hit[:, 1]) / (hit[:, 3] - hit[:, 1]) * (hit[:, 2] - hit[:, 0]))
+    k = 2 * int(np.argmax(xs[1::2] - xs[::2]))
+    return np.array([[(xs[k] + xs[k + 1]) / 2, y]])
+
+
+def _sides(a: Shape, b: Shape) -> tuple[bool, bool]:
+    """Whether a's border runs inside the area b, and whether it runs outside."""
+    points = _pieces(a, b)
+    free = points[~_on_border(b, points)]
+    held = contains_points(b[1], free)
+    return bool(held.any()), bool((~held).any())
+
+
+def interiors_meet(a: Shape, b: Shape) -> bool:
+    """Of two areas, or of an area and a line or points."""
+    if a[0] == b[0] == 3:
+        return _sides(a, b)[0] or _sides(b, a)[0] or bool(contains_points(b[1], _inner_point(a))[0] and contains_points(a[1], _inner_point(b))[0])
+    if a[0] == 3:
+        a, b = b, a
+    if b[0] != 3:
+        raise ValueError("one of the two shapes must be an area")
+    if a[0] == 2:
+        return _sides(a, b)[0]
+    points = np.concatenate(a[1])
+    return bool((contains_points(b[1], points) & ~_on_border(b, points)).any())
+
+
+def equals(a: Shape, b: Shape) -> bool:
+    """The same area, whatever the vertices on its border."""
+    return a[0] == b[0] == 3 and not any(_sides(a, b)) and not any(_sides(b, a)) and interiors_meet(a, b)
+
+
+def overlaps(a: Shape, b: Shape) -> bool:
+    """Areas that share a part and each have a part of their own."""
+    return a[0] == b[0] == 3 and interiors_meet(a, b) and _sides(a, b)[1] and _sides(b, a)[1]
+
+
+def touches(a: Shape, b: Shape) -> bool:
+    """An area and another shape that meet in their borders alone."""
+    return intersects(a, b) and not interiors_meet(a, b)
+
+
+def crosses(a: Shape, b: Shape) -> bool:
+    """A line that runs inside and outside of an area; never true of two areas."""
+    if a[0] == b[0]:
+        return False
+    line, rings = (a, b) if a[0] == 2 else (b, a)
+    return line[0] == 2 and rings[0] == 3 and all(_sides(line, rings))
+
+
 def clip_ring(ring: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Part of a ring within an upright box."""
     for axis in (0, 1):
@@ -185,7 +279,23 @@ def simplify(line: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
     return line[sorted(keep)] if len(keep) >= least else line
 
 
-RELATIONS = {"intersects": intersects, "within": within, "disjoint": lambda a, b: not intersects(a, b), "contains": lambda a, b: within(b, a)}
+RELATIONS = {
+    "intersects": intersects, "within": within, "disjoint": lambda a, b: not intersects(a, b), "contains": lambda a, b: within(b, a),
+    "touches": touches, "overlaps": overlaps, "equals": equals, "crosses": crosses,
+}
+
+
+def relation(name: str, shape: Shape, wkb: Column, boxes: Sequence[Column]) -> Column:
+    """A condition for filters: the boxes decide first, in the scan; the exact test sees only shapes whose boxes meet."""
+    x0, y0, x1, y1 = (float(v) for v in box(shape))
+    meet = (boxes[0] <= x1) & (boxes[2] >= x0) & (boxes[1] <= y1) & (boxes[3] >= y0)
+    test = RELATIONS[name]
+
+    @F.pandas_udf("boolean")
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else bool(test(read(bytes(v)), shape)))
+
+    return ~meet | exact(F.when(meet, wkb)) if name == "disjoint" else meet & exact(F.when(meet, wkb))
 
 
 def related(df: DataFrame, relation: str, shape: Shape, wkb: str = "wkb", boxes: tuple[str, ...] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:

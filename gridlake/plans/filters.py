@@ -17,6 +17,8 @@ from operator import add, and_, eq, ge, gt, le, lt, mod, mul, ne, or_, sub, true
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import geometry
+
 COMPARE = {"==": eq, "!=": ne, "<": lt, "<=": le, ">": gt, ">=": ge}
 ARITHMETIC = {"+": add, "-": sub, "*": mul, "/": truediv, "%": mod, "^": F.pow}
 FUNCTIONS: dict[str, Callable[..., Column]] = {"floor": F.floor, "ceil": F.ceil, "abs": F.abs, "min": F.least, "max": F.greatest}
@@ -25,9 +27,10 @@ BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
 class Filters:
-    """fields: names used in expressions -> columns of the table."""
+    """fields: names used in expressions -> columns of the table; shape: the column of WKB that exact relations test."""
 
-    def __init__(self, fields: Mapping[str, str], geometry: str = "geom_type", cast_types: bool = False, functions: Mapping[str, Callable[..., Column]] | None = None) -> None:
+    def __init__(self, fields: Mapping[str, str], geometry: str = "geom_type", cast_types: bool = False, functions: Mapping[str, Callable[..., Column]] | None = None, shape: str = "wkb") -> None:
+        self.shape = shape
         self.fields, self.geometry, self.cast_types = dict(fields), geometry, cast_types
         self.functions = {**FUNCTIONS, **(functions or {})}
 
@@ -113,6 +116,9 @@ class Filters:
             return overlaps(tuple(F.col(c) for c in BOX), tuple(F.lit(float(a)) for a in args))
         if op in SPATIAL:
             self._need(op, args, 1, 1)
+            if isinstance(args[0], (str, bytes)):  # well-known text or binary: the exact relation
+                shape = geometry.from_text(args[0]) if isinstance(args[0], str) else geometry.read(args[0])
+                return geometry.relation(op, shape, F.col(self.shape), [F.col(c) for c in BOX])
             return SPATIAL[op](tuple(F.col(c) for c in BOX), tuple(F.lit(float(a)) for a in args[0]))
         if op in ("dwithin", "beyond"):
             self._need(op, args, 3, 3)
@@ -149,7 +155,7 @@ def _interiors_meet(a: Box, b: Box) -> Column:
     return (a[0] < b[2]) & (a[2] > b[0]) & (a[1] < b[3]) & (a[3] > b[1])
 
 
-#: Relations of upright rectangles; layers of other shapes refine these with operators.geometry.
+#: Relations of upright rectangles, for boxes as arguments; shapes as arguments are tested exactly.
 SPATIAL: dict[str, Callable[[Box, Box], Column]] = {
     "intersects": overlaps,
     "disjoint": lambda a, b: ~overlaps(a, b),

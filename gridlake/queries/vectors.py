@@ -10,6 +10,7 @@ from ..functions import grid
 from ..functions import tags as T
 from ..operators import geometry, mvt
 from ..operators import vector as V
+from ..plans.filters import Filters
 from ..sources.derived import view
 from .grids import COVER_SQL, EDGE
 from .registry import query, real, zooms_sql
@@ -180,3 +181,36 @@ def geom_within(spark, sf_dir):
 def bbox_union(spark, sf_dir):
     p = view(spark, sf_dir, "fx_polygons")
     return p.groupBy("landuse").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+
+
+#: Squares of 4 km whose corners lie on a grid of 2 km, so that every relation to one of them occurs.
+_SQUARES = "(select id, cast(id % 9 as double) * 2000 as xmin, cast(floor(id / 9) % 9 as double) * 2000 as ymin, cast(id % 9 as double) * 2000 + 4000 + case when id % 2 = 0 then 4000 else 0 end as xmax, cast(floor(id / 9) % 9 as double) * 2000 + 4000 as ymax from fx_polygons)"
+_EXACT = {
+    "intersects": "xmin <= 12000 and xmax >= 8000 and ymin <= 10000 and ymax >= 6000",
+    "touches": "xmin <= 12000 and xmax >= 8000 and ymin <= 10000 and ymax >= 6000 and not (xmin < 12000 and xmax > 8000 and ymin < 10000 and ymax > 6000)",
+    "overlaps": "xmin < 12000 and xmax > 8000 and ymin < 10000 and ymax > 6000 and not (xmin >= 8000 and xmax <= 12000 and ymin >= 6000 and ymax <= 10000) and not (xmin <= 8000 and xmax >= 12000 and ymin <= 6000 and ymax >= 10000)",
+    "equals": "xmin = 8000 and xmax = 12000 and ymin = 6000 and ymax = 10000",
+    "disjoint": "not (xmin <= 12000 and xmax >= 8000 and ymin <= 10000 and ymax >= 6000)",
+}
+
+
+def _squares(spark, sf_dir):
+    p = view(spark, sf_dir, "fx_polygons").select("id", (c("id") % 9 * 2000.0).alias("xmin"), (F.floor(c("id") / 9) % 9 * 2000.0).alias("ymin"))
+    p = p.withColumns({"xmax": c("xmin") + 4000 + F.when(c("id") % 2 == 0, 4000).otherwise(0), "ymax": c("ymin") + 4000})
+    return with_shapes(p)
+
+
+def _exact(name, condition):
+    @query(f"select id from {_SQUARES} where {condition}", name=f"filter_{name}_shape")
+    def run(spark, sf_dir):
+        text = "POLYGON((8000 6000, 12000 6000, 12000 8000, 12000 10000, 8000 10000, 8000 6000))"
+        return _squares(spark, sf_dir).where(Filters({"id": "id"}).compile([name, text])).select("id")
+
+
+for _n, _w in _EXACT.items():
+    _exact(_n, _w)
+
+
+@query(f"select id from {_SQUARES} where xmin < 16000 and xmax > 6000 and ymin < 5000 and ymax > 5000 and not (xmin <= 6000 and xmax >= 16000)")
+def filter_crosses_line(spark, sf_dir):
+    return _squares(spark, sf_dir).where(Filters({"id": "id"}).compile(["crosses", "LINESTRING(6000 5000, 16000 5000)"])).select("id")

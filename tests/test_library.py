@@ -298,3 +298,31 @@ def test_streams(spark, tmp_path):
     for n in (1, 2):
         tracking.tile_sink(tiles, f"{tmp_path}/tiles", f"{tmp_path}/ck{n}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/tiles").count() == 4
+
+
+def test_exact_relations_of_areas():
+    read = geometry.from_text
+    square, right = read("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"), read("POLYGON((4 0, 8 0, 8 4, 4 4, 4 0))")
+    ring, hole = read("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"), read("POLYGON((3 3, 6 3, 6 6, 3 6, 3 3))")
+    twice, corner = read("SRID=3857;POLYGON((0 0, 2 0, 4 0, 4 4, 0 4, 0 2, 0 0))"), read("POLYGON((4 4, 6 4, 6 6, 4 4))")
+    triangle, wide = read("POLYGON((2 -2, 6 2, 2 6, 2 -2))"), read("POLYGON((-1 1, 5 1, 5 3, -1 3, -1 1))")
+    true = lambda a, b: {n for n in ("touches", "overlaps", "equals", "crosses") if geometry.RELATIONS[n](a, b)}
+    assert true(square, right) == true(ring, hole) == true(square, corner) == {"touches"}
+    assert true(square, twice) == {"equals"}
+    assert true(square, triangle) == true(square, wide) == {"overlaps"}
+    assert true(square, read("POLYGON((1 1, 2 1, 2 2, 1 1))")) == true(square, read("POLYGON((9 9, 10 9, 10 10, 9 9))")) == set()
+    assert true(read("LINESTRING(-1 2, 5 2)"), square) == true(square, read("LINESTRING(1 1, 1 9)")) == {"crosses"}
+    assert true(read("LINESTRING(1 1, 2 2)"), square) == set()
+    assert geometry.contains_points(ring[1], np.array([[1.0, 1], [4, 4], [10, 1]])).tolist() == [True, False, False]
+
+
+def test_rules_of_requests():
+    from gridlake.operators import profile
+
+    assert set(profile.pyramid_checks(4)) == {"resampling", "resampling_warp", "tiledriver", "tile_size", "count_processes", "zoom", "pixel_selection_method"}
+
+
+def test_base_tile_of_a_rotated_raster_is_an_error(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 0.5, 0.0, 0.0, -1.0],)], "gt array<double>")
+    with pytest.raises(Exception, match="rotated"):
+        df.select(*grid.bounds_of_geotransform(F.col("gt"), F.lit(10), F.lit(10))).collect()

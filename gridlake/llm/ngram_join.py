@@ -366,8 +366,8 @@ def similarity_components(documents: DataFrame, width: int = 5, percent: int = 8
 def _mixed(entries: DataFrame) -> DataFrame:
     """key, node, component, one, size (of the key's group), main (its first member's component), others (members outside it), for groups of several components."""
     keys = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "one").alias("main")).where("least < most")
-    at = entries.join(keys.select(F.col("key").alias("__key"), "size", "main"), F.col("key") == F.col("__key")).drop("__key")
-    return cut(at)
+    # inverted keys hide the partitioning, so both sides of the join are exchanged and a large group can be split
+    return cut(entries.join(keys.select(F.bitwise_not("key").alias("__key"), "size", "main"), F.bitwise_not("key") == F.col("__key")).drop("__key"))
 
 
 def _blocks(mixed: DataFrame) -> DataFrame:
@@ -375,8 +375,9 @@ def _blocks(mixed: DataFrame) -> DataFrame:
 
     Blocks of the main component meet only the others; the others meet all."""
     rest = F.col("component") != F.col("main")
-    sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others")).withColumnRenamed("key", "__key")
-    m = mixed.withColumnRenamed("one", "name").join(sides, F.col("key") == F.col("__key")).drop("__key")
+    sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others"))
+    sides = sides.select(F.bitwise_not("key").alias("__key"), "others")
+    m = mixed.withColumnRenamed("one", "name").join(sides, F.bitwise_not("key") == F.col("__key")).drop("__key")
     n_rest = F.ceil(F.col("others") / _BLOCK).cast("int")
     n_main = F.ceil((F.col("size") - F.col("others")) / _BLOCK).cast("int")
     own = F.when(rest, F.pmod(F.xxhash64("node"), n_rest)).otherwise(n_rest + F.pmod(F.xxhash64("node"), n_main)).cast("int")

@@ -10,13 +10,17 @@ from .common import table
 from .exact_dedup import exact_groups
 from .html_text import extract_text
 from .lm_score import language_model_scores
+from .merkle import verified_manifest
 from .ngram_join import similarity_components
+from .oracles import MANIFEST, URL_FILTER
 from .packing import pack_documents
 from .piece_fst import encode_pieces
 from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
+from .url_filter import judged
+from .whitening import whiten
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,4 +98,6 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
           row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
         from (select doc_id, {_LOWERED} as t from documents)""",
+    "op11_url_filter": URL_FILTER,
+    "op13_merkle_manifest": MANIFEST,
 }

@@ -1,8 +1,8 @@
 """Merkle manifest of a dataset: a radix-ranked trie of document digests, with proofs and their verification.
 
 Ranks.  A leaf's place among its source's leaves is found without a sort of the source: doc_ids are counted by
-digits of 12 bits, the lowest level by the whole id, each higher level from the one below.  From the top down, a
-prefix starts where its parent starts plus what its smaller siblings hold, so each window sees 4,096 siblings at
+digits of 8 bits, the lowest level by the whole id, each higher level from the one below.  From the top down, a
+prefix starts where its parent starts plus what its smaller siblings hold, so each window sees 256 siblings at
 most.  Rows that share a doc_id are ranked in the same way by the leaf's first 60 bits, then by a number of their
 own, so an id that a third of all rows carry is dealt like any other.  Sources are ranked by six bytes at a time.
 
@@ -31,7 +31,7 @@ from .common import crc_fold, cut
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DIGIT = 12  # bits of a histogram's digit
+DIGIT = 8  # bits of a histogram's digit
 CHUNK = 6  # bytes of a source's name that make one number
 
 

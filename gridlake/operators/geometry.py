@@ -1,4 +1,4 @@
-"""Shapes as WKB: reading, boxes, predicates, clipping and simplification for Arrow functions.
+"""Shapes as WKB: reading, boxes, points in areas, clipping and simplification for Arrow functions.
 
 A shape is (kind, parts): kind 1 to 3 for points, lines and areas; parts is a list of coordinate arrays
 (for areas all rings, the outer one first; several areas follow each other, told apart by their ring's turn).
@@ -8,13 +8,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 NAMES = {1: "ST_Point", 2: "ST_LineString", 3: "ST_Polygon", 4: "ST_MultiPoint", 5: "ST_MultiLineString", 6: "ST_MultiPolygon", 7: "ST_GeometryCollection"}
 Shape = tuple[int, list[np.ndarray]]
@@ -25,7 +20,7 @@ def type_name(wkb: bytes) -> str:
 
 
 def read(wkb: bytes) -> Shape:
-    """Coordinates of a WKB value, flat; multi shapes share their single kind."""
+    """Coordinates of a WKB value, flat; multi shapes share their single kind, a collection of several kinds has 7."""
 
     def one(at: int) -> tuple[int, list[np.ndarray], int]:
         end = "<" if wkb[at] else ">"
@@ -44,11 +39,12 @@ def read(wkb: bytes) -> Shape:
                 parts.append(np.frombuffer(wkb, f"{end}f8", 2 * k, at + 4).reshape(k, 2).astype(float))
                 at += 4 + 16 * k
             return 3, parts, at
-        inner = 0
+        kinds = set()
         for _ in range(n):
             inner, more, at = one(at)
+            kinds.add(inner)
             parts += more
-        return inner, parts, at
+        return (kinds.pop() if len(kinds) == 1 else 7), parts, at
 
     kind, parts, _ = one(0)
     return kind, parts
@@ -99,126 +95,6 @@ def contains_points(rings: list[np.ndarray], points: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _segments(shape: Shape) -> np.ndarray:
-    out = [np.hstack([p, np.roll(p, -1, axis=0)])[: len(p) if shape[0] == 3 else len(p) - 1] for p in shape[1] if len(p) > 1]
-    return np.concatenate(out) if out else np.zeros((0, 4))
-
-
-def _cross(a: Shape, b: Shape) -> bool:
-    s, t = _segments(a), _segments(b)
-    if not len(s) or not len(t):
-        return False
-    turn = lambda o, p, q: (p[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (p[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0])
-    for row in s:
-        p, q = row[:2], row[2:]
-        one, two = turn(p, q, t[:, :2]), turn(p, q, t[:, 2:])
-        three, four = turn(t[:, :2], t[:, 2:], p), turn(t[:, :2], t[:, 2:], q)
-        meet = (np.maximum(t[:, 0], t[:, 2]) >= min(p[0], q[0])) & (np.minimum(t[:, 0], t[:, 2]) <= max(p[0], q[0])) & (np.maximum(t[:, 1], t[:, 3]) >= min(p[1], q[1])) & (np.minimum(t[:, 1], t[:, 3]) <= max(p[1], q[1]))
-        if (meet & (one * two <= 0) & (three * four <= 0)).any():
-            return True
-    return False
-
-
-def intersects(a: Shape, b: Shape) -> bool:
-    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = box(a), box(b)
-    if ax0 > bx1 or bx0 > ax1 or ay0 > by1 or by0 > ay1:
-        return False
-    if _cross(a, b):
-        return True
-    if b[0] == 3 and contains_points(b[1], np.concatenate(a[1])[:1] if a[0] != 1 else np.concatenate(a[1])).any():
-        return True
-    if a[0] == 3 and contains_points(a[1], np.concatenate(b[1])[:1] if b[0] != 1 else np.concatenate(b[1])).any():
-        return True
-    return a[0] == b[0] == 1 and bool((np.concatenate(a[1])[:, None] == np.concatenate(b[1])[None]).all(-1).any())
-
-
-def within(a: Shape, b: Shape) -> bool:
-    """a inside the area b, without crossing its border."""
-    return b[0] == 3 and bool(contains_points(b[1], np.concatenate(a[1])).all()) and not _cross(a, b)
-
-
-def _on_border(rings: Shape, points: np.ndarray) -> np.ndarray:
-    s = _segments(rings)
-    d, p = s[:, None, 2:] - s[:, None, :2], points[None] - s[:, None, :2]
-    size = (d * d).sum(-1)
-    at = np.clip((d * p).sum(-1) / np.where(size > 0, size, 1), 0, 1)
-    gap = np.hypot(*np.moveaxis(p - at[..., None] * d, -1, 0))
-    return (gap <= 1e-12 * max(1.0, np.abs(s).max(initial=0), np.abs(points).max(initial=0))).any(0)
-
-
-def _pieces(a: Shape, b: Shape) -> np.ndarray:
-    """Midpoints of the pieces into which b's border cuts a's."""
-    out, t = [], _segments(b)
-    for row in _segments(a):
-        p, d = row[:2], row[2:] - row[:2]
-        e = t[:, 2:] - t[:, :2]
-        across = d[0] * e[:, 1] - d[1] * e[:, 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = ((t[:, 0] - p[0]) * e[:, 1] - (t[:, 1] - p[1]) * e[:, 0]) / across
-            ends = ((t.reshape(-1, 2) - p) * d).sum(1) / (d * d).sum()  # of pieces that run along
-        cuts = np.concatenate([at[across != 0], ends])
-        cuts = np.unique(np.concatenate([[0.0, 1.0], cuts[(cuts > 0) & (cuts < 1)]]))
-        out.append(p + ((cuts[1:] + cuts[:-1]) / 2)[:, None] * d)
-    return np.concatenate(out) if out else np.zeros((0, 2))
-
-
-def _inner_point(a: Shape) -> np.ndarray:
-    """A point inside an area: the middle of its widest stretch on a line between two heights of vertices."""
-    s = _segments(a)
-    ys = np.unique(s[:, [1, 3]])
-    k = int(np.argmax(np.diff(ys)))
-    y = (ys[k] + ys[k + 1]) / 2
-    hit = s[(s[:, 1] > y) != (s[:, 3] > y)]
-    xs = np.sort(hit[:, 0] + (y - hit[:, 1]) / (hit[:, 3] - hit[:, 1]) * (hit[:, 2] - hit[:, 0]))
-    k = 2 * int(np.argmax(xs[1::2] - xs[::2]))
-    return np.array([[(xs[k] + xs[k + 1]) / 2, y]])
-
-
-def _sides(a: Shape, b: Shape) -> tuple[bool, bool]:
-    """Whether a's border runs inside the area b, and whether it runs outside."""
-    points = _pieces(a, b)
-    free = points[~_on_border(b, points)]
-    held = contains_points(b[1], free)
-    return bool(held.any()), bool((~held).any())
-
-
-def interiors_meet(a: Shape, b: Shape) -> bool:
-    """Of two areas, or of an area and a line or points."""
-    if a[0] == b[0] == 3:
-        return _sides(a, b)[0] or _sides(b, a)[0] or bool(contains_points(b[1], _inner_point(a))[0] and contains_points(a[1], _inner_point(b))[0])
-    if a[0] == 3:
-        a, b = b, a
-    if b[0] != 3:
-        raise ValueError("one of the two shapes must be an area")
-    if a[0] == 2:
-        return _sides(a, b)[0]
-    points = np.concatenate(a[1])
-    return bool((contains_points(b[1], points) & ~_on_border(b, points)).any())
-
-
-def equals(a: Shape, b: Shape) -> bool:
-    """The same area, whatever the vertices on its border."""
-    return a[0] == b[0] == 3 and not any(_sides(a, b)) and not any(_sides(b, a)) and interiors_meet(a, b)
-
-
-def overlaps(a: Shape, b: Shape) -> bool:
-    """Areas that share a part and each have a part of their own."""
-    return a[0] == b[0] == 3 and interiors_meet(a, b) and _sides(a, b)[1] and _sides(b, a)[1]
-
-
-def touches(a: Shape, b: Shape) -> bool:
-    """An area and another shape that meet in their borders alone."""
-    return intersects(a, b) and not interiors_meet(a, b)
-
-
-def crosses(a: Shape, b: Shape) -> bool:
-    """A line that runs inside and outside of an area; never true of two areas."""
-    if a[0] == b[0]:
-        return False
-    line, rings = (a, b) if a[0] == 2 else (b, a)
-    return line[0] == 2 and rings[0] == 3 and all(_sides(line, rings))
-
-
 def clip_ring(ring: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Part of a ring within an upright box."""
     for axis in (0, 1):
@@ -277,39 +153,3 @@ def simplify(line: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
             keep.add(a + 1 + at)
             todo += [(a, a + 1 + at), (a + 1 + at, b)]
     return line[sorted(keep)] if len(keep) >= least else line
-
-
-RELATIONS = {
-    "intersects": intersects, "within": within, "disjoint": lambda a, b: not intersects(a, b), "contains": lambda a, b: within(b, a),
-    "touches": touches, "overlaps": overlaps, "equals": equals, "crosses": crosses,
-}
-
-
-def relation(name: str, shape: Shape, wkb: Column, boxes: Sequence[Column]) -> Column:
-    """A condition for filters: the boxes decide first, in the scan; the exact test sees only shapes whose boxes meet."""
-    x0, y0, x1, y1 = (float(v) for v in box(shape))
-    meet = (boxes[0] <= x1) & (boxes[2] >= x0) & (boxes[1] <= y1) & (boxes[3] >= y0)
-    test = RELATIONS[name]
-
-    @F.pandas_udf("boolean")
-    def exact(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else bool(test(read(bytes(v)), shape)))
-
-    return ~meet | exact(F.when(meet, wkb)) if name == "disjoint" else meet & exact(F.when(meet, wkb))
-
-
-def related(df: DataFrame, relation: str, shape: Shape, wkb: str = "wkb", boxes: tuple[str, ...] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
-    """Rows whose shape stands in a relation to a given one.
-
-    Box columns decide first, in the scan; only shapes whose boxes meet go through Arrow to the exact test."""
-    x0, y0, x1, y1 = box(shape)
-    if relation != "disjoint":
-        a, b, c, d = (F.col(n) for n in boxes)
-        df = df.where((a <= x1) & (c >= x0) & (b <= y1) & (d >= y0))
-    test = RELATIONS[relation]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([v is not None and test(read(v), shape) for v in batch.column(wkb).to_pylist()], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)

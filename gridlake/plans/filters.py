@@ -17,7 +17,7 @@ from operator import add, and_, eq, ge, gt, le, lt, mod, mul, ne, or_, sub, true
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import geometry
+from ..operators import geometry, relations
 
 COMPARE = {"==": eq, "!=": ne, "<": lt, "<=": le, ">": gt, ">=": ge}
 ARITHMETIC = {"+": add, "-": sub, "*": mul, "/": truediv, "%": mod, "^": F.pow}
@@ -118,7 +118,7 @@ class Filters:
             self._need(op, args, 1, 1)
             if isinstance(args[0], (str, bytes)):  # well-known text or binary: the exact relation
                 shape = geometry.from_text(args[0]) if isinstance(args[0], str) else geometry.read(args[0])
-                return geometry.relation(op, shape, F.col(self.shape), [F.col(c) for c in BOX])
+                return relations.relation(op, shape, F.col(self.shape), [F.col(c) for c in BOX])
             return SPATIAL[op](tuple(F.col(c) for c in BOX), tuple(F.lit(float(a)) for a in args[0]))
         if op in ("dwithin", "beyond"):
             self._need(op, args, 3, 3)

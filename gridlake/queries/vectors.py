@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions import tags as T
-from ..operators import geometry, mvt
+from ..operators import geometry, mvt, relations
 from ..operators import vector as V
 from ..plans.filters import Filters
 from ..sources.derived import view
@@ -169,12 +169,12 @@ _SHAPE = (3, [np.array([(-2.00005e6, -1.50005e6), (3.00005e6, -1.50005e6), (3.00
 
 @query("select id from fx_polygons where xmin <= 3000050 and xmax >= -2000050 and ymin <= 2500050 and ymax >= -1500050")
 def geom_intersects(spark, sf_dir):
-    return geometry.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "intersects", _SHAPE).select("id")
+    return relations.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "intersects", _SHAPE).select("id")
 
 
 @query("select id from fx_polygons where xmin >= -2000050 and xmax <= 3000050 and ymin >= -1500050 and ymax <= 2500050")
 def geom_within(spark, sf_dir):
-    return geometry.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "within", _SHAPE).select("id")
+    return relations.related(with_shapes(view(spark, sf_dir, "fx_polygons")), "within", _SHAPE).select("id")
 
 
 @query("select landuse, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from fx_polygons group by landuse")

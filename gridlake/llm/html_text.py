@@ -4,9 +4,11 @@ A page becomes a flat list of text blocks.  A block ends at every tag that is no
 block has its word count, link density and words per line, whether it is a heading, the word counts and link
 densities of the two blocks before and after it, and what encloses it, where the page says so (the nearest
 telling element: an article or main part, or a menu, header, footer, sidebar, notice, advert, form, comment
-list).  A decision tree says which blocks are main text.  It is grown on the small labelled table below, and
-each of its pages is there twice, with and without enclosing elements, so that counts and densities decide
-wherever a page names nothing.  Scripts, styles, templates, comments and the page's head never make blocks.
+list).  An article or main element stays one whatever its class says; a class or id inside it that names a
+sidebar, footer, menu or notice is a doubt, not a verdict.  A decision tree says which blocks are main text.  It is
+grown on the small labelled table below, whose pages are there twice, with and without enclosing elements,
+so that counts and densities decide wherever a page names nothing.  Scripts, styles, templates, comments and the
+page's head never make blocks; nothing inside them is read as a tag.
 
 Text: character references are decoded, white space within a block becomes one space, ends are trimmed,
 blocks are joined in page order by one line feed; nothing else is dropped or capped.
@@ -34,9 +36,9 @@ _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _LETTER = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
 #: Content that is no text of the page, up to the closing tag of the same name.
-SKIPPED = ("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "textarea", "select", "head", "title")
+SKIPPED = ("script", "style", "template", "noscript", "iframe", "object", "svg", "textarea", "select", "head", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = {"article": "main", "main": "main", "nav": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "button": "form", "dialog": "notice", "menu": "menu", "figcaption": "caption"}
 ROLES = {"navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "side", "search": "form", "main": "main", "article": "main", "dialog": "notice", "alert": "notice"}
@@ -52,37 +54,52 @@ WORDS = {
     "comments": "comment comments discussion replies reply respond disqus",
 }
 _KIND_OF = {word: kind for kind, words in WORDS.items() for word in words.split()}
+#: Class words of a state, which say nothing of what an element is.
+_STATE = re.compile(r"^(?:has|is|no|not|with|without|js|show|hide)[-_]|[-_](?:enabled|disabled|visible|open|active|on|off)$")
 KINDS = ("none", "main", "menu", "header", "footer", "side", "notice", "advert", "form", "comments", "caption")
-def _kind(tag: str, attributes: str) -> str | None:
+
+
+def _kind(tag: str, attributes: str) -> tuple[str | None, bool]:
+    """What an element is by its tag, role, class and id, and whether only a word in a class or id says so."""
     if not attributes.strip():
-        return NAMES.get(tag)
+        return NAMES.get(tag), False
     if _HIDDEN.search(attributes):
-        return "notice"
-    named: set[str] = set()
+        return "notice", False
+    whole: set[str] = set()
+    parts: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in ROLES:
-                return ROLES[value]
+                return ROLES[value], False
         else:
             for word in value.split():
-                named.update(_KIND_OF[p] for p in [word, *re.split(r"[-_]+", word)] if p in _KIND_OF)
+                if word in _KIND_OF:
+                    whole.add(_KIND_OF[word])
+                elif not _STATE.search(word):
+                    parts.update(_KIND_OF[p] for p in re.split(r"[-_]+", word) if p in _KIND_OF)
+    if tag in ("article", "main"):  # what such an element holds besides does not make it something else
+        return next((kind for kind in ("comments", "advert") if kind in whole), "main"), False
     for kind in ("comments", "advert", "notice", "menu", "form", "side", "footer", "header"):
-        if kind in named:
-            return kind
-    return NAMES.get(tag) or ("main" if "main" in named else None)
+        if kind in whole | parts:
+            return kind, tag not in NAMES and kind not in ("comments", "advert", "form")
+    return NAMES.get(tag) or ("main" if "main" in whole | parts else None), False
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "kind", "main", "heading")
+    __slots__ = ("text", "words", "linked", "kind", "main", "heading", "doubt")
 
-    def __init__(self, text: str, words: int, linked: int, kind: str, main: bool, heading: bool) -> None:
-        self.text, self.words, self.linked, self.kind, self.main, self.heading = text, words, linked, kind, main, heading
+    def __init__(self, text: str, words: int, linked: int, kind: str, main: bool, heading: bool, doubt: bool) -> None:
+        self.text, self.words, self.linked, self.kind, self.main, self.heading, self.doubt = text, words, linked, kind, main, heading, doubt
 
 
 def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, "/" of an end tag, name, attributes) of each tag; name is empty for comments and declarations."""
+    """(start, end, "/" of an end tag, name, attributes) of each tag; name is empty for comments and declarations.
+
+    An element of SKIPPED is one token up to the end of its closing tag (of the page, where it has none; an unclosed
+    head is its start tag alone), so nothing inside is read as a tag or a comment."""
     at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    unclosed: set[str] = set()
     while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
@@ -99,8 +116,14 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             m = _TAG.match(page, at) if quotes else None
             if m is None:
                 quotes, m = False, _PLAIN_TAG.match(page, at)
-            yield at, m.end(), m[1], m[2].lower(), m[3]
-            at = m.end()
+            tag, end = m[2].lower(), m.end()
+            if not m[1] and tag in SKIPPED and not m[3].endswith("/"):
+                closed = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+                if not closed:
+                    unclosed.add(tag)
+                end = closed.end() if closed else end if tag == "head" else size
+            yield at, end, m[1], tag, m[3]
+            at = end
         else:
             at += 1
 
@@ -108,10 +131,12 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
 class _Open:
     """An open element and what it and those around it say of the text inside."""
 
-    __slots__ = ("tag", "inner", "main", "bad")
+    __slots__ = ("tag", "inner", "main", "bad", "doubt")
 
-    def __init__(self, tag: str, kind: str | None, around: _Open | None) -> None:
-        inner, main, bad = (around.inner, around.main, around.bad) if around else ("none", False, None)
+    def __init__(self, tag: str, kind: str | None, weak: bool, around: _Open | None) -> None:
+        inner, main, bad, self.doubt = (around.inner, around.main, around.bad, around.doubt) if around else ("none", False, None, False)
+        if weak and main:  # a mere word inside an article: counts and densities decide
+            kind, self.doubt = None, True
         self.tag, self.main, self.bad = tag, main or kind == "main", kind if kind in ("comments", "advert", "notice", "form") else bad
         self.inner = inner if kind is None else "main" if kind == "header" and main else kind  # an article's own header
 
@@ -122,11 +147,10 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     opened: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
-    unclosed: set[str] = set()
-    link, heading, at, skip = 0, False, 0, 0
+    link, heading, at = 0, False, 0
 
-    def push(tag: str, kind: str | None) -> None:
-        stack.append(_Open(tag, kind, stack[-1] if stack else None))
+    def push(tag: str, kind: str | None, weak: bool) -> None:
+        stack.append(_Open(tag, kind, weak, stack[-1] if stack else None))
         opened[tag] += 1
 
     def close() -> None:
@@ -135,25 +159,16 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p.split()) for p, is_link in parts if is_link)
                 top = stack[-1] if stack else None
-                found.append(Block(text, text.count(" ") + 1, linked, (top.bad or top.inner) if top else "none", bool(top and top.main), heading))
+                found.append(Block(text, text.count(" ") + 1, linked, (top.bad or top.inner) if top else "none", bool(top and top.main), heading, bool(top and top.doubt)))
             parts.clear()
 
     for start, end, slash, tag, attributes in _tokens(page):
-        if start < skip:
-            continue
         if start > at:
             parts.append((html.unescape(page[at:start]), link > 0))
         at = end
         if not tag:
             continue
         if not slash and tag in SKIPPED:
-            if not attributes.endswith("/"):
-                m = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, end)
-                if m:
-                    at = skip = m.end()
-                else:
-                    unclosed.add(tag)
-                    at = skip = end if tag == "head" else len(page)
             close()
             continue
         if tag in INLINE:
@@ -161,8 +176,8 @@ def blocks(page: str) -> list[Block]:
                 link = max(0, link - 1) if slash else 1
             elif tag == "br":
                 parts.append((" ", link > 0))
-            elif not slash and attributes and (kind := _kind(tag, attributes)) and kind != "main":
-                push(tag, kind)
+            elif not slash and attributes and (kind := _kind(tag, attributes))[0] not in (None, "main"):
+                push(tag, *kind)
                 continue
             if slash and stack and stack[-1].tag == tag:
                 opened[stack.pop().tag] -= 1
@@ -180,9 +195,9 @@ def blocks(page: str) -> list[Block]:
         else:
             heading = tag[0] == "h" and tag[1:].isdigit()
             if tag not in VOID and not attributes.endswith("/") and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                push(tag, _kind(tag, attributes))
-            elif tag in ("p", "li", "td") and attributes and (kind := _kind(tag, attributes)) and kind != "main":
-                push(tag, kind)
+                push(tag, *_kind(tag, attributes))
+            elif tag in ("p", "li", "td") and attributes and (kind := _kind(tag, attributes))[0] not in (None, "main"):
+                push(tag, *kind)
     if at < len(page):
         parts.append((html.unescape(page[at:]), link > 0))
     close()
@@ -194,10 +209,11 @@ FEATURES = (*(f"words{d:+d}" for d in _NEAR), *(f"links{d:+d}" for d in _NEAR),
 _FRAME, _ASIDE = ("menu", "header", "footer"), ("side", "notice", "advert", "form", "comments")
 
 
-def features(words: list[int], linked: list[int], lines: list[int], heading: list[bool], main: list[bool], kind: list[str]) -> np.ndarray:
+def features(words: list[int], linked: list[int], lines: list[int], heading: list[bool], main: list[bool], kind: list[str], doubt: list[bool]) -> np.ndarray:
     """FEATURES of the blocks of one page; beyond its ends lie empty blocks.
 
-    enclosure: 1 in a main part, -1 in anything else that tells, 0 where the page says nothing."""
+    enclosure: 1 in a main part (a half where a class or id in it names something else), -1 in anything else that
+    tells, 0 where the page says nothing."""
     n = len(words)
     count = np.zeros(n + 4)
     count[2:-2] = words
@@ -205,18 +221,18 @@ def features(words: list[int], linked: list[int], lines: list[int], heading: lis
     share[2:-2] = linked
     share /= np.maximum(count, 1)
     near = [x[2 + d : n + 2 + d] for x in (count, share) for d in _NEAR]
-    enclosure = [-1 if k in _FRAME or k in _ASIDE else int(m) for k, m in zip(kind, main, strict=True)]
+    enclosure = [-1 if k in _FRAME or k in _ASIDE else m * (0.5 if d else 1.0) for k, m, d in zip(kind, main, doubt, strict=True)]
     return np.stack([*near, count[2:-2] / np.maximum(lines, 1), np.array(heading, np.float64), np.array(enclosure, np.float64)], axis=1) if n else np.zeros((0, len(FEATURES)))
 
 
 def block_features(found: list[Block], line: int = 80) -> np.ndarray:
     """FEATURES of each block; a line has so many characters."""
-    return features([b.words for b in found], [b.linked for b in found], [-(-len(b.text) // line) for b in found], [b.heading for b in found], [b.main for b in found], [b.kind for b in found])
+    return features([b.words for b in found], [b.linked for b in found], [-(-len(b.text) // line) for b in found], [b.heading for b in found], [b.main for b in found], [b.kind for b in found], [b.doubt for b in found])
 
 
 #: Labelled by hand: pages of news, blogs, shops, wikis and forums as rows of blocks.  A block is a letter for what
-#: encloses it (m main, n menu, t header, f footer, s sidebar, c comments, x notice, a advert, o form, b nothing),
-#: its words, "/" and its linked words, "h" for a heading, "+" for main text.
+#: encloses it (m main, n menu, t header, f footer, s sidebar, c comments, x notice, a advert, o form, b nothing,
+#: k main with a doubtful name), its words, "/" and its linked words, "h" for a heading, "+" for main text.
 LABELLED = (
     "t2/2 n1/1 n1/1 n2/2 n1/1 n1/1 a8 m9h+ m12+ m48+ m62+ m120/3+ m55+ m4+ m40/4+ m75+ m22+ m3+ m96+ f9",
     "n1/1 n1/1 n1/1 n1/1 n2/2 a10 m7h+ m19+ m33+ m8+ m51+ m1+ m85+ m130+ m2+ m64+ f11",
@@ -231,15 +247,20 @@ LABELLED = (
     "t1/1 n2/2 n1/1 m5h+ m2+ m24+ m3h+ m4+ m5+ m4+ m6+ m31+ a12 s2h s6/6 s5/5 s8/8 o4 f2/2 f2/2 f14",
     "n1/1 n1/1 n1/1 n1/1 a9 m8h+ m28+ m160+ m41+ m72+ m15+ c1h c4/1 c33 c4/1 c18 c3/1 c7 f6",
     "b10+", "b6+", "b3+", "b14+ b55+ b60+ b9+ b33+", "b40+", "b6h+ b120+", "m5h+ m1+ m1+ m2+ m1+ m60+",
+    "n1/1 n2/2 m8h+ m40+ k60+ k74+ m70+ f6", "m5h+ k60+", "m4h+ k65+ k62+ k70+ k66+", "t2 m9h+ m61+ k9 m58+ k3/3 k4/4 k3/3 m44+ k12 m39+ f5", "n1/1 m6h+ m33+ k2h k6/6 k8/8 k5/5 m71+ k14/2 f9",
+    "n1/1 n1/1 m7h+ k64+ k72/1+ k90+ k68+ f8", "m60+ k7 m80+ k11/1 m35+ k64+",
+    "m1+ m1+ m1+ m1+ m1+ m1+", "n1/1 n2/2 m1+ m2+ m1+ m1+ f4", "m2/1+ m1+ m1/1+ m3/3+ m60+", "m9h+ m3+ m1+ m2/2+ m1+", "m10/1+ m12/12+ m1h+ m2/2+", "m3h+ m7/7+ m5/5+ m8/8+ m40+ f3/3",
+    "t1/1 n1/1 n1/1 x12 m3h+ m2+ m9/2+ a10 m1+ m1+ o1 o1 c13 s1h s12 f3", "t1 n1/1 x9 m4h+ m3+ m12+ a7 m2+ m1+ m2+ o2 o1 c9 c14 s1h s9 s15 f2",
+    "n1/1 n1/1 m5h+ m20/12+ m4/4+ m6/5+ m30/2+ m2/2+ m9/9+ f7", "s5/5 s30 m4h+ m12/3+ m40/20+ m5+ a14 m20+ c40 c12 f20",
     "n1/1 n1/1 b35+ b7+ b48+ b90+ f5 f1/1", "s2h s6/6 s7/7 s5/5 m9h+ m50+ m61+ m47+ m70+ s3h s22 f8",
 )
-_KIND_LETTERS = {"m": "main", "n": "menu", "t": "header", "f": "footer", "s": "side", "c": "comments", "x": "notice", "a": "advert", "o": "form", "b": "none"}
-_BLOCK = re.compile(r"([mntfscxaob])(\d+)(?:/(\d+))?(h?)(\+?)")
+_KIND_LETTERS = {"m": "main", "n": "menu", "t": "header", "f": "footer", "s": "side", "c": "comments", "x": "notice", "a": "advert", "o": "form", "b": "none", "k": "main"}
+_BLOCK = re.compile(r"([mntfscxaobk])(\d+)(?:/(\d+))?(h?)(\+?)")
 
 
 def labelled_rows(pages: Iterable[str], variants: int = 16, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and labels of labelled pages: each as it is and in variants of other lengths, with enclosures (six
-    copies, so the tree asks for them first) and without (so counts and densities decide where a page names nothing)."""
+    """FEATURES and labels of labelled pages: each as it is and in variants of other lengths, once with
+    enclosures and once without, so that counts and densities decide wherever a page names nothing."""
     rng, rows, labels = random.Random(seed), [], []
     for page in pages:
         read = [m.groups() for m in map(_BLOCK.fullmatch, page.split())]
@@ -248,10 +269,10 @@ def labelled_rows(pages: Iterable[str], variants: int = 16, seed: int = 5) -> tu
             words = [stretch(int(b[1])) for b in read]
             linked = [round(w * int(b[2] or 0) / int(b[1])) for w, b in zip(words, read, strict=True)]
             lines = [-(-round(w * rng.uniform(5.5, 7.5)) // 80) for w in words]
-            heading, main = [b[3] == "h" for b in read], [b[0] == "m" for b in read]
-            for named in (True,) * 6 + (False,):  # what a page says of itself counts most
+            heading, main = [b[3] == "h" for b in read], [b[0] in "mk" for b in read]
+            for named in (True, False):
                 kind = [_KIND_LETTERS[b[0]] if named else "none" for b in read]
-                rows.append(features(words, linked, lines, heading, [named and m for m in main], kind))
+                rows.append(features(words, linked, lines, heading, [named and m for m in main], kind, [named and b[0] == "k" for b in read]))
                 labels += [b[4] == "+" for b in read]
     return np.concatenate(rows), np.array(labels, np.float64)
 
@@ -259,7 +280,7 @@ def labelled_rows(pages: Iterable[str], variants: int = 16, seed: int = 5) -> tu
 class DecisionTree:
     """Binary splits by Gini impurity, grown until pure, to `depth`, or to leaves of `least` rows."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 10, least: int = 20) -> None:
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 12, least: int = 10) -> None:
         self.feature, self.cut, self.left, self.value = [], [], [], []
         self.least = least
         self._grow(rows, labels, depth, self._add())

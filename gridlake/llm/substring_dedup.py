@@ -14,7 +14,8 @@ for each batch of documents that holds it, because a batch merges its own repeti
 
 The text is exchanged once by doc_id (both joins reuse that exchange), anchors and windows as packets.
 
-Null or empty text: no words, the row stays with zeros.  Rows without doc_id are left out.  Rows that
+Null or empty text: no words, the row stays with zeros.  Rows without doc_id
+have no place in the order: they come back whole, and no window counts as earlier because of them.  Rows that
 repeat a doc_id are one document to the order: neither is earlier than the other.  Other columns of the
 input are ignored, whatever their names.
 """
@@ -42,13 +43,15 @@ def remove_repeats(documents: DataFrame, length: int = 20, with_text: bool = Fal
     anchor = length - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"length must be at least {PERIOD}")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
     buckets = shuffle_buckets(documents.sparkSession)
     repeated = packets.answered(docs.mapInArrow(_anchor_packets(anchor, buckets), packets.PACKET), _repeated, buckets)
     around = docs.join(repeated, "doc_id").mapInArrow(_window_packets(length, buckets), packets.PACKET)
     later = packets.answered(around, _later, buckets)
     schema = RESULT + (", text string" if with_text else "")
-    return docs.join(later, "doc_id", "left").mapInArrow(_kept(length, with_text), schema)
+    placed = docs.join(later, "doc_id", "left").unionByName(nameless.withColumn("places", F.lit(None).cast("binary")))
+    return placed.mapInArrow(_kept(length, with_text), schema)
 
 
 def _anchor_packets(k: int, buckets: int):

@@ -9,13 +9,14 @@ On Spark.  Word counts of all training documents are gathered in packets by word
 word once.  Words outside the vocabulary are looked up the other way round: each document's distinct ones
 go to their word's bucket, which counts them over all training documents and returns sums by document.
 The network is trained on every training document once, in `train_share` rounds, each on another
-1/`train_share` of them, dealt over trainers whose number grows with them; each trains on its own documents from
+1/`train_share` of them, dealt over trainers whose number grows with their bytes; each trains on its own documents from
 the same start, and the mean of their weights starts the next round (weights are averaged on the executors, in
 slices and as a tree, so no task holds more than `_FAN` trainers' slices).
 
-Null or empty text: the end token alone.  Rows without doc_id are scored and learned from.  Rows that repeat a
-doc_id share the part that looks up words outside the vocabulary, in proportion to their number of such words;
-equal rows get equal scores.  Other columns are ignored.
+Null or empty text: the end token alone.  Rows without doc_id are scored and learned from.  A document is
+known by a hash of its id and text, so rows that repeat a doc_id with other texts are documents of their own (two
+documents out of 10^10 may share a hash; they would share the part of words outside the vocabulary); equal rows
+get equal scores.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,14 +155,15 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": rows["slice"][:1], "trainer": [rows["trainer"].iloc[0] // _FAN], "tokens": [rows["tokens"].sum()], "weights": [total.tobytes()]})
 
 
-def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_docs: int) -> Gru:
+def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_bytes: int) -> Gru:
     """The mean of trainers' networks; docs: the training documents (rid, text)."""
     spark = docs.sparkSession
     share = F.pmod(F.xxhash64("rid"), F.lit(train_share)).cast("int")
-    sizes = {r[0]: r[1] for r in docs.groupBy(share.alias("share")).count().collect()}  # train_share rows at most
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    sizes = {r[0]: r[1] for r in docs.groupBy(share.alias("share")).agg(F.sum(size)).collect()}  # train_share rows at most
     network, words = Gru(vocabulary.counts, hidden), spark.sparkContext.broadcast(vocabulary)
     for turn in range(train_share):
-        trainers = max(1, -(-sizes.get(turn, 0) // trainer_docs))
+        trainers = max(1, -(-sizes.get(turn, 0) // trainer_bytes))
         trainer = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(trainers)).cast("int")
         dealt = docs.where(share == turn).repartitionById(trainers, trainer).sortWithinPartitions("rid", "text")
         start = spark.sparkContext.broadcast(network)
@@ -192,11 +194,11 @@ def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_s
     return network
 
 
-def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden: int = 24, folds: int = 7, held_fold: int = 2, train_share: int = 8, trainer_docs: int = 4_000) -> DataFrame:
+def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden: int = 24, folds: int = 7, held_fold: int = 2, train_share: int = 8, trainer_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumns({"rid": F.coalesce("doc_id", F.xxhash64("text")), "held_out": F.coalesce(crc_fold("doc_id", folds) == held_fold, F.lit(False))})
+    docs = docs.withColumns({"rid": F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))), "held_out": F.coalesce(crc_fold("doc_id", folds) == held_fold, F.lit(False))})
     buckets = shuffle_buckets(spark)
     totals = cut(docs.mapInArrow(_count_packets(buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_totals(vocabulary - 2), "kind int, part int, word long, n long"))
     distinct, tokens = (x or 0 for x in totals.where("kind = 0").agg(F.sum("word"), F.sum("n")).first())
@@ -209,7 +211,7 @@ def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden:
     shared = spark.sparkContext.broadcast(words)
     others = docs.mapInArrow(_other_packets(shared, buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_looked_up(buckets), packets.PACKET)
     others = others.repartitionById(buckets, "bucket").mapInArrow(_summed, "__doc long, other_log double, other_known double, other_n double")
-    network = spark.sparkContext.broadcast(train_network(docs.where("not held_out"), words, hidden, train_share, trainer_docs))
+    network = spark.sparkContext.broadcast(train_network(docs.where("not held_out"), words, hidden, train_share, trainer_bytes))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_logs = np.log10(shared.value.counts + 1)

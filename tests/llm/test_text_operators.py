@@ -60,8 +60,8 @@ def test_substring_dedup_against_brute_force(spark):
 def test_substring_dedup_of_repeated_rows_and_empty_table(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect())
-    assert got == [(1, 0), (1, 0), (2, 30)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect())
+    assert got == [(0, 30, 0), (1, 30, 0), (1, 30, 0), (2, 30, 30)]
     assert substring_dedup.remove_repeats(rows.limit(0)).count() == 0
 
 

@@ -125,3 +125,22 @@ def read_points(spark, sf_dir):
 def mosaic_points_first(spark, sf_dir):
     rasters, blocks, _ = _source(spark, sf_dir)
     return reading.mosaic_points(_points(spark, sf_dir), rasters, blocks, ("id",))
+
+
+_DEEP = 10  # levels the oracle writes out: rasters of up to 2^10 blocks
+_LEVELS = f"""with rp as (select {', '.join(f'{e} as {n}' for n, e in _PIXELS.items())} from fx_pixels),
+sizes as (select asset, greatest(cast(ceil(log2(greatest(64 // 8, (max(py) + 1) // 8, 1))) as int), 0) as levels from rp group by asset),
+l0 as (select asset, px, py, cast(iv as double) as v from rp),
+{', '.join(f'l{k} as (select l.asset, l.px // 2 as px, l.py // 2 as py, avg(l.v) as v from l{k - 1} l join sizes s on s.asset = l.asset and s.levels >= {k} group by 1, 2, 3)' for k in range(1, _DEEP + 1))}
+select cast(asset as varchar) as asset, level, cast(px as int) as px, cast(py as int) as py, {milli_sql('v + 1e-6', 100)} as value from ({' union all '.join(f'select {k} as level, * from l{k}' for k in range(1, _DEEP + 1))}) where v is not null"""
+
+
+@query(_LEVELS)
+def overview_levels_all(spark, sf_dir):
+    from ..operators import preparing
+
+    rasters, blocks, _ = _source(spark, sf_dir)
+    made = preparing.overviews(blocks, rasters, 8)
+    wide = made.join(preparing.levels_of(rasters, 8).select(c("asset").cast("string").alias("asset"), "level", "width"), ["asset", "level"])
+    cells = wide.select("asset", "level", "bx", "by", F.least(F.lit(8), c("width") - c("bx") * 8).alias("w"), F.posexplode("values").alias("i", "v")).where("v is not null")
+    return cells.select("asset", "level", (c("bx") * 8 + c("i") % c("w")).alias("px"), (c("by") * 8 + F.expr("i div w").cast("int")).alias("py"), milli(c("v") + 1e-6, 100).alias("value"))  # means of thirds lie on the rounding border

@@ -235,10 +235,14 @@ def decoded(tiles: DataFrame, data: str = "data") -> DataFrame:
     return tiles.select("z", "x", "y", data).mapInPandas(read, "z int, x int, y int, layer string, id long, type int, xs array<int>, ys array<int>, attributes map<string,string>")
 
 
+#: A feature of more tiles than this at a zoom is dealt over all tasks, so no task unrolls a world-wide one alone.
+SPREAD = 65_536
+
+
 def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Sequence[str] = (), wkb: str = "wkb", fid: str | None = "id", extent: int = EXTENT, buffer: int = BUFFER, simplify: bool = False) -> DataFrame:
     """z, x, y, layer, data of every non-empty tile of a layer; features need box columns and WKB shapes."""
     columns = [*([fid] if fid else []), wkb, *attributes]
-    covered = tile_cover(features, zooms, buffer / extent).select("z", "x", "y", *columns)
+    covered = tile_cover(features, zooms, buffer / extent, spread=SPREAD).select("z", "x", "y", *columns)
 
     def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -7,9 +7,11 @@ is an anti join on the tile's key, so a repeated run adds nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 TILE = ("z", "x", "y")
@@ -33,7 +35,7 @@ def append_tiles(tiles: DataFrame, path: str, order: Sequence[Column]) -> None:
     try:
         tiles = new_tiles(tiles, spark.read.parquet(path), order)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         tiles = first_of(tiles, TILE, order)
     tiles.write.mode("append").partitionBy("z").parquet(path)
@@ -61,6 +63,16 @@ def metadata(options: dict[str, object]) -> list[tuple[str, str]]:
     return [(k, str(v)) for k, v in fixed]
 
 
+def metadata_rows(sources: DataFrame) -> DataFrame:
+    """metadata() of every datasource (datasource_id, name, description, attribution, format, minzoom, maxzoom, west, south,
+    east, north): datasource_id, name, value."""
+    clamp = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c))).cast("string")
+    bounds = F.concat_ws(" ", clamp("south", 85.05112878), clamp("west", 180.0), clamp("north", 85.05112878), clamp("east", 180.0))
+    text = lambda c, default="": F.coalesce(F.col(c).cast("string"), F.lit(default))
+    values = {"name": text("name"), "description": text("description"), "version": F.lit("1.0.0"), "attribution": text("attribution"), "type": F.lit("overlay"), "format": text("format", "png"), "minzoom": text("minzoom"), "maxzoom": text("maxzoom"), "bounds": bounds, "scale": F.lit("1.000000"), "profile": F.lit("mercator")}
+    return sources.select("datasource_id", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items()))))
+
+
 # job queue
 
 
@@ -74,8 +86,8 @@ def pull(queue: DataFrame, now: Column, n: int = 1) -> DataFrame:
 
 
 def started(queue: DataFrame, pulled: DataFrame) -> DataFrame:
-    """The queue with pulled jobs running; pulled is a few rows, so it is broadcast."""
-    mark = F.broadcast(pulled.select("job_id", F.lit(True).alias("__on")))
+    """The queue with pulled jobs running."""
+    mark = pulled.select("job_id", F.lit(True).alias("__on"))
     return queue.join(mark, "job_id", "left").withColumn("status", F.when(F.col("__on"), RUNNING).otherwise(F.col("status"))).drop("__on")
 
 
@@ -154,6 +166,27 @@ CHECKS: dict[str, Column | str] = {
 }
 
 
+def write_good(sources: DataFrame, path: str, checks: dict[str, str] | None = None) -> dict[str, int]:
+    """Writes the rows that break no check; returns the number of rows, of good ones and of those that break each check.
+
+    The counters are observed while the rows are written: no second pass over them."""
+    checks = checks or CHECKS
+    broken = {n: F.coalesce(F.expr(c), F.lit(False)) for n, c in checks.items()}
+    good = ~reduce(or_, broken.values())
+    seen = Observation("loaded")
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("good"), *(F.count_if(c).alias(n) for n, c in broken.items())]
+    sources.observe(seen, *counts).where(good).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def load_counts(sources: DataFrame, by: Sequence[str] = (), checks: dict[str, str] | None = None) -> DataFrame:
+    """by, rows, good and a count for each broken check, in one grouping."""
+    checks = checks or CHECKS
+    broken = {n: F.coalesce(F.expr(c), F.lit(False)) for n, c in checks.items()}
+    good = ~reduce(or_, broken.values())
+    return sources.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("good"), *(F.count_if(c).alias(n.replace(" ", "_")) for n, c in broken.items()))
+
+
 def errors(sources: DataFrame, checks: dict[str, str] | None = None) -> DataFrame:
     """One row for each check that a datasource breaks."""
     broken = F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in (checks or CHECKS).items()))

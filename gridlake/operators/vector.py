@@ -79,6 +79,13 @@ def layers_at(layers: Iterable[Layer], zoom: int) -> list[Layer]:
     return [x for x in layers if x.at(zoom)]
 
 
+def at_zooms(layers: DataFrame, zooms: Iterable[int]) -> DataFrame:
+    """Layers (minzoom, maxzoom) of a table at each zoom where they are drawn."""
+    low, high = F.coalesce("minzoom", F.lit(MINZOOM)), F.coalesce("maxzoom", F.lit(MAXZOOM))
+    drawn = F.filter(F.array(*(F.lit(int(z)) for z in zooms)), lambda z: (z >= low) & (z <= high))
+    return layers.withColumn("z", F.explode(drawn))
+
+
 def in_tile(df: DataFrame, z: int, x: int, y: int, margin: float = BUFFER / EXTENT) -> DataFrame:
     """Features whose box meets an XYZ tile widened by margin; plain comparisons, so Parquet can skip by them."""
     env = tuple(F.lit(v) for v in envelope(z, x, y, margin))
@@ -116,7 +123,8 @@ def tile_cover(df: DataFrame, zooms: Iterable[int], margin: float = 0.0, box: Se
     if spread is None:
         return cells(spans)
     cut = lambda a, b: F.explode(F.sequence(F.col(a), F.col(b), F.lit(256)))
-    blocks = spans.where(tiles > spread).withColumn("__bx", cut("__x0", "__x1")).withColumn("__by", cut("__y0", "__y1")).repartition(*box, "z", "__bx", "__by")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # a number given is not coalesced: the rows are few, what they unroll is not
+    blocks = spans.where(tiles > spread).withColumn("__bx", cut("__x0", "__x1")).withColumn("__by", cut("__y0", "__y1")).repartition(parts, *box, "z", "__bx", "__by")
     ends = {"__x0": F.col("__bx"), "__x1": F.least(F.col("__x1"), F.col("__bx") + 255), "__y0": F.col("__by"), "__y1": F.least(F.col("__y1"), F.col("__by") + 255)}
     return cells(spans.where(tiles <= spread)).unionByName(cells(blocks.withColumns(ends).drop("__bx", "__by")))
 

@@ -87,9 +87,10 @@ def zoom_for_pixel_size(spark, sf_dir):
     return orders.select("o_orderkey", grid.zoom_for_pixel_size(size, grid.mercator_resolutions()).alias("zoom"))
 
 
-@query(f"select cast(z as int) as z, {milli_sql(f'{RES} / pow(2.0, z)', 10**6)} as mercator, {milli_sql(f'{real(180 / 256)} / pow(2.0, z)', 10**9)} as geodetic from range(0, 19) t(z)")
+@query(f"select id, cast(id % 19 as int) as z, {milli_sql(f'{RES} / pow(2.0, id % 19)', 10**6)} as mercator, {milli_sql(f'{real(180 / 256)} / pow(2.0, id % 19)', 10**9)} as geodetic from fx_rasters")
 def resolution(spark, sf_dir):
-    return spark.range(19).select(c("id").cast("int").alias("z")).select("z", milli(grid.resolution(c("z")), 10**6).alias("mercator"), milli(grid.geodetic_resolution(c("z")), 10**9).alias("geodetic"))
+    z = view(spark, sf_dir, "fx_rasters").select("id", (c("id") % 19).cast("int").alias("z"))
+    return z.select("id", "z", milli(grid.resolution(c("z")), 10**6).alias("mercator"), milli(grid.geodetic_resolution(c("z")), 10**9).alias("geodetic"))
 
 
 _GEO = lambda axis, shift, f: f"cast(ceil(({shift} + {axis}) / ({real(f / 256)} / pow(2.0, z)) / 256) - 1 as int)"
@@ -199,15 +200,17 @@ def tile_envelope(spark, sf_dir):
     return t.select("z", "x", "y", *(milli(b).alias(n) for b, n in zip(grid.tile_envelope(c("x"), c("y"), c("z")), ("xmin", "ymin", "xmax", "ymax"))))
 
 
-@query(f"select cast(z as int) as z, {milli_sql(f'case when z > 11 then {real(40075016.68557849)} / (4096 * pow(2.0, z)) else 6378137 * 2 * pi() / pow(2.0, z + 8) end', 10**6)} as micro from range(0, 21) t(z)")
+@query(f"select id, z, {milli_sql(f'case when z > 11 then {real(40075016.68557849)} / (4096 * pow(2.0, z)) else 6378137 * 2 * pi() / pow(2.0, z + 8) end', 10**6)} as micro from (select id, cast(id % 21 as int) as z from fx_polygons)")
 def simplify_tolerance(spark, sf_dir):
-    return spark.range(21).select(c("id").cast("int").alias("z")).select("z", milli(grid.simplify_tolerance(c("z")), 10**6).alias("micro"))
+    z = view(spark, sf_dir, "fx_polygons").select("id", (c("id") % 21).cast("int").alias("z"))
+    return z.select("id", "z", milli(grid.simplify_tolerance(c("z")), 10**6).alias("micro"))
 
 
-@query(f"select cast(z as int) as z, cast(i as int) as vertex, {milli_sql('-1000 * z + (2000 * z) / 4.0 * i')} as at from range(1, 9) t(z), range(0, 5) u(i)")
+@query(f"select id, cast(i as int) as vertex, {milli_sql('xmin + (xmax - xmin) / 4.0 * i')} as x, {milli_sql('ymin + (ymax - ymin) / 4.0 * i')} as y from fx_polygons, range(0, 5) u(i)")
 def densified_bounds(spark, sf_dir):
-    z = spark.range(1, 9).select(c("id").cast("int").alias("z"))
-    return z.select("z", F.posexplode(grid.densified_edge((-1000 * c("z")).cast("double"), (1000 * c("z")).cast("double"))).alias("vertex", "v")).select("z", "vertex", milli(c("v")).alias("at"))
+    p = view(spark, sf_dir, "fx_polygons")
+    both = p.select("id", grid.densified_edge(c("xmin"), c("xmax")).alias("xs"), grid.densified_edge(c("ymin"), c("ymax")).alias("ys"))
+    return both.select("id", F.posexplode(F.arrays_zip("xs", "ys")).alias("vertex", "v")).select("id", "vertex", milli(c("v.xs")).alias("x"), milli(c("v.ys")).alias("y"))
 
 
 _SPAN = lambda v: f"cast(least(greatest(floor(({v}) / (2 * {EDGE} / pow(2.0, z))), 0), pow(2, z) - 1) as int)"

@@ -51,11 +51,28 @@ def cache_hits(spark, sf_dir):
     return store.present(_parsed(spark, sf_dir), _stored(spark, sf_dir)).select("req_id", "ds", "z", "x", "y")
 
 
-@query("""select * from (values ('name', 'relief'), ('description', 'demo'), ('version', '1.0.0'), ('attribution', ''), ('type', 'overlay'), ('format', 'png'), ('minzoom', '0'), ('maxzoom', '12'),
-('bounds', '-85.05112878 -180.0 60.5 33.25'), ('scale', '1.000000'), ('profile', 'mercator')) t(name, value)""")
+_SOURCES = "select datasource_id, identifier as name, data_type as description, host as attribution, case when datasource_id % 4 = 0 then 'mvt' end as format, minzoom, maxzoom, cast(datasource_id % 80 * 5 - 200 as double) as west, cast(datasource_id % 37 * 5 - 95 as double) as south, cast(datasource_id % 80 * 5 - 190 as double) as east, cast(datasource_id % 37 * 5 - 90 as double) as north from {}"
+_CLAMPED = lambda c, most: f"cast(greatest(-{most}, least({most}, {c})) as varchar)"
+
+
+@query(f"""with s as ({_SOURCES.format('fx_datasource')}) select datasource_id, t.name, t.value from s, lateral (values ('name', coalesce(s.name, '')), ('description', coalesce(description, '')), ('version', '1.0.0'),
+('attribution', coalesce(attribution, '')), ('type', 'overlay'), ('format', coalesce(format, 'png')), ('minzoom', cast(minzoom as varchar)), ('maxzoom', cast(maxzoom as varchar)),
+('bounds', concat_ws(' ', {_CLAMPED('south', 'cast(85.05112878 as double)')}, {_CLAMPED('west', 'cast(180.0 as double)')}, {_CLAMPED('north', 'cast(85.05112878 as double)')}, {_CLAMPED('east', 'cast(180.0 as double)')})), ('scale', '1.000000'), ('profile', 'mercator')) t(name, value)""")
 def mbtiles_metadata(spark, sf_dir):
-    rows = store.metadata({"name": "relief", "description": "demo", "minzoom": 0, "maxzoom": 12, "bounds": (-200.0, -90.0, 33.25, 60.5)})
-    return spark.createDataFrame(rows, "name string, value string")
+    view(spark, sf_dir, "fx_datasource").createOrReplaceTempView("fx_datasource_rows")
+    return store.metadata_rows(spark.sql(_SOURCES.format("fx_datasource_rows")))
+
+
+_BROKEN = {n: f"coalesce({c}, false)" for n, c in store.CHECKS.items()}
+
+
+@query(f"""with s as (select *, case when datasource_id % 13 = 0 then 25 else maxzoom end as top, case when datasource_id % 17 = 0 then null else identifier end as ident from fx_datasource),
+t as (select data_type, minzoom, top as maxzoom, host, port, ident as identifier from s)
+select data_type, count(*) as rows, count_if(not ({' or '.join(_BROKEN.values())})) as good, {', '.join(f'count_if({c}) as {n.replace(" ", "_")}' for n, c in _BROKEN.items())} from t group by data_type""")
+def load_counts(spark, sf_dir):
+    s = view(spark, sf_dir, "fx_datasource")
+    s = s.withColumns({"maxzoom": F.when(F.col("datasource_id") % 13 == 0, 25).otherwise(F.col("maxzoom")), "identifier": F.when(F.col("datasource_id") % 17 != 0, F.col("identifier"))})
+    return store.load_counts(s, ("data_type",))
 
 
 @query(f"select job_id, scheduled_for, failed_attempts from fx_queue where status = 0 and scheduled_for <= {NOW} and failed_attempts < 3 order by scheduled_for, job_id limit 10")

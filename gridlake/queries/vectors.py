@@ -32,11 +32,9 @@ def layer_geometry_only(spark, sf_dir):
     return V.layer_frame(spark, V.Layer("plain", "fx_polygons", filter=FILTER), 3, {"fx_polygons": view(spark, sf_dir, "fx_polygons")})
 
 
-@query("select * from (values (4, 'land'), (4, 'water'), (9, 'land'), (9, 'roads'), (9, 'water'), (15, 'buildings'), (15, 'roads')) t(z, layer)")
+@query("select datasource_id, identifier, cast(z as int) as z from fx_datasource, (values (0), (4), (9), (15)) t(z) where z between minzoom and maxzoom")
 def layer_zoom_prune(spark, sf_dir):
-    layers = [V.Layer("land", minzoom=0, maxzoom=10), V.Layer("water", minzoom=3, maxzoom=12), V.Layer("roads", minzoom=6), V.Layer("buildings", minzoom=14)]
-    rows = [(z, x.id) for z in (4, 9, 15) for x in V.layers_at(layers, z)]
-    return spark.createDataFrame(rows, "z int, layer string")
+    return V.at_zooms(view(spark, sf_dir, "fx_datasource"), (0, 4, 9, 15)).select("datasource_id", "identifier", "z")
 
 
 @query("select id, 'ways' as kind, 7 as zoom from fx_tags where id % 2 = 0 union all select id, 'relations' as kind, 7 as zoom from fx_tags where id % 3 = 0")

@@ -61,6 +61,22 @@ from $events""",
 select event_id as id, user_id as datasource_id, ts as start_time,
   case when event_id % 10 = 0 then 1 else 0 end as running, case when event_id % 10 = 0 then 0 else 1 end as complete
 from $events""",
+    "fx_options": """
+select o_orderkey as id, case when o_orderkey % 29 = 0 then 'no json' when o_orderkey % 31 = 0 then '[1]' else concat('{', concat_ws(',',
+  case o_orderkey % 5 when 0 then '"verbose":true' when 1 then '"verbose":"yes"' end,
+  case o_orderkey % 7 when 0 then '"resampling":"bilinear"' when 1 then '"resampling":"best"' when 2 then '"resampling":3' end,
+  case o_orderkey % 6 when 0 then '"tiledriver":"png"' when 1 then '"tiledriver":"JPEG"' end,
+  case o_orderkey % 8 when 0 then '"tile_size":512' when 1 then '"tile_size":300' when 2 then '"tile_size":"256"' when 3 then '"tile_size":256.5' when 4 then '"tile_size":null' end,
+  case o_orderkey % 9 when 0 then '"count_processes":16' when 1 then '"count_processes":17' when 2 then '"count_processes":-1' end,
+  case o_orderkey % 11 when 0 then '"zoom":[3,9]' when 1 then '"zoom":[3]' when 2 then '"zoom":"3,9"' when 3 then '"zoom":[1,2,3]' end), '}') end as request
+from $orders""",
+    "fx_settings": """
+select o_orderkey as datasource_id, o_orderkey % 3 = 0 as mosaics, case o_orderkey % 4 when 0 then 'CUBIC' when 1 then '' end as resampling,
+  case o_orderkey % 5 when 0 then 512 when 1 then 0 end as tile_size, case o_orderkey % 6 when 0 then 4 when 1 then 0 end as count_processes,
+  case o_orderkey % 7 when 0 then cast(9 as int) end as minzoom, case o_orderkey % 8 when 0 then cast(5 as int) end as maxzoom,
+  case o_orderkey % 3 when 0 then false when 1 then true end as mbtiles, case o_orderkey % 4 when 0 then false when 1 then true end as merge, case when o_orderkey % 10 = 0 then true end as mosaic_merge,
+  case when o_orderkey % 9 = 0 then 'MeanMethod' end as pixel_selection_method
+from $orders""",
     "fx_rasters": """
 select p_partkey as id, cast(200 + (p_partkey * 7919) % 9000 as int) as xsize, cast(150 + (p_partkey * 104729) % 7000 as int) as ysize,
   cast((p_partkey * 31) % 300 as double) * 1000 - 150000 as ulx, cast((p_partkey * 53) % 300 as double) * 1000 - 150000 as uly,

@@ -153,3 +153,91 @@ def simplify(line: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
             keep.add(a + 1 + at)
             todo += [(a, a + 1 + at), (a + 1 + at, b)]
     return line[sorted(keep)] if len(keep) >= least else line
+
+
+class _Segments:
+    """The segments that stand now, of all lines or rings of a shape, with room for the shortcuts that replace some."""
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        count = [max(0, len(p) - 1) for p in parts]
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(int)
+        n = int(self.first[-1])
+        self.held = np.zeros((2 * n + 1, 4))
+        self.held[:n] = np.concatenate([np.hstack([p[:-1], p[1:]]) for p in parts if len(p) > 1]) if n else np.zeros((0, 4))
+        self.alive, self.n = np.zeros(2 * n + 1, bool), n
+        self.alive[:n] = True
+
+    def meets(self, p: np.ndarray, q: np.ndarray, skip: np.ndarray) -> bool:
+        """Whether a shortcut meets a standing segment anywhere but in an end they share; doubt counts as meeting."""
+        on = self.alive.copy()
+        on[skip] = False
+        s = self.held[on]
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        s = s[(np.maximum(s[:, 0], s[:, 2]) >= low[0]) & (np.minimum(s[:, 0], s[:, 2]) <= high[0]) & (np.maximum(s[:, 1], s[:, 3]) >= low[1]) & (np.minimum(s[:, 1], s[:, 3]) <= high[1])]
+        if not len(s):
+            return False
+        a, b = s[:, :2], s[:, 2:]
+        turn = lambda o, d, v: d[..., 0] * (v[..., 1] - o[..., 1]) - d[..., 1] * (v[..., 0] - o[..., 0])
+        eps = 1e-12 * max(1.0, float(np.abs(s).max())) ** 2
+        one, two = turn(p, q - p, a), turn(p, q - p, b)
+        three, four = turn(a, b - a, p), turn(a, b - a, q)
+        apart = (np.minimum(one, two) > eps) | (np.maximum(one, two) < -eps) | (np.minimum(three, four) > eps) | (np.maximum(three, four) < -eps)
+        shared = [(a == e).all(1) | (b == e).all(1) for e in (p, q)]
+        other = np.where(((a == p) | (a == q)).all(1)[:, None], b, a)
+        away = np.abs(turn(p, q - p, other)) > eps  # they share an end and part there
+        beyond = ((other - p) * (q - p)).sum(1)
+        outside = (shared[0] & (beyond < 0)) | (shared[1] & (beyond > ((q - p) ** 2).sum()))
+        return bool((~apart & ~((shared[0] ^ shared[1]) & (away | outside))).any())
+
+    def replace(self, gone: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        self.alive[gone] = False
+        self.held[self.n] = (*p, *q)
+        self.alive[self.n] = True
+        self.n += 1
+
+
+def _corners(ring: np.ndarray) -> list[int]:
+    """Three points of a ring that always stay: its start, the farthest from it, and the farthest from their line."""
+    far = int(np.hypot(*(ring - ring[0]).T).argmax())
+    d = ring[far] - ring[0]
+    off = np.abs(d[0] * (ring[:, 1] - ring[0, 1]) - d[1] * (ring[:, 0] - ring[0, 0]))
+    return sorted({0, far, int(off.argmax()), len(ring) - 1})
+
+
+def simplify_shape(shape: Shape, tolerance: float) -> Shape:
+    """A shape without points nearer than tolerance to the shortcut that leaves them out, its topology kept.
+
+    A shortcut is refused where it meets another segment of the shape, or where a point of another line or ring lies
+    between it and what it replaces; the stretch is then cut at its farthest point.  A ring keeps three corners at
+    least, so no ring collapses; points stay as they are."""
+    kind, parts = shape
+    if kind not in (2, 3) or tolerance <= 0:
+        return shape
+    standing, out = _Segments(parts), []
+    for i, line in enumerate(parts):
+        if len(line) < (3 if kind == 2 else 5):
+            out.append(line)
+            continue
+        others = np.concatenate([p for j, p in enumerate(parts) if j != i]) if len(parts) > 1 else np.zeros((0, 2))
+        ends = _corners(line) if kind == 3 else [0, len(line) - 1]
+        keep, todo = set(ends), list(zip(ends, ends[1:], strict=False))
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d, p = line[b] - line[a], line[a + 1 : b] - line[a]
+            along = np.clip((p @ d) / (d @ d), 0.0, 1.0) if (d != 0).any() else np.zeros(len(p))
+            far = np.hypot(*(p - along[:, None] * d).T)
+            section = standing.first[i] + np.arange(a, b)
+            if far.max() <= tolerance and (d != 0).any() and not standing.meets(line[a], line[b], section):
+                stretch = line[a : b + 1]
+                low, high = stretch.min(0), stretch.max(0)
+                near = others[((others >= low) & (others <= high)).all(1)]
+                if not len(near) or not contains_points([stretch], near).any():
+                    standing.replace(section, line[a], line[b])
+                    continue
+            at = a + 1 + int(far.argmax())
+            keep.add(at)
+            todo += [(a, at), (at, b)]
+        out.append(line[sorted(keep)])
+    return kind, out

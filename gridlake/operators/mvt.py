@@ -252,7 +252,7 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
                 env = envelope(z, x, y)
                 if simplify and kind > 1:
                     width = (40075016.68557849 / (extent * 2**z)) if z > 11 else 40075016.68557849 / 2 ** (z + 8)
-                    parts = [geometry.simplify(p, width, 2 if kind == 2 else 4) for p in parts]
+                    kind, parts = geometry.simplify_shape((kind, parts), width)
                 shape = to_tile((kind, parts), env, extent, buffer)
                 out.append(None if shape is None else geometry_fields(shape))
             yield rows.assign(**{wkb: out})[rows.columns][[o is not None for o in out]]

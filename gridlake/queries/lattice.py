@@ -147,5 +147,30 @@ def _queries(name: str) -> None:
         return _shapes(spark, sf_dir).select("id", *(filters.compile([n, given]).alias(n) for n in relations.NAMES))
 
 
+_SPIKE = {"h": "5 + 20 * (id % 2)", "hole": "id % 3", "teeth": "floor(id / 6) % 4"}
+_TOLERANCE = 10.0
+
+
+@query(f"""with s as (select id, {', '.join(f'cast({e} as int) as {n}' for n, e in _SPIKE.items())} from fx_polygons)
+select id, case when hole = 0 then 2 else 1 end as rings, 5 + case when h > {_TOLERANCE} then 3 when hole = 0 then 1 else 0 end as outer_points, case when hole = 0 then 4 end as hole_points from s""")
+def simplify_topology(spark, sf_dir):
+    """Squares with teeth below the tolerance on one side and a spike on another; a hole inside the spike
+    keeps its tip, however low it is; the feet of a high spike stay as well."""
+    p = view(spark, sf_dir, "fx_polygons").select("id", *(F.expr(e).cast("int").alias(n) for n, e in _SPIKE.items()))
+
+    @F.pandas_udf("struct<rings: int, outer_points: int, hole_points: int>")
+    def counted(h: pd.Series, hole: pd.Series, teeth: pd.Series) -> pd.DataFrame:
+        out = []
+        for high, kind, n in zip(h, hole, teeth, strict=True):
+            side = [(1000.0 * (k + 0.5 * j) / n, 0.0 if j == 0 else -4.0) for k in range(n) for j in (0, 1)] if n else [(0.0, 0.0)]
+            ring = np.array([*side, (1000.0, 0.0), (1000.0, 1000.0), (501.0, 1000.0), (500.0, 1000.0 + high), (499.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)])
+            tip = np.array([(499.9, 1000.0 + 0.2 * high), (500.1, 1000.0 + 0.2 * high), (500.0, 1000.0 + 0.6 * high), (499.9, 1000.0 + 0.2 * high)])
+            _, parts = geometry.simplify_shape(geometry.read(geometry.write((3, [ring, tip] if kind == 0 else [ring]))), _TOLERANCE)
+            out.append((len(parts), len(parts[0]), len(parts[1]) if len(parts) > 1 else None))
+        return pd.DataFrame(out, columns=["rings", "outer_points", "hole_points"]).astype("Int32")
+
+    return p.select("id", counted("h", "hole", "teeth").alias("c")).select("id", "c.*")
+
+
 for _name in TARGETS:
     _queries(_name)

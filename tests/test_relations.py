@@ -117,3 +117,39 @@ def test_empty_mixed_and_strange_values(spark):
         assert rows[6] == (name in ("intersects", "within"))
     texts = {r.id: r.t for r in df.select("id", relations.matrix_text(F.col("wkb"), read(A)).alias("t")).collect()}
     assert texts[0] is None and texts[1] == "FFFFFF212" and texts[6] == "0FFFFF212"
+
+
+def crossings(parts):
+    """Pairs of segments, not neighbours, that meet; pieces of a ring that lie on each other count."""
+    segments = [(i, k, tuple(p[k]), tuple(p[k + 1]), len(p) - 1) for i, p in enumerate(parts) for k in range(len(p) - 1)]
+    found = 0
+    for n, (i, k, a, b, size) in enumerate(segments):
+        for j, m, c, d, _ in segments[n + 1 :]:
+            shape = (2, [np.array([a, b])]), (2, [np.array([c, d])])
+            relation = relations.matrix(*shape)
+            near = i == j and (m - k in (1, size - 1))
+            found += relation[0, 0] > 0 or (not near and relations.holds("intersects", relation, np.array(2), 2))
+    return found
+
+
+def test_simplification_keeps_the_topology():
+    rng, removed = np.random.default_rng(7), 0
+    for case in range(25):
+        n = int(rng.integers(12, 40))
+        angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+        if np.diff(angle).max() > 2.5 or angle[0] + 2 * np.pi - angle[-1] > 2.5:
+            continue
+        ring = np.stack([np.cos(angle), np.sin(angle)], 1) * rng.uniform(3, 10, n)[:, None]
+        ring = np.concatenate([ring, ring[:1]])
+        parts = [ring, ring * 0.15 + rng.uniform(-0.1, 0.1, 2)] if case % 2 else [ring]
+        assert not crossings(parts)
+        for tolerance in (0.3, 1.0, 4.0):
+            _, made = geometry.simplify_shape((3, parts), tolerance)
+            assert not crossings(made) and len(made) == len(parts)
+            assert all(len(p) >= 4 and (p[0] == p[-1]).all() and geometry.area(p) != 0 for p in made)
+            assert len(made) == 1 or geometry.contains_points(made[:1], made[1]).all()
+            removed += sum(map(len, parts)) - sum(map(len, made))
+    assert removed > 200
+    line = (2, [np.array([(0.0, 0), (5, 0.2), (10, 0)]), np.array([(4.0, 0.1), (6, 0.1)])])
+    assert len(geometry.simplify_shape(line, 1.0)[1][0]) == 3  # the other line lies between
+    assert len(geometry.simplify_shape((2, line[1][:1]), 1.0)[1][0]) == 2

@@ -44,14 +44,15 @@ def remove_repeats(documents: DataFrame, length: int = 20, with_text: bool = Fal
     if anchor < 1:
         raise ValueError(f"length must be at least {PERIOD}")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    # rows without an id are dealt by their text and meet no answer, as `named` tells them apart
+    docs = docs.withColumns({"key": F.coalesce("doc_id", F.xxhash64("text")), "named": F.col("doc_id").isNotNull()})
+    answers = lambda rows: rows.select(F.col("doc_id").alias("key"), F.col("doc_id").isNotNull().alias("named"), "places")
     buckets = shuffle_buckets(documents.sparkSession)
-    repeated = packets.answered(docs.mapInArrow(_anchor_packets(anchor, buckets), packets.PACKET), _repeated, buckets)
-    around = docs.join(repeated, "doc_id").mapInArrow(_window_packets(length, buckets), packets.PACKET)
+    repeated = packets.answered(docs.where("named").select("doc_id", "text").mapInArrow(_anchor_packets(anchor, buckets), packets.PACKET), _repeated, buckets)
+    around = docs.join(answers(repeated), ["key", "named"]).select("doc_id", "text", "places").mapInArrow(_window_packets(length, buckets), packets.PACKET)
     later = packets.answered(around, _later, buckets)
     schema = RESULT + (", text string" if with_text else "")
-    placed = docs.join(later, "doc_id", "left").unionByName(nameless.withColumn("places", F.lit(None).cast("binary")))
-    return placed.mapInArrow(_kept(length, with_text), schema)
+    return docs.join(answers(later), ["key", "named"], "left").select("doc_id", "text", "places").mapInArrow(_kept(length, with_text), schema)
 
 
 def _anchor_packets(k: int, buckets: int):

@@ -144,3 +144,39 @@ def overview_levels_all(spark, sf_dir):
     wide = made.join(preparing.levels_of(rasters, 8).select(c("asset").cast("string").alias("asset"), "level", "width"), ["asset", "level"])
     cells = wide.select("asset", "level", "bx", "by", F.least(F.lit(8), c("width") - c("bx") * 8).alias("w"), F.posexplode("values").alias("i", "v")).where("v is not null")
     return cells.select("asset", "level", (c("bx") * 8 + c("i") % c("w")).alias("px"), (c("by") * 8 + F.expr("i div w").cast("int")).alias("py"), milli(c("v") + 1e-6, 100).alias("value"))  # means of thirds lie on the rounding border
+
+
+_FILES = f"""with rp as (select {', '.join(f'{e} as {n}' for n, e in _PIXELS.items())} from fx_pixels)
+"""
+
+
+def _written(spark, sf_dir):
+    """The rasters of _source() as files in blocks of 16 pixels: folder and what was written."""
+    from ..sources import raster_files, tile_files
+
+    pixels = view(spark, sf_dir, "fx_pixels").selectExpr(*(f"{e} as {n}" for n, e in _PIXELS.items()))
+    rasters, _, _ = _source(spark, sf_dir)
+    grid_ = rasters.select("asset", F.explode(F.sequence(F.lit(0), c("height") - 1)).alias("py")).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    whole = grid_.join(pixels, ["asset", "px", "py"], "left")
+    blocks = reading.as_blocks(whole, 16, "iv")
+    meta = rasters.withColumns({"bands": F.lit(1), "nodata": F.lit(-99999.0)})
+    folder = tile_files.shared_folder(spark)
+    raster_files.write_blocks(blocks.withColumn("asset", c("asset").cast("string")), meta.withColumn("asset", c("asset").cast("string")), folder, 16)
+    return folder
+
+
+@query(_FILES + "select asset || '.tif' as asset, px, py, cast(iv as double) as value from rp where iv is not null")
+def raster_files_read(spark, sf_dir):
+    from ..sources import raster_files
+
+    blocks = raster_files.read_blocks(spark, _written(spark, sf_dir), 32)
+    cells = blocks.select("asset", "bx", "by", F.posexplode("values").alias("i", "value")).where("value is not null")
+    wide = F.least(F.lit(32), F.lit(64) - c("bx") * 32)
+    return cells.select("asset", (c("bx") * 32 + c("i") % wide).alias("px"), (c("by") * 32 + F.floor(c("i") / wide).cast("int")).alias("py"), "value")
+
+
+@query(_FILES + """select asset || '.tif' as asset, 64 as width, max(py) + 1 as height, 1 as bands, 'float64' as dtype, -9000000.0 + asset * 20000.0 as "left", 6000000.0 - asset * 15000.0 as top, 1000.0 + asset * 37.0 as res, false as degrees, cast(-99999 as double) as nodata, false as alpha, 256 as block from rp group by asset""")
+def raster_files_metadata(spark, sf_dir):
+    from ..sources import raster_files
+
+    return raster_files.read_metadata(spark, _written(spark, sf_dir)).drop("path", "bytes")

@@ -361,10 +361,24 @@ def related(df: DataFrame, name: str, shape: Shape, wkb: str = "wkb", boxes: tup
     return df.mapInArrow(run, df.schema)
 
 
+_KNOWN: dict[tuple[bytes, bytes | None], tuple[np.ndarray, int]] = {}  # of short values, in each Python worker
+_KEPT, _SHORT = 65_536, 2_048
+
+
 def _distinct(values: pd.Series, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices and kinds of a batch's values; equal values are read and tested once."""
+    """Matrices and kinds of a batch's values; equal values are read and tested once, short ones once for all batches
+    and relations that a worker sees."""
     at, found = pd.factorize(values.map(lambda v: None if v is None else bytes(v)), use_na_sentinel=False)
-    m, kinds = matrices(_read(found), shape)
+    own = b"".join([bytes([shape[0]]), *(len(p).to_bytes(8, "little") + p.astype("<f8").tobytes() for p in shape[1])])
+    keys = [(own, v if isinstance(v, bytes) else None) for v in found]
+    new = [i for i, k in enumerate(keys) if k not in _KNOWN]
+    m, kinds = np.full((len(keys), 3, 3), -1), np.zeros(len(keys), int)
+    m[new], kinds[new] = matrices(_read(found[new]), shape)
+    for i in set(range(len(keys))) - set(new):
+        m[i], kinds[i] = _KNOWN[keys[i]]
+    if len(_KNOWN) + len(new) > _KEPT:
+        _KNOWN.clear()
+    _KNOWN.update((keys[i], (m[i], int(kinds[i]))) for i in new[:_KEPT] if len(keys[i][1] or b"") <= _SHORT)
     return m[at], kinds[at]
 
 

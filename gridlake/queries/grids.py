@@ -286,3 +286,30 @@ def base_tiles_with_assets(spark, sf_dir):
     assets = r.select((c("id") % 5).alias("mosaic"), *((v * 100).alias(n) for v, n in zip((c("ulx"), c("uly") - c("ysize") * c("px"), c("ulx") + c("xsize") * c("px"), c("uly")), ("minx", "miny", "maxx", "maxy"))))
     plan = _plan(spark, sf_dir).withColumn("mosaic", c("id") % 5)
     return raster.tiles_with_assets(plan, assets, range(4, 9), ("mosaic",)).groupBy("mosaic", "z", "tx", "ty").agg(F.count("*").alias("jobs"))
+
+
+_AXIS = """{p}r0, {p}len, {p}size, greatest(-{p}r0, 0) / cast({p}len as double) as {p}low"""
+_CUT = "cast(trunc(1024 * {p}low) as int) as {p}w, {p}len - cast(trunc({p}len * {p}low) as int) as {p}rl, greatest({p}r0, 0) as {p}r"
+_OUT = "{p}r as r{n}, cast(case when {p}r + {p}rl > {p}size then {p}size - {p}r else {p}rl end as int) as r{n}size, {p}w as w{n}, cast(case when {p}r + {p}rl > {p}size then trunc((1024 - {p}w) * (cast({p}size - {p}r as double) / {p}rl)) else 1024 - {p}w end as int) as w{n}size"
+_DETAILS = f"""with plan as ({_PLAN}), m as ({_M}),
+edges as (select p.*, m.xsize, m.ysize, m.px * 100 as res, m.minx, m.maxy, 256 * {RES} / pow(2.0, p.z) as side from plan p join m using (id)),
+boxes as (select *, tx * 256 * ({RES} / pow(2.0, z)) - {O} as x0, (tx + 1) * 256 * ({RES} / pow(2.0, z)) - {O} as x1, ty * 256 * ({RES} / pow(2.0, z)) - {O} as y0, (ty + 1) * 256 * ({RES} / pow(2.0, z)) - {O} as y1 from edges),
+cells as (select *, cast(trunc((x0 - minx) / res + 0.001) as int) as ar0, cast(trunc((x1 - x0) / res + 0.5) as int) as alen, xsize as asize, cast(trunc((maxy - y1) / res + 0.001) as int) as br0, cast(trunc((y1 - y0) / res + 0.5) as int) as blen, ysize as bsize from boxes),
+a as (select id, z, tx, ty, place, {_AXIS.format(p='a')}, {_AXIS.format(p='b')} from cells), b as (select *, {_CUT.format(p='a')}, {_CUT.format(p='b')} from a)
+select id, z, tx, ty, place, {_OUT.format(p='a', n='x')}, {_OUT.format(p='b', n='y')} from b"""
+
+
+@query(_DETAILS)
+def tile_details(spark, sf_dir):
+    from ..operators import pyramid
+
+    r = view(spark, sf_dir, "fx_rasters").select("id", (c("ulx") * 100).alias("left"), (c("uly") * 100).alias("top"), (c("px") * 100).alias("res"), "xsize", "ysize")
+    return pyramid.tile_details(_plan(spark, sf_dir), r, "id")
+
+
+@query(f"""with plan as ({_PLAN}), r as (select id, z, min(tx) as tminx, min(ty) as tminy, max(tx) as tmaxx, max(ty) as tmaxy from plan group by id, z)
+select *, min(z) over (partition by id) as tminz, max(z) over (partition by id) as tmaxz from r""")
+def plan_zoom_ranges(spark, sf_dir):
+    from ..operators import pyramid
+
+    return pyramid.zoom_ranges(_plan(spark, sf_dir), "id")

@@ -171,11 +171,15 @@ def stage(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
-def prepared(spark: SparkSession, folder: str, rasters: DataFrame, blocks: DataFrame, size: int = 256, kernel: str = "nearest") -> tuple[DataFrame, DataFrame]:
-    """rasters (in metres) and blocks of all levels, made by stages that a second run finds done."""
+def prepared(spark: SparkSession, folder: str, rasters: DataFrame, blocks: DataFrame, size: int = 256, kernel: str = "nearest", merging: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rasters (in metres) and blocks of all levels, made by stages that a second run finds done.
+
+    Assets that are merged into one raster afterwards (merging) get no overviews of their own."""
     warp = lambda k: warped(rasters, blocks, size, kernel)[k]
     grids = stage(spark, folder, "rasters", lambda: warp(0))
     base = stage(spark, folder, "blocks", lambda: warp(1))
-    coarse = stage(spark, folder, "overviews", lambda: overviews(base, grids, size))
     own = base.select(F.col("asset").cast("string").alias("asset"), F.lit(0).alias("level"), "bx", "by", "values", "full")
+    if merging:
+        return grids, own
+    coarse = stage(spark, folder, "overviews", lambda: overviews(base, grids, size))
     return grids, own.unionByName(coarse)

@@ -6,9 +6,10 @@ is an anti join on the tile's key, so a repeated run adds nothing.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -140,14 +141,42 @@ def routed(requests: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     return requests.join(at, key, "left")
 
 
+def _fixed(rows: DataFrame) -> DataFrame:
+    """rows, written to the checkpoint folder, so that their partitions stay as they are."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridlake-ckpt-"))  # one process: any folder is shared
+    return rows.checkpoint()
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with number: their place (from 0) in the order of their group.
+
+    Rows are dealt by ranges of group and order, and numbered within a range; a range starts where the group's ranges
+    before it end.  So a group that holds most rows is numbered by as many tasks as any others."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spread = rows.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id())
+    spread = _fixed(spread)
+    counts = spread.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # ranges, not rows
+    starts = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    held = spread.withColumn("__at", within).alias("r")
+    on = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*by, "__part")])
+    return held.join(starts.alias("s"), on).select(*(F.col(f"r.{c}") for c in rows.columns), (F.col("r.__at") + F.col("s.__start")).alias("number"))
+
+
 def dealt(rows: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Round robin over n workers within each group: worker 0 gets the first row."""
-    return rows.withColumn("worker", ((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % n).cast("int"))
+    return numbered(rows, by, order).withColumn("worker", (F.col("number") % n).cast("int")).drop("number")
 
 
 def batched(rows: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Numbered batches of n rows within each group; the last may be short."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / n))
+    return numbered(rows, by, order).withColumn("batch", F.floor(F.col("number") / n)).drop("number")
 
 
 def usable_keys(keys: DataFrame, failed: DataFrame, now: Column, after_days: int = 1) -> DataFrame:

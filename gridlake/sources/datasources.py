@@ -105,3 +105,9 @@ def raster_assets(spark: SparkSession, folder: str) -> DataFrame:
     merged = r"_(FIRST|MAX|MIN|MEAN|SUM|COUNT)\.[^.]*$"
     keep = F.lower("name").rlike(r"\.tiff?$") & ~F.col("name").contains("_warp_tr_ov.") & ~F.col("name").rlike(merged)
     return files.where(keep).select("path", "length", "name")
+
+
+def warped_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a mosaic folder that are prepared for reading: warped TIFFs in blocks with overviews."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.where(F.lower("name").rlike(r"_warp_tr_ov\.tiff?$") & ~F.col("name").rlike("_(FIRST|MAX|MIN|MEAN|SUM|COUNT)"))

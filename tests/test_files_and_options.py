@@ -84,3 +84,24 @@ def test_a_world_wide_feature_is_dealt_over_tasks(spark):
     cover = vector.tile_cover(world, (10,), spread=65_536)
     counts = [r.n for r in cover.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(counts) == 4**10 and len(counts) > 1 and max(counts) < 4**10
+
+
+def test_numbers_of_a_group_that_holds_most_rows(spark):
+    rows = [("hot" if i % 10 else None, (i * 7919) % 5003) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, seq int").repartition(7)
+    numbered = store.numbered(df, ["g"], ["seq"])
+    found = {(r.g, r.seq): r.number for r in numbered.collect()}
+    for g in ("hot", None):
+        ordered = sorted(s for k, s in rows if k == g)
+        assert [found[g, s] for s in ordered] == list(range(len(ordered)))
+    batches = store.batched(df, 100, ["g"], ["seq"]).groupBy("g", "batch").count().collect()
+    assert {r["count"] for r in batches} == {100} and len(batches) == 50
+    assert store.dealt(df.limit(0), 3, ["g"], ["seq"]).count() == 0
+
+
+def test_prepared_assets_of_a_folder(spark, tmp_path):
+    from gridlake.sources import datasources
+
+    for name in ("a_WARP_TR_OV.tif", "b_warp_tr_ov.TIFF", "c_WARP_TR_OV.tif.ovr", "d.tif", "e_FIRST_warp_tr_ov.tif"):
+        (tmp_path / name).write_bytes(b"x")
+    assert {r.name for r in datasources.warped_assets(spark, str(tmp_path)).collect()} == {"a_WARP_TR_OV.tif", "b_warp_tr_ov.TIFF"}

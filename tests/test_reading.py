@@ -182,3 +182,17 @@ def test_copies_of_scaled_assets(spark):
         sx, sy = (2 * x + 1) * 2 // (2 * 3), (2 * y + 1) * 2 // (2 * 3)
         wide = 20.0 + sx + sy if (sx + sy) % 2 else None
         assert v == (wide if wide is not None else -1.0 if (2 * x + 1 + 2 * y + 1) % 2 == 0 else fine[x, y])
+
+
+def test_plan_tables_are_written_and_found(spark, tmp_path):
+    from gridlake.operators import pyramid
+
+    plan = spark.createDataFrame([("a", 3, 1, 2), ("a", 4, 2, 5), ("a", 4, 3, 5), ("b", 3, 0, 0)], "id string, z int, tx int, ty int")
+    rasters = spark.createDataFrame([("a", 0.0, 1e7, 5000.0, 900, 700), ("b", -2.1e7, 2.1e7, 9000.0, 100, 100)], "id string, left double, top double, res double, xsize int, ysize int")
+    jobs = spark.createDataFrame([("a", "average"), ("b", "nearest")], "id string, resampling string")
+    for _ in range(2):
+        pyramid.write_plan(str(tmp_path), plan, pyramid.tile_details(plan, rasters, "id"), jobs, "id")
+    job = pyramid.job_of(spark, str(tmp_path), "id", "a").collect()
+    assert [(j.resampling, [tuple(r) for r in j.ranges]) for j in job] == [("average", [(3, 1, 2, 1, 2), (4, 2, 5, 3, 5)])]
+    assert pyramid.job_of(spark, str(tmp_path), "id", "zzz").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/tiles_detail").count() == 4

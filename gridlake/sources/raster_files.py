@@ -6,7 +6,7 @@ or floats, pixel- or band-interleaved, uncompressed, deflated or as packed bits,
 are read; others (palettes too) are refused by name of what they have.
 
 Writing.  Tiles are stored uncompressed, so each has its place before anything is written: every task writes its blocks
-straight into the file, and a repeated task writes the same bytes.  Files carry another name until the job commits,
+straight into the file, and a repeated task writes the same bytes.  Files stand in a hidden folder until the job commits,
 and a job that leaves a file incomplete fails.  The folder must be one that the driver and all executors share.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -27,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from .tile_files import removed, staged
+
 BLOCKS = "asset string, band int, bx int, by int, values array<double>, full boolean"
 META = "asset string, path string, width int, height int, bands int, dtype string, left double, top double, res double, degrees boolean, nodata double, alpha boolean, block int, bytes long"
 #: Fixed values of the format: tags, sizes of field types, kinds of samples.
@@ -223,14 +224,13 @@ class Filled(WriterCommitMessage):
 
 class BlockWriter(DataSourceWriter):
     def __init__(self, folder: str, block: int, overwrite: bool) -> None:
-        self.folder, self.block, self.overwrite, self.mark = folder, block, overwrite, f".part-{uuid.uuid4().hex}"
+        self.folder, self.block, self.overwrite, self.staging = folder, block, overwrite, staged(folder)
 
     def _part(self, asset: str) -> str:
-        return os.path.join(self.folder, f".{asset}{self.mark}")
+        return os.path.join(self.staging, asset)
 
     def write(self, iterator: Iterator[Row]) -> Filled:
         counts, wanted, open_files = Counter(), {}, {}
-        os.makedirs(self.folder, exist_ok=True)
         try:
             for r in iterator:
                 asset = str(r["asset"])
@@ -265,15 +265,12 @@ class BlockWriter(DataSourceWriter):
             raise ValueError(f"blocks are missing or repeated in {', '.join(sorted(short)[:5])}")
         for asset in wanted:
             goal = os.path.join(self.folder, asset if asset.lower().endswith((".tif", ".tiff")) else f"{asset}.tif")
-            if not self.overwrite and os.path.exists(goal):
-                os.unlink(self._part(asset))
-            else:
+            if self.overwrite or not os.path.exists(goal):
                 os.replace(self._part(asset), goal)
+        removed(self.staging)
 
     def abort(self, messages: list[Filled | None]) -> None:
-        for name in os.listdir(self.folder) if os.path.isdir(self.folder) else ():
-            if name.endswith(self.mark):
-                os.unlink(os.path.join(self.folder, name))
+        removed(self.staging)
 
 
 def read_blocks(spark: SparkSession, path: str, block: int = 256) -> DataFrame:

@@ -11,9 +11,11 @@ binary files is not used, as it passes over files without bytes, and those are a
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -36,6 +38,22 @@ class Written(WriterCommitMessage):
     folder: str
 
 
+def staged(root: str) -> str:
+    """A new hidden folder below root, made by the driver; tasks write into it and never make it."""
+    path = os.path.join(root, f".staging-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+def removed(path: str) -> None:
+    """Removes a folder into which tasks that are being stopped may still write."""
+    for _ in range(100):
+        shutil.rmtree(path, ignore_errors=True)
+        if not os.path.exists(path):
+            return
+        time.sleep(0.1)
+
+
 class TileFiles(DataSource):
     """format("tile_files"): options path (the root) and ext; mode append keeps files, overwrite removes all tiles first."""
 
@@ -86,14 +104,18 @@ class TileReader(DataSourceReader):
 class TileWriter(DataSourceWriter):
     def __init__(self, root: str, ext: str, overwrite: bool) -> None:
         self.root, self.ext, self.overwrite = root, ext, overwrite
-        self.staging = os.path.join(root, f".staging-{uuid.uuid4().hex}")
+        self.staging = staged(root)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         context = TaskContext.get()
         folder = os.path.join(self.staging, f"{context.partitionId()}-{context.attemptNumber()}-{uuid.uuid4().hex}")
+        os.mkdir(folder)
         for row in iterator:
-            place = os.path.join(folder, str(int(row["z"])), str(int(row["x"])))
-            os.makedirs(place, exist_ok=True)
+            place = folder
+            for part in (str(int(row["z"])), str(int(row["x"]))):  # one by one: a task that outlives its job finds no folder to write to
+                place = os.path.join(place, part)
+                with contextlib.suppress(FileExistsError):
+                    os.mkdir(place)
             with open(os.path.join(place, f"{int(row['y'])}.{self.ext}"), "wb") as f:
                 f.write(bytes(row["data"] or b""))
         return Written(folder)
@@ -106,7 +128,7 @@ class TileWriter(DataSourceWriter):
         for message in messages:
             if message is not None:
                 self._publish(message.folder)
-        shutil.rmtree(self.staging, ignore_errors=True)
+        removed(self.staging)
 
     def _publish(self, folder: str) -> None:
         for at, _, files in os.walk(folder):
@@ -114,13 +136,11 @@ class TileWriter(DataSourceWriter):
             if files:
                 os.makedirs(goal, exist_ok=True)
             for file in files:
-                try:
+                with contextlib.suppress(FileExistsError):  # the first tile stays
                     os.link(os.path.join(at, file), os.path.join(goal, file))
-                except FileExistsError:
-                    pass  # the first tile stays
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        removed(self.staging)
 
 
 def write_files(tiles: DataFrame, root: str, order: Sequence[Column], ext: str = "png", overwrite: bool = False) -> None:

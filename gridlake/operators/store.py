@@ -209,11 +209,17 @@ def write_good(sources: DataFrame, path: str, checks: dict[str, str] | None = No
 
 
 def load_counts(sources: DataFrame, by: Sequence[str] = (), checks: dict[str, str] | None = None) -> DataFrame:
-    """by, rows, good and a count for each broken check, in one grouping."""
+    """by, rows, good and a count for each broken check, in one grouping.
+
+    A check named like a column before it gets a number behind its name (data_type_1)."""
     checks = checks or CHECKS
     broken = {n: F.coalesce(F.expr(c), F.lit(False)) for n, c in checks.items()}
     good = ~reduce(or_, broken.values())
-    return sources.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("good"), *(F.count_if(c).alias(n.replace(" ", "_")) for n, c in broken.items()))
+    names = [*by, "rows", "good"]
+    for n in (n.replace(" ", "_") for n in broken):
+        names.append(next(free for free in (n, *(f"{n}_{i}" for i in range(1, len(names) + 1))) if free not in names))
+    counts = sources.groupBy(*by).agg(F.count(F.lit(1)), F.count_if(good), *(F.count_if(c) for c in broken.values()))
+    return counts.toDF(*names)
 
 
 def errors(sources: DataFrame, checks: dict[str, str] | None = None) -> DataFrame:

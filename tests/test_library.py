@@ -327,3 +327,10 @@ def test_base_tile_of_a_rotated_raster_is_an_error(spark):
     df = spark.createDataFrame([([0.0, 1.0, 0.5, 0.0, 0.0, -1.0],)], "gt array<double>")
     with pytest.raises(Exception, match="rotated"):
         df.select(*grid.bounds_of_geotransform(F.col("gt"), F.lit(10), F.lit(10))).collect()
+
+
+def test_load_counts_of_a_group_named_like_a_check(spark):
+    df = spark.createDataFrame([("vector", 1, 2, None, None, "a"), ("raster", 3, 2, None, None, ""), ("other", 1, 25, None, None, "b")], "data_type string, minzoom int, maxzoom int, host string, port int, identifier string")
+    counts = store.load_counts(df, ("data_type",))
+    assert counts.columns == ["data_type", "rows", "good", "zoom_order", "zoom_range", "data_type_1", "host_without_port", "identifier"]
+    assert sorted(map(tuple, counts.collect())) == [("other", 1, 0, 0, 1, 1, 0, 0), ("raster", 1, 0, 1, 0, 0, 0, 1), ("vector", 1, 1, 0, 0, 0, 0, 0)]

@@ -110,13 +110,15 @@ def phase_weights(kernel: str, factor: int) -> list[tuple[int, float]]:
 def interpolate(pixels: DataFrame, factor: int, kernel: str, keys: Sequence[str] = (), x: str = "px", y: str = "py", value: str = "iv") -> DataFrame:
     """Upsampling by a whole factor: every source pixel adds to the targets it reaches, and weights are normalised.
 
-    The weights of each phase are literals, so this is one generator and one grouping."""
+    The weights of each phase are literals, so this is one generator and one grouping.  Next to nodata the weights of a
+    kernel with negative lobes can cancel out; such a target has no value (null)."""
     taps = [F.struct(F.lit(step).alias("s"), F.lit(w).alias("w")) for step, w in phase_weights(kernel, factor)]
     across, down = F.explode(F.array(*taps)).alias("__a"), F.explode(F.array(*taps)).alias("__d")
     wide = pixels.where(F.col(value).isNotNull()).select(*keys, x, y, value, across).select("*", down)
     size = pixels.groupBy(*keys).agg(F.max(x).alias("__mx"), F.max(y).alias("__my"))
     wide = wide.select(*keys, (F.col(x) * factor + F.col("__a.s")).alias("__x"), (F.col(y) * factor + F.col("__d.s")).alias("__y"), (F.col("__a.w") * F.col("__d.w")).alias("__w"), F.col(value).alias("__v"))
-    out = wide.groupBy(*keys, "__x", "__y").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("value"))
+    weights = F.sum("__w")
+    out = wide.groupBy(*keys, "__x", "__y").agg(F.when(F.abs(weights) > 1e-9, F.sum(F.col("__w") * F.col("__v")) / weights).alias("value"))
     out = out.join(size, list(keys)) if keys else out.crossJoin(F.broadcast(size))  # one row of bounds
     inside = (F.col("__x") >= 0) & (F.col("__y") >= 0) & (F.col("__x") < (F.col("__mx") + 1) * factor) & (F.col("__y") < (F.col("__my") + 1) * factor)
     return out.where(inside).select(*keys, F.col("__x").cast("int").alias(x), F.col("__y").cast("int").alias(y), "value")

@@ -334,3 +334,10 @@ def test_load_counts_of_a_group_named_like_a_check(spark):
     counts = store.load_counts(df, ("data_type",))
     assert counts.columns == ["data_type", "rows", "good", "zoom_order", "zoom_range", "data_type_1", "host_without_port", "identifier"]
     assert sorted(map(tuple, counts.collect())) == [("other", 1, 0, 0, 1, 1, 0, 0), ("raster", 1, 0, 1, 0, 0, 0, 1), ("vector", 1, 1, 0, 0, 0, 0, 0)]
+
+
+def test_interpolation_where_weights_cancel_out_has_no_value(spark):
+    held = {(0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3), (2, 0), (2, 3), (3, 0), (3, 1)}
+    px = spark.createDataFrame([(x, y, 7 if (x, y) in held else None) for x in range(4) for y in range(4)], "px int, py int, iv int")
+    got = {(r["px"], r["py"]): r["value"] for r in raster.interpolate(px, 2, "cubic").collect()}
+    assert len(got) == 64 and got[3, 3] is None and got[0, 2] == pytest.approx(7)

@@ -171,16 +171,26 @@ def base_tile_plan(rasters: DataFrame, key: str) -> DataFrame:
     return cells.select(key, "z", "tx", "ty", (F.col("__start") + F.col("__col") + 1).alias("place"))
 
 
+#: Side of the cells of tiles_with_assets in tiles: their bits fit a long.
+_CELL = 7
+
+
 def tiles_with_assets(plan: DataFrame, assets: DataFrame, zooms: Iterable[int], keys: Sequence[str]) -> DataFrame:
     """Rows of plan (keys, z, tx, ty) whose tile or one of its eight neighbours meets a box of assets (keys, minx ... maxy).
 
-    Both sides become cells of three tiles by three, so it is an equi-join: an asset lists the cells it meets, a tile the
-    one to four cells its neighbourhood meets, and the boxes in tiles decide."""
+    Boxes, a tile wider on each side, become bits of cells of seven tiles by seven.  A cell's bits are one number over all
+    assets, whose parts form before the shuffle, so a tile meets one row however many assets lie there.  Neither side is
+    broadcast: what Spark knows of their size is that of the files, before they list their tiles."""
     x0, y0, x1, y1 = grid.tile_range(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy")), F.col("z"))
-    held = assets.withColumn("z", F.explode(F.array(*(F.lit(int(i)) for i in zooms)))).select(*keys, "z", x0.alias("__x0"), y0.alias("__y0"), x1.alias("__x1"), y1.alias("__y1")).distinct()
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / 3).cast("int"), F.floor(high / 3).cast("int")))
-    held = held.withColumn("__cx", cells(F.col("__x0"), F.col("__x1"))).withColumn("__cy", cells(F.col("__y0"), F.col("__y1")))
-    near = plan.withColumn("__cx", cells(F.col("tx") - 1, F.col("tx") + 1)).withColumn("__cy", cells(F.col("ty") - 1, F.col("ty") + 1))
-    on = [*keys, "z", "__cx", "__cy"]
-    meets = (F.col("tx") + 1 >= F.col("__x0")) & (F.col("tx") - 1 <= F.col("__x1")) & (F.col("ty") + 1 >= F.col("__y0")) & (F.col("ty") - 1 <= F.col("__y1"))
-    return near.join(held, on).where(meets).select(*plan.columns).distinct()
+    wide = {"__x0": F.greatest(x0 - 1, F.lit(0)), "__y0": F.greatest(y0 - 1, F.lit(0)), "__x1": x1 + 1, "__y1": y1 + 1}
+    held = assets.withColumn("z", F.explode(F.array(*(F.lit(int(i)) for i in zooms)))).select(*keys, "z", *(v.alias(n) for n, v in wide.items()))
+    for axis in "xy":
+        held = held.withColumn(f"__c{axis}", F.explode(F.expr(f"sequence(__{axis}0 div {_CELL}, __{axis}1 div {_CELL})")))
+    inner = lambda axis, end: f"least(greatest(__{axis}{end} - __c{axis} * {_CELL}, 0), {_CELL - 1})"
+    span = lambda axis, unit: f"(shiftleft(1L, cast(({inner(axis, 1)} + 1) * {unit} as int)) - shiftleft(1L, cast({inner(axis, 0)} * {unit} as int)))"
+    every_row = sum(1 << _CELL * row for row in range(_CELL))
+    bits = F.bit_or(F.expr(f"({span('x', 1)} * {every_row}L) & {span('y', _CELL)}")).alias("__bits")
+    held = held.groupBy(*keys, "z", "__cx", "__cy").agg(bits)
+    near = plan.withColumns({f"__c{axis}": F.expr(f"t{axis} div {_CELL}") for axis in "xy"})
+    meets = F.expr(f"shiftright(__bits, cast(tx % {_CELL} + ty % {_CELL} * {_CELL} as int)) & 1") == 1
+    return near.join(held.hint("merge"), [*keys, "z", "__cx", "__cy"]).where(meets).select(*plan.columns)

@@ -284,8 +284,8 @@ select id % 5 as mosaic, z, tx, ty, count(*) as jobs from e group by 1, 2, 3, 4"
 def base_tiles_with_assets(spark, sf_dir):
     r = view(spark, sf_dir, "fx_rasters")
     assets = r.select((c("id") % 5).alias("mosaic"), *((v * 100).alias(n) for v, n in zip((c("ulx"), c("uly") - c("ysize") * c("px"), c("ulx") + c("xsize") * c("px"), c("uly")), ("minx", "miny", "maxx", "maxy"))))
-    plan = _plan(spark, sf_dir).withColumn("mosaic", c("id") % 5)
-    return raster.tiles_with_assets(plan, assets, range(4, 9), ("mosaic",)).groupBy("mosaic", "z", "tx", "ty").agg(F.count("*").alias("jobs"))
+    jobs = _plan(spark, sf_dir).withColumn("mosaic", c("id") % 5).groupBy("mosaic", "z", "tx", "ty").agg(F.count("*").alias("jobs"))
+    return raster.tiles_with_assets(jobs, assets, range(4, 9), ("mosaic",))
 
 
 _AXIS = """{p}r0, {p}len, {p}size, greatest(-{p}r0, 0) / cast({p}len as double) as {p}low"""

@@ -341,3 +341,16 @@ def test_interpolation_where_weights_cancel_out_has_no_value(spark):
     px = spark.createDataFrame([(x, y, 7 if (x, y) in held else None) for x in range(4) for y in range(4)], "px int, py int, iv int")
     got = {(r["px"], r["py"]): r["value"] for r in raster.interpolate(px, 2, "cubic").collect()}
     assert len(got) == 64 and got[3, 3] is None and got[0, 2] == pytest.approx(7)
+
+
+def test_tiles_near_assets_come_from_one_row_a_cell(spark):
+    rng = random.Random(3)
+    side = grid.WORLD_EDGE / 16
+    boxes = [(m, x, y, x + rng.uniform(1, 6) * side, y + rng.uniform(1, 6) * side) for m in (0, 1) for x, y in ((rng.uniform(-1, 0.7) * grid.WORLD_EDGE, rng.uniform(-1, 0.7) * grid.WORLD_EDGE) for _ in range(4))]
+    plan = spark.createDataFrame([(m, z, x, y) for m in (0, 1) for z in (4, 5) for x in range(2**z) for y in range(2**z)], "m int, z int, tx int, ty int")
+    assets = spark.createDataFrame(boxes, "m int, minx double, miny double, maxx double, maxy double")
+    near = raster.tiles_with_assets(plan, assets, (4, 5), ("m",))
+    ranges = assets.crossJoin(spark.createDataFrame([(4,), (5,)], "z int")).select("m", "z", *grid.tile_range(*map(c, ("minx", "miny", "maxx", "maxy")), c("z"))).collect()
+    meets = lambda m, z, x, y: any((m, z) == r[:2] and r[2] - 1 <= x <= r[4] + 1 and r[3] - 1 <= y <= r[5] + 1 for r in ranges)
+    assert sorted(map(tuple, near.collect())) == sorted(tuple(r) for r in plan.collect() if meets(*r))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
@@ -47,8 +47,8 @@ def tile_details(plan: DataFrame, rasters: DataFrame, key: str, query: int = 102
 def zoom_ranges(plan: DataFrame, key: str) -> DataFrame:
     """key, z, tminx, tminy, tmaxx, tmaxy of a plan's tiles, with the least and greatest zoom of each key."""
     ranges = plan.groupBy(key, "z").agg(*(f(t).alias(f"t{n}{t[1]}") for n, f in (("min", F.min), ("max", F.max)) for t in ("tx", "ty")))
-    ends = ranges.groupBy(key).agg(F.min("z").alias("tminz"), F.max("z").alias("tmaxz"))
-    return ranges.join(ends, key)
+    own = Window.partitionBy(key)  # a key's zooms, not its tiles
+    return ranges.withColumns({"tminz": F.min("z").over(own), "tmaxz": F.max("z").over(own)})
 
 
 def write_plan(folder: str, plan: DataFrame, details: DataFrame, jobs: DataFrame, key: str) -> None:

@@ -354,3 +354,13 @@ def test_tiles_near_assets_come_from_one_row_a_cell(spark):
     meets = lambda m, z, x, y: any((m, z) == r[:2] and r[2] - 1 <= x <= r[4] + 1 and r[3] - 1 <= y <= r[5] + 1 for r in ranges)
     assert sorted(map(tuple, near.collect())) == sorted(tuple(r) for r in plan.collect() if meets(*r))
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zoom_ranges_broadcast_nothing(spark):
+    from gridlake.operators import pyramid
+
+    plan = spark.createDataFrame([(1, 4, 2, 3), (1, 4, 5, 1), (1, 6, 7, 7), (2, 3, 0, 0)], "id int, z int, tx int, ty int")
+    got = pyramid.zoom_ranges(plan, "id")
+    assert got.columns == ["id", "z", "tminx", "tminy", "tmaxx", "tmaxy", "tminz", "tmaxz"]
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 2, 1, 5, 3, 4, 6), (1, 6, 7, 7, 7, 7, 4, 6), (2, 3, 0, 0, 0, 0, 3, 3)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

@@ -209,6 +209,26 @@ def test_quality_counts_and_verdicts(spark):
     assert np.mean([got[i].kept for i in tested[75:]]) < 0.1
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(20, 400, (25_000, len(quality.COUNTS)))
+    good = rng.random(25_000) < 0.7
+    counts[~good, 2] += 300
+    counts[:, 4] = 0
+    failed = counts[:, 0] < 30
+    rows = [(bool(g), bool(f), *map(int, r)) for g, f, r in zip(good, failed, counts, strict=True)]
+    labelled = spark.createDataFrame(rows, "good boolean, base_failed boolean, " + ", ".join(f"{c} long" for c in quality.COUNTS)).repartition(3)
+    forest, most = quality._fit(labelled, 8, 0.9)
+    values = quality.features(counts)
+    whole = quality.IsolationForest((values.min(0), values.max(0)), int((good & ~failed).sum()), 8)
+    whole.measure(whole.count(values[good & ~failed]))
+    assert (forest.split == whole.split).all() and (forest.length == whole.length).all()
+    kept = lambda c: np.mean(whole.score(values[good & ~failed]) <= c)
+    caught = lambda c: np.mean(whole.score(values[~good & ~failed]) > c)
+    gains = [caught(c) + kept(c) - 1 for c in np.linspace(0.2, 0.9, 300) if kept(c) >= 0.9]
+    assert kept(most) >= 0.9 and caught(most) + kept(most) - 1 >= max(gains) - 1e-3
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.quality_verdicts(documents(spark), none).collect()

@@ -19,8 +19,9 @@ linked.  Pairs pass a sound filter first (parities of hashed shingles: two sets
 shingles than their parities do) and are then verified on the sets themselves.  Only documents of such
 pairs (and a few more, by a bitmap of bounded size) send their sets.  In large groups whose members are then
 not yet in one component every member is compared with every one of another component, by parities, in
-blocks of bounded size within tasks, and only pairs that pass are made and verified.  So no pair across
-components stays unchecked and no link is lost.
+blocks of bounded size within tasks; pairs that pass are verified there, on the sets that travel with the
+members, unless links found before join their components already.  So no pair across components stays
+unchecked, no link is lost, and a task makes fewer rows than it has components.
 
 Sets are told apart by two 64-bit sums of their hashed shingles and verified on 48 bits of each shingle:
 right but for collisions of these hashes, which no part of the text can steer.
@@ -36,7 +37,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packets
@@ -46,7 +47,7 @@ from .words import Words, mix, windows
 
 U = np.uint64
 SMALL = 6
-_BLOCK = 2048
+_BLOCK, _BLOCK_BYTES = 2048, 32 << 20
 _SPARE = 1.2
 _LOW48 = U((1 << 48) - 1)
 
@@ -292,23 +293,27 @@ def _sets(width: int, bitmap):
     return run
 
 
-def _verify(percent: int):
-    def read(data: bytes) -> np.ndarray:
-        wide = np.zeros((len(data) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
+def _read(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _links(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([one, two])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
 
+def _verify(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, one = [], None, None
             for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if a != last:
-                    last, one = a, read(a)
-                two = read(b)
-                both = np.concatenate([one, two])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                    last, one = a, _read(a)
+                keep.append(_links(one, _read(b), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -326,10 +331,14 @@ def _components(documents: DataFrame, width: int, percent: int, small: int) -> D
     found = docs.select("text").mapInArrow(_signature_packets(width, percent, buckets), packets.PACKET).repartitionById(buckets, "bucket")
     found = cut(found.mapInArrow(_candidate_packets(buckets, small), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_unpack, "kind int, a long, b long"))
 
+    def sets_of(named: DataFrame):
+        """rid, one, shingles of the rows that named (ra, rb) asks for, and the bitmap, to be destroyed after use."""
+        bitmap = spark.sparkContext.broadcast(name_bitmap(named))
+        return docs.select("rid", "text").mapInArrow(_sets(width, bitmap), "rid long, one long, shingles binary"), bitmap
+
     def verified(likely: DataFrame) -> DataFrame:
         """(a, b) of the pairs that link: numbers of nodes or, for cx and cy, of their components."""
-        bitmap = spark.sparkContext.broadcast(name_bitmap(likely))
-        sets = docs.select("rid", "text").mapInArrow(_sets(width, bitmap), "rid long, one long, shingles binary")
+        sets, bitmap = sets_of(likely)
         both = likely.join(sets.toDF("rb", "b", "right"), ["rb", "b"]).join(sets.toDF("ra", "a", "left"), ["ra", "a"])
         linked = cut(both.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "left", "right").mapInArrow(_verify(percent), "a long, b long"))
         bitmap.destroy()
@@ -345,8 +354,13 @@ def _components(documents: DataFrame, width: int, percent: int, small: int) -> D
         placed = cut(placed)
         mixed = _mixed(entries.join(placed.select("one", "node", "component"), "one"))
         if not mixed.isEmpty():
-            sized = mixed.join(groups.select("node", "n", "sketch", "rid"), "node")
-            more = verified(cut(_blocks(sized).mapInArrow(_across(percent), _PAIR).distinct()))
+            mixed = _merged(mixed)
+            members = cut(mixed.select("node").distinct().join(groups.select("node", "n", "one", "rid"), "node"))
+            sets, bitmap = sets_of(members.select(F.col("rid").alias("ra"), F.col("rid").alias("rb")))
+            # a row name and a set may come from several rows of the input; one is enough
+            members = members.join(sets, ["rid", "one"]).dropDuplicates(["node"]).select("node", "n", "shingles")
+            more = cut(_blocks(mixed.join(members, "node")).mapInArrow(_across(percent), "a long, b long").distinct())
+            bitmap.destroy()
             if not more.isEmpty():
                 joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))
                 placed = placed.join(joined, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
@@ -364,63 +378,99 @@ def similarity_components(documents: DataFrame, width: int = 5, percent: int = 8
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
-    """key, node, component, one, size (of the key's group), main (its first member's component), others (members outside it), for groups of several components."""
-    keys = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "one").alias("main")).where("least < most")
+    """key, node, component, first (the group's least node), size (of the group), main (its first member's component), for groups of several components."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", "one").alias("main"), F.min("node").alias("first")).where("least < most")
     # inverted keys hide the partitioning, so both sides of the join are exchanged and a large group can be split
-    return cut(entries.join(keys.select(F.bitwise_not("key").alias("__key"), "size", "main"), F.bitwise_not("key") == F.col("__key")).drop("__key"))
+    return cut(entries.join(keys.select(F.bitwise_not("key").alias("__key"), "size", "main", "first"), F.bitwise_not("key") == F.col("__key")).drop("__key", "one"))
+
+
+def _merged(mixed: DataFrame) -> DataFrame:
+    """key, node, component, size, main: groups that share members as one, where that is no more to compare.
+
+    Sets that are alike share most of their signatures, so the same members stand in very many groups.  A merged group
+    holds each of them once, and every pair that one of its groups holds; it replaces them if the square of its size is
+    not above the sum of theirs."""
+    # one edge for each node, and one for each two groups' first nodes: not one for each member of each group
+    held = mixed.select("node", "first", F.min("first").over(Window.partitionBy("node")).alias("least"))  # a set's signatures
+    edges = held.select(F.col("node").alias("a"), F.col("least").alias("b")).union(held.select(F.col("first").alias("a"), F.col("least").alias("b"))).distinct()
+    labels = cut(components(edges))
+    keyed = mixed.select("key", "size", "first").distinct().join(labels.select(F.col("node").alias("first"), F.col("component").alias("union")), "first")
+    keyed = cut(keyed.select("key", "union", F.col("size").cast("double").alias("size")))
+    apart = keyed.groupBy("union").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    chosen = labels.groupBy(F.col("component").alias("union")).agg(F.count("*").alias("size")).join(apart, "union")
+    chosen = cut(chosen.where(F.col("size").cast("double") * F.col("size") <= F.col("apart")).select("union", "size"))
+    nodes = labels.select("node", F.col("component").alias("union")).join(chosen, "union")
+    nodes = nodes.join(mixed.select("node", "component").distinct(), "node")
+    main = nodes.groupBy("union", "component").agg(F.count("*").alias("n")).groupBy("union").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    whole = nodes.join(main, "union").select(F.col("union").alias("key"), "node", "component", "size", "main")
+    left = keyed.join(chosen, "union", "left_anti").select("key")
+    return cut(whole.unionByName(mixed.join(left, "key").select("key", "node", "component", "size", "main")))
 
 
 def _blocks(mixed: DataFrame) -> DataFrame:
     """Members dealt to pairs of blocks (one, two) of their group, sorted by group and pair.
 
-    Blocks of the main component meet only the others; the others meet all."""
+    Blocks of the main component meet only the others; the others meet all.  A block holds _BLOCK members, fewer where
+    their sets would take more than _BLOCK_BYTES, but not under 64."""
     rest = F.col("component") != F.col("main")
-    sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others"))
-    sides = sides.select(F.bitwise_not("key").alias("__key"), "others")
-    m = mixed.withColumnRenamed("one", "name").join(sides, F.bitwise_not("key") == F.col("__key")).drop("__key")
-    n_rest = F.ceil(F.col("others") / _BLOCK).cast("int")
-    n_main = F.ceil((F.col("size") - F.col("others")) / _BLOCK).cast("int")
+    sides = mixed.groupBy("key").agg(F.sum(F.when(rest, 1).otherwise(0)).alias("others"), F.max("n").alias("longest"))
+    sides = sides.select(F.bitwise_not("key").alias("__key"), "others", F.greatest(F.lit(64), F.least(F.lit(_BLOCK), F.lit(_BLOCK_BYTES // 6) / F.col("longest"))).alias("held"))
+    m = mixed.join(sides, F.bitwise_not("key") == F.col("__key")).drop("__key")
+    n_rest = F.ceil(F.col("others") / F.col("held")).cast("int")
+    n_main = F.ceil((F.col("size") - F.col("others")) / F.col("held")).cast("int")
     own = F.when(rest, F.pmod(F.xxhash64("node"), n_rest)).otherwise(n_rest + F.pmod(F.xxhash64("node"), n_main)).cast("int")
     meets = F.sequence(F.lit(0), F.when(rest, n_rest + n_main).otherwise(n_rest) - 1)
     dealt = m.withColumn("own", own).withColumn("other", F.explode(meets)).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
-    return dealt.select("key", "one", "two", "own", "node", "component", "n", "sketch", "rid", "name").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return dealt.select("key", "one", "two", "own", "node", "component", "n", "shingles").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
 
 def _across(percent: int):
-    """Pairs of one pair of blocks that may link, across components."""
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        part, n, own = (rows.column(c).to_numpy() for c in ("component", "n", "own"))
-        raw = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
-        width = min(map(len, raw))
-        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in raw])
-        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(0, len(left), 64):
-            x = left[i : i + 64]
-            apart = np.zeros((len(x), len(right)), np.int64)
-            for j in range(width):
-                apart += np.bitwise_count(bits[x, j][:, None] ^ bits[right, j][None, :])
-            total = n[x][:, None] + n[right][None, :]
-            close = (apart * (100 + percent) <= total * (100 - percent)) & (part[x][:, None] != part[right][None, :])
-            close &= 100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])
-            p, q = np.nonzero(close)
-            a.append(x[p])
-            b.append(right[q])
-        return np.concatenate(a), np.concatenate(b)
+    """Links between components (a, b) that join all components which a link of a pair of blocks joins.
+
+    Pairs whose components are joined by links found before, in this or an earlier group of the task, are passed over."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for group in runs(batches, ("key", "one", "two")):
-            a, b = compare(group)
-            node, name, rid, part = (group.column(c).to_numpy() for c in ("node", "name", "rid", "component"))
-            swap = node[a] > node[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            rows = [i for i, p in enumerate(zip(node[a].tolist(), node[b].tolist(), strict=True)) if not (p in seen or (len(seen) < 1_000_000 and seen.add(p)))]  # only saves repetitions; the pairs are made distinct later
-            if rows:
-                a, b = a[rows], b[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (node[a], node[b], name[a], rid[a], name[b], rid[b], part[a], part[b])], _PAIR_NAMES)
+        joined: dict[int, int] = {}
+        apart_: set[tuple[int, int]] = set()  # only saves repetitions
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = joined.get(up, up)
+                c = up
+            return c
+
+        for rows in runs(batches, ("key", "one", "two")):
+            node, n, own, component = (rows.column(c).to_numpy() for c in ("node", "n", "own", "component"))
+            part = np.array([root(c) for c in component.tolist()], np.int64)
+            sets = [_read(x) for x in rows.column("shingles").to_pylist()]
+            size = min(max(512, 2 << (len(x) - 1).bit_length()) for x in sets)
+            bits = np.stack([np.packbits(np.bincount((x & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").view(U) for x in sets])
+            left, right = np.flatnonzero(own == rows.column("one")[0].as_py()), np.flatnonzero(own == rows.column("two")[0].as_py())
+            found: list[tuple[int, int]] = []
+            for i in range(0, len(left), 64):
+                x = left[i : i + 64]
+                apart = np.zeros((len(x), len(right)), np.int64)
+                for j in range(size // 64):
+                    apart += np.bitwise_count(bits[x, j][:, None] ^ bits[right, j][None, :])
+                total = n[x][:, None] + n[right][None, :]
+                close = (apart * (100 + percent) <= total * (100 - percent)) & (part[x][:, None] != part[right][None, :])
+                close &= 100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])
+                for a, b in zip(*(side.tolist() for side in np.nonzero(close)), strict=True):
+                    a, b = x[a], right[b]
+                    if part[a] == part[b]:
+                        continue
+                    pair = (int(min(node[a], node[b])), int(max(node[a], node[b])))
+                    if pair in apart_:
+                        continue
+                    if _links(sets[a], sets[b], percent):
+                        low, high = sorted((int(part[a]), int(part[b])))
+                        found.append((low, high))
+                        joined[high] = low
+                        part[part == high] = low
+                    elif len(apart_) < 1_000_000:
+                        apart_.add(pair)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], ["a", "b"])
 
     return run
 

@@ -170,6 +170,22 @@ def test_ngram_join_of_repeated_rows_and_empty_table(spark):
     assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, ""), (0, "alone"), (5, "v0 v1"), (5, "w0 w1"), (7, "")]
 
 
+def test_a_block_of_linked_components_gives_no_more_rows_than_components():
+    rng = np.random.default_rng(2)
+    pack = lambda s: np.unique(s).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    base = rng.integers(0, 1 << 48, (2, 100), dtype=np.uint64)
+    sets = [pack(np.concatenate([base[i % 2][:97], rng.integers(0, 1 << 48, 3, dtype=np.uint64)])) for i in range(60)]
+    column = lambda v: pa.array(v, pa.int64())
+    zero = column([0] * 60)
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, column(range(60)), column(range(60)), column([100] * 60), pa.array(sets, pa.binary())], ["key", "one", "two", "own", "node", "component", "n", "shingles"])
+    pairs = [p for b in ngram_join._across(80)(iter([batch])) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(pairs) == 58  # two groups of thirty, each joined by a tree
+    roots = {i: i for i in range(60)}
+    for a, b in pairs:
+        roots = {i: roots[a] if r == roots[b] else r for i, r in roots.items()}
+    assert len({roots[i] for i in range(0, 60, 2)}) == len({roots[i] for i in range(1, 60, 2)}) == 1 and roots[0] != roots[1]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(29, 500), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -141,68 +141,86 @@ def encode_layer(name: str, features: Iterable[tuple[int | None, geometry.Shape,
     return body.layer(name, extent)
 
 
-def decode_tile(data: bytes) -> dict[str, dict]:
-    """Layers of a tile: extent, version, features (id, type, commands, attributes)."""
-
-    def fields(b: bytes) -> Iterator[tuple[int, object]]:
-        at = 0
-
-        def varint() -> int:
-            nonlocal at
-            n = shift = 0
-            while True:
-                byte = b[at]
-                at += 1
-                n |= (byte & 0x7F) << shift
-                shift += 7
-                if byte < 0x80:
-                    return n
-
-        while at < len(b):
-            tag = varint()
-            if tag & 7 == 0:
-                yield tag >> 3, varint()
-            elif tag & 7 == 1:
-                at += 8
-                yield tag >> 3, np.frombuffer(b[at - 8 : at], "<f8")[0].item()
-            else:
-                n = varint()
-                at += n
-                yield tag >> 3, b[at - n : at]
-
-    def varints(b: bytes) -> list[int]:
-        out, n, shift = [], 0, 0
-        for byte in b:
+def _fields(b: bytes) -> Iterator[tuple[int, object]]:
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = b[at]
+            at += 1
             n |= (byte & 0x7F) << shift
             shift += 7
             if byte < 0x80:
-                out.append(n)
-                n = shift = 0
-        return out
+                return n
+
+    while at < len(b):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        elif tag & 7 == 1:
+            at += 8
+            yield tag >> 3, np.frombuffer(b[at - 8 : at], "<f8")[0].item()
+        else:
+            n = varint()
+            at += n
+            yield tag >> 3, b[at - n : at]
+
+
+def _varints(b: bytes) -> list[int]:
+    out, n, shift = [], 0, 0
+    for byte in b:
+        n |= (byte & 0x7F) << shift
+        shift += 7
+        if byte < 0x80:
+            out.append(n)
+            n = shift = 0
+    return out
+
+
+def _decoded_value(b: bytes):
+    (number, v), *_ = _fields(b)
+    return v.decode() if number == 1 else bool(v) if number == 7 else (v >> 1) ^ -(v & 1) if number == 6 else v
+
 
-    def value(b: bytes):
-        (number, v), *_ = fields(b)
-        return v.decode() if number == 1 else bool(v) if number == 7 else (v >> 1) ^ -(v & 1) if number == 6 else v
+def _layer(layer: bytes) -> dict:
+    """What stands beside a layer's features: name, keys, values, extent, version."""
+    found: dict = {"keys": [], "values": [], "extent": 4096, "version": 1}
+    for number, v in _fields(layer):
+        if number == 1:
+            found["name"] = v.decode()
+        elif number == 3:
+            found["keys"].append(v.decode())
+        elif number == 4:
+            found["values"].append(_decoded_value(v))
+        elif number in (5, 15):
+            found["extent" if number == 5 else "version"] = v
+    return found
 
+
+def _features(layer: bytes, found: dict) -> Iterator[dict]:
+    for number, v in _fields(layer):
+        if number == 2:
+            raw = dict(_fields(v))
+            tags = _varints(raw.get(2, b""))
+            yield {"id": raw.get(1), "type": raw[3], "commands": _varints(raw[4]), "attributes": {found["keys"][k]: found["values"][v] for k, v in zip(tags[::2], tags[1::2], strict=True)}}
+
+
+def features_of(data: bytes) -> Iterator[tuple[str, dict]]:
+    """Layer and feature (id, type, commands, attributes), one at a time: of a tile only its bytes, keys and values are held."""
+    for _, layer in _fields(data):
+        found = _layer(layer)
+        for feature in _features(layer, found):
+            yield found["name"], feature
+
+
+def decode_tile(data: bytes) -> dict[str, dict]:
+    """Layers of a tile: extent, version, features (id, type, commands, attributes)."""
     layers: dict[str, dict] = {}
-    for _, layer in fields(data):
-        found: dict = {"keys": [], "values": [], "raw": [], "extent": 4096, "version": 1}
-        for number, v in fields(layer):
-            if number == 1:
-                name = v.decode()
-            elif number == 2:
-                found["raw"].append(dict(fields(v)))
-            elif number == 3:
-                found["keys"].append(v.decode())
-            elif number == 4:
-                found["values"].append(value(v))
-            else:
-                found["extent" if number == 5 else "version"] = v
-        features = []
-        for raw in found["raw"]:
-            tags = varints(raw.get(2, b""))
-            features.append({"id": raw.get(1), "type": raw[3], "commands": varints(raw[4]), "attributes": {found["keys"][k]: found["values"][v] for k, v in zip(tags[::2], tags[1::2], strict=True)}})
-        layers[name] = {"extent": found["extent"], "version": found["version"], "features": features}
+    for _, layer in _fields(data):
+        found = _layer(layer)
+        layers[found["name"]] = {"extent": found["extent"], "version": found["version"], "features": list(_features(layer, found))}
     return layers
 
 
@@ -220,23 +238,35 @@ def points_of(commands: Sequence[int]) -> tuple[list[int], list[int]]:
     return xs, ys
 
 
+#: Features that decoded() holds at a time.
+DECODED = 10_000
+
+
 def decoded(tiles: DataFrame, data: str = "data") -> DataFrame:
     """z, x, y, layer, id, type, xs, ys, attributes of every feature of tiles (plain or gzip)."""
 
+    names = ["z", "x", "y", "layer", "id", "type", "xs", "ys", "attributes"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for z, x, y, raw in rows[["z", "x", "y", data]].itertuples(index=False, name=None):
                 raw = bytes(raw)
-                for name, layer in decode_tile(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).items():
-                    out += [(z, x, y, name, f["id"], f["type"], *points_of(f["commands"]), {k: str(v) for k, v in f["attributes"].items()}) for f in layer["features"]]
-            yield pd.DataFrame(out, columns=["z", "x", "y", "layer", "id", "type", "xs", "ys", "attributes"])
+                for name, f in features_of(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    out.append((z, x, y, name, f["id"], f["type"], *points_of(f["commands"]), {k: str(v) for k, v in f["attributes"].items()}))
+                    if len(out) == DECODED:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return tiles.select("z", "x", "y", data).mapInPandas(read, "z int, x int, y int, layer string, id long, type int, xs array<int>, ys array<int>, attributes map<string,string>")
 
 
 #: A feature of more tiles than this at a zoom is dealt over all tasks, so no task unrolls a world-wide one alone.
 SPREAD = 65_536
+#: Bytes of finished tiles that a task holds at a time.
+HELD_BYTES = 8 << 20
 
 
 def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Sequence[str] = (), wkb: str = "wkb", fid: str | None = "id", extent: int = EXTENT, buffer: int = BUFFER, simplify: bool = False) -> DataFrame:
@@ -258,7 +288,7 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
             yield rows.assign(**{wkb: out})[rows.columns][[o is not None for o in out]]
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, body, out = None, LayerBody(), []
+        last, body, out, held = None, LayerBody(), [], 0
         for rows in batches:
             if not fid:
                 rows = rows.assign(__fid=None)
@@ -266,11 +296,15 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
                 if r[:3] != last:
                     if last:
                         out.append((*last, layer, body.layer(layer, extent)))
+                        held += len(out[-1][-1])
+                        if held > HELD_BYTES:
+                            yield pd.DataFrame(out, columns=_TILE_COLUMNS)
+                            out, held = [], 0
                     last, body = r[:3], LayerBody()
                 body.add(r[3], bytes(r[4]), zip(attributes, r[5:], strict=True))
             if out:
                 yield pd.DataFrame(out, columns=_TILE_COLUMNS)
-                out = []
+                out, held = [], 0
         if last:
             yield pd.DataFrame([(*last, layer, body.layer(layer, extent))], columns=_TILE_COLUMNS)
 

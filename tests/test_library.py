@@ -364,3 +364,24 @@ def test_zoom_ranges_broadcast_nothing(spark):
     assert got.columns == ["id", "z", "tminx", "tminy", "tmaxx", "tmaxy", "tminz", "tmaxz"]
     assert sorted(map(tuple, got.collect())) == [(1, 4, 2, 1, 5, 3, 4, 6), (1, 6, 7, 7, 7, 7, 4, 6), (2, 3, 0, 0, 0, 0, 3, 3)]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_tile_is_decoded_feature_by_feature(spark):
+    import tracemalloc
+
+    body, drawn = mvt.LayerBody(), mvt.geometry_fields((3, [np.array([(0, 0), (9, 0), (9, 9), (0, 9)])]))
+    for i in range(12_000):
+        body.add(i, drawn, [("kind", "road"), ("n", i % 5)])
+    data = body.layer("big", 4096)
+
+    def peak(work):
+        tracemalloc.start()
+        n = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    (n, one), (m, all_) = peak(lambda: sum(1 for _ in mvt.features_of(data))), peak(lambda: len(mvt.decode_tile(data)["big"]["features"]))
+    assert n == m == 12_000 and one < all_ / 5
+    rows = mvt.decoded(spark.createDataFrame([(1, 0, 0, bytearray(data))], "z int, x int, y int, data binary"))
+    assert rows.select("id").distinct().count() == 12_000 > mvt.DECODED

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,17 +32,32 @@ def render_tiles(pixels: DataFrame, size: int, keys: tuple[str, ...] = ("z", "x"
     return pixels.groupBy(*keys).applyInPandas(draw, schema)  # a tile has size * size pixels at most
 
 
+#: Pixels that drawn_pixels() puts into one table.
+PIXELS = 1 << 18
+
+
+def pixels_of(images: pd.DataFrame, keys: Sequence[str], data: str = "data") -> Iterator[pd.DataFrame]:
+    """keys, px, py, r, g, b, a of every pixel of the images, about PIXELS rows at a time."""
+    held: list[np.ndarray] = []
+    start = pixels = 0
+    for i, raw in enumerate(images[data]):
+        held.append(read_png(bytes(raw)))
+        pixels += held[-1].shape[0] * held[-1].shape[1]
+        if pixels >= PIXELS or i + 1 == len(images):
+            own = images[list(keys)].iloc[np.repeat(np.arange(start, i + 1), [m.shape[0] * m.shape[1] for m in held])].reset_index(drop=True)
+            py, px = (np.concatenate([np.indices(m.shape[:2])[axis].ravel() for m in held]) for axis in (0, 1))
+            bands = np.concatenate([m.reshape(-1, 4) for m in held]).astype(np.int32)
+            yield own.assign(px=px.astype(np.int32), py=py.astype(np.int32), **{n: bands[:, k] for k, n in enumerate("rgba")})
+            held, start, pixels = [], i + 1, 0
+
+
 def drawn_pixels(tiles: DataFrame, keys: tuple[str, ...] = ("z", "x", "y"), data: str = "data") -> DataFrame:
     """keys, px, py, r, g, b, a of every pixel of images written by render_tiles()."""
     kinds = dict(tiles.dtypes)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for row in rows.itertuples(index=False):
-                image = read_png(bytes(getattr(row, data)))
-                py, px = (v.ravel() for v in np.indices(image.shape[:2]))
-                bands = {n: image[:, :, i].ravel().astype(np.int32) for i, n in enumerate("rgba")}
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "px": px, "py": py, **bands})
+            yield from pixels_of(rows, keys, data)
 
     return tiles.select(*keys, data).mapInPandas(read, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "px int, py int, r int, g int, b int, a int"]))
 

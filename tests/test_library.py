@@ -385,3 +385,14 @@ def test_a_large_tile_is_decoded_feature_by_feature(spark):
     assert n == m == 12_000 and one < all_ / 5
     rows = mvt.decoded(spark.createDataFrame([(1, 0, 0, bytearray(data))], "z int, x int, y int, data binary"))
     assert rows.select("id").distinct().count() == 12_000 > mvt.DECODED
+
+
+def test_pixels_of_many_images_make_one_table():
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, (n % 3 + 1, 8, 4), dtype=np.uint8) for n in range(300)]
+    tables = list(png.pixels_of(pd.DataFrame({"cell": range(300), "data": [png.png(m) for m in images]}), ("cell",)))
+    assert len(tables) == 1
+    rows = tables[0]
+    for n, image in enumerate(images):
+        own = rows[rows["cell"] == n]
+        assert (image[own["py"], own["px"]] == own[list("rgba")].to_numpy()).all() and len(own) == image.shape[0] * 8

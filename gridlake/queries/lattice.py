@@ -160,13 +160,13 @@ def simplify_topology(spark, sf_dir):
 
     @F.pandas_udf("struct<rings: int, outer_points: int, hole_points: int>")
     def counted(h: pd.Series, hole: pd.Series, teeth: pd.Series) -> pd.DataFrame:
-        out = []
+        shapes = []
         for high, kind, n in zip(h, hole, teeth, strict=True):
             side = [(1000.0 * (k + 0.5 * j) / n, 0.0 if j == 0 else -4.0) for k in range(n) for j in (0, 1)] if n else [(0.0, 0.0)]
             ring = np.array([*side, (1000.0, 0.0), (1000.0, 1000.0), (501.0, 1000.0), (500.0, 1000.0 + high), (499.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)])
             tip = np.array([(499.9, 1000.0 + 0.2 * high), (500.1, 1000.0 + 0.2 * high), (500.0, 1000.0 + 0.6 * high), (499.9, 1000.0 + 0.2 * high)])
-            _, parts = geometry.simplify_shape(geometry.read(geometry.write((3, [ring, tip] if kind == 0 else [ring]))), _TOLERANCE)
-            out.append((len(parts), len(parts[0]), len(parts[1]) if len(parts) > 1 else None))
+            shapes.append(geometry.read(geometry.write((3, [ring, tip] if kind == 0 else [ring]))))
+        out = [(len(parts), len(parts[0]), len(parts[1]) if len(parts) > 1 else None) for _, parts in geometry.simplify_shapes(shapes, _TOLERANCE)]
         return pd.DataFrame(out, columns=["rings", "outer_points", "hole_points"]).astype("Int32")
 
     return p.select("id", counted("h", "hole", "teeth").alias("c")).select("id", "c.*")

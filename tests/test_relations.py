@@ -153,3 +153,24 @@ def test_simplification_keeps_the_topology():
     line = (2, [np.array([(0.0, 0), (5, 0.2), (10, 0)]), np.array([(4.0, 0.1), (6, 0.1)])])
     assert len(geometry.simplify_shape(line, 1.0)[1][0]) == 3  # the other line lies between
     assert len(geometry.simplify_shape((2, line[1][:1]), 1.0)[1][0]) == 2
+
+
+def test_shapes_are_simplified_side_by_side(monkeypatch):
+    """Each shape of a batch comes out as it does alone, and a batch takes a few rounds, not some for each shape."""
+    rng, shapes, tolerances = np.random.default_rng(11), [], []
+    for case in range(200):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, int(rng.integers(3, 40))))
+        ring = np.stack([np.cos(angle), np.sin(angle)], 1) * rng.uniform(3, 10, len(angle))[:, None]
+        ring = np.concatenate([ring, ring[:1]])
+        shapes.append([(3, [ring]), (3, [ring, ring * 0.15, ring * 0.05 + 1]), (2, [ring[:-1], ring[: case % 7] + 1]), (1, [ring])][case % 4])
+        tolerances.append([0.0, 0.3, 1.0, 4.0][case // 4 % 4])
+    alone = [geometry.simplify_shape(s, t) for s, t in zip(shapes, tolerances, strict=True)]
+    rounds, meets = [], geometry._Batch.meets
+    monkeypatch.setattr(geometry._Batch, "meets", lambda *a: rounds.append(1) or meets(*a))
+    together = geometry.simplify_shapes(shapes, tolerances)
+    assert len(rounds) < 200
+    for (kind, parts), (other, wanted) in zip(together, alone, strict=True):
+        assert kind == other and len(parts) == len(wanted) and all(np.array_equal(p, q) for p, q in zip(parts, wanted, strict=True))
+    assert sum(len(p) for _, parts in together for p in parts) < sum(len(p) for _, parts in shapes for p in parts)
+    corner = (2, [np.array([(-4.0, 2), (-4, 1), (-5, 1), (-8, 2)])])  # (-4, 2) has one coordinate of each end of the shortcut
+    assert geometry.simplify_shapes([corner], 0.3)[0][1][0].tolist() == [[-4, 2], [-4, 1], [-8, 2]]

@@ -113,16 +113,126 @@ def geometry_fields(shape: geometry.Shape) -> bytes:
     return _varint(3 << 3) + _varint(shape[0]) + _field(4, b"".join(map(_varint, geometry_commands(shape))))
 
 
+def _clip(x: np.ndarray, y: np.ndarray, of: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of rings (points one ring after the other, ring of each) between low and high on both axes."""
+    for axis in (0, 1):
+        for bound, keep in ((low, np.greater_equal), (high, np.less_equal)):
+            inside = keep((x, y)[axis], bound)
+            if inside.all():
+                continue
+            after = _after(of)
+            cross = inside != inside[after]
+            count = inside.astype(np.int64) + cross
+            at = np.cumsum(count) - count
+            p, q = np.flatnonzero(cross), after[cross]
+            share = (bound - (x, y)[axis][p]) / ((x, y)[axis][q] - (x, y)[axis][p])
+            made = []
+            for v in (x, y):
+                new = np.empty(int(count.sum()))
+                new[at[inside]] = v[inside]
+                new[at[p] + inside[p]] = v[p] + (v[q] - v[p]) * share
+                made.append(new)
+            (x, y), of = made, np.repeat(of, count)
+    return x, y, of
+
+
+def _after(of: np.ndarray) -> np.ndarray:
+    """Place of the next point on the ring of each point."""
+    after, first = np.arange(1, len(of) + 1), _starts(of)
+    after[np.append(first[1:], len(of))[: len(first)] - 1] = first
+    return after
+
+
+def _starts(of: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(of, prepend=-1))
+
+
+def _varint_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Varints of values one after the other, and the length of each."""
+    size = 1 + sum((values >> 7 * k > 0).astype(np.int64) for k in range(1, 10))
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[at[some] + k] = (values[some] >> 7 * k & 0x7F) | (size[some] > k + 1) * 0x80
+    return out, size
+
+
+def area_fields(areas: Sequence[Sequence[np.ndarray]], envelopes: np.ndarray, extent: int = EXTENT, buffer: int = BUFFER) -> list[bytes | None]:
+    """geometry_fields of to_tile for many areas (their rings), each on its own tile; None where nothing is left."""
+    rings = [p for of in areas for p in of]
+    out: list[bytes | None] = [None] * len(areas)
+    if not rings:
+        return out
+    shape = np.repeat(np.arange(len(areas)), [len(of) for of in areas])  # of each ring
+    of = np.repeat(np.arange(len(rings)), [len(p) for p in rings])
+    points, env = np.concatenate(rings), envelopes[shape[of]]
+    x = (points[:, 0] - env[:, 0]) * (extent / (env[:, 2] - env[:, 0]))
+    y = (points[:, 1] - env[:, 3]) * (-extent / (env[:, 3] - env[:, 1]))
+
+    def opened(x: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rings without a last point that repeats the first."""
+        first = _starts(of)
+        last = np.append(first[1:], len(of))[: len(first)] - 1
+        keep = np.ones(len(of), bool)
+        keep[last[(last > first) & (x[first] == x[last]) & (y[first] == y[last])]] = False
+        return x[keep], y[keep], of[keep]
+
+    x, y, of = _clip(*opened(x, y, of), -buffer, extent + buffer)
+    x, y = np.round(x), np.round(y)
+    new = (np.diff(of, prepend=-1) != 0) | (np.diff(x, prepend=np.nan) != 0) | (np.diff(y, prepend=np.nan) != 0)
+    x, y, of = opened(x[new], y[new], of[new])
+    after, size = _after(of), np.bincount(of, minlength=len(rings))
+    turn = np.bincount(of, x * y[after] - x[after] * y, len(rings))  # whole numbers
+    good, outer = (size > 2) & (turn != 0), np.diff(shape, prepend=-1) != 0
+    good &= good[np.flatnonzero(outer)][np.cumsum(outer) - 1]  # without its outer ring a shape has no holes
+    some = good[of]
+    x, y, of = x[some].astype(np.int64), y[some].astype(np.int64), of[some]
+    if not len(of):
+        return out
+    first = _starts(of)
+    kept, n = of[first], np.diff(np.append(first, len(of)))
+    k = np.arange(len(of)) - np.repeat(first, n)
+    back = np.repeat((turn[kept] > 0) != outer[kept], n)  # outer rings turn right on the screen
+    order = np.where(back, np.repeat(first + n - 1, n) - k, np.arange(len(of)))
+    x, y = x[order], y[order]
+    start = np.diff(shape[of], prepend=-1) != 0
+    begin = np.cumsum(2 * n + 3) - (2 * n + 3)
+    values = np.empty(int((2 * n + 3).sum()), np.int64)
+    values[begin], values[begin + 3], values[begin + 2 * n + 2] = command(MOVE, 1), (n - 1) << 3 | LINE, command(CLOSE, 1)
+    at = np.repeat(begin, n) + 2 * k + 1 + (k > 0)
+    for i, v in enumerate((x, y)):
+        d = np.diff(v, prepend=0)
+        d[start] = v[start]
+        values[at + i] = d << 1 ^ d >> 63
+    data, sizes = _varint_bytes(values)
+    owner = shape[kept]
+    length = np.bincount(owner, np.add.reduceat(sizes, begin), len(areas)).astype(np.int64)
+    data, end, head = data.tobytes(), np.cumsum(length), _varint(3 << 3) + _varint(3)
+    for i in np.unique(owner).tolist():
+        out[i] = head + _field(4, data[end[i] - length[i] : end[i]])
+    return out
+
+
 class LayerBody:
     """A layer that grows feature by feature; only its bytes, keys and values are held."""
 
     def __init__(self) -> None:
         self.body, self.keys, self.values = bytearray(), {}, {}
+        self.tags: dict[tuple, bytes] = {}
+
+    def _tag(self, key: str, value: object) -> bytes:
+        found = self.tags.get((key, type(value), value))
+        if found is None:
+            keys, values = self.keys, self.values
+            found = _varint(keys.setdefault(key, len(keys))) + _varint(values.setdefault(_value(value), len(values)))
+            if not isinstance(value, (float, np.floating)):  # 0.0 and -0.0 are equal and have bytes of their own
+                self.tags[key, type(value), value] = found
+        return found
 
     def add(self, fid: int | None, drawn: bytes, attributes: Iterable[tuple[str, object]]) -> None:
         """drawn: geometry_fields of the feature.  Null attributes are left out."""
-        keys, values = self.keys, self.values
-        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(_value(v), len(values))) for k, v in attributes if v is not None and v == v)
+        tags = b"".join([self._tag(k, v) for k, v in attributes if v is not None and v == v])
         self.body += _field(2, (_varint(1 << 3) + _varint(int(fid)) if fid is not None and fid >= 0 else b"") + (_field(2, tags) if tags else b"") + drawn)
 
     def layer(self, name: str, extent: int) -> bytes:
@@ -276,15 +386,23 @@ def tiles(features: DataFrame, zooms: Iterable[int], layer: str, attributes: Seq
 
     def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for z, x, y, data in zip(rows["z"], rows["x"], rows["y"], rows[wkb], strict=True):
-                kind, parts = geometry.read(bytes(data))
-                env = envelope(z, x, y)
-                if simplify and kind > 1:
-                    width = (40075016.68557849 / (extent * 2**z)) if z > 11 else 40075016.68557849 / 2 ** (z + 8)
-                    kind, parts = geometry.simplify_shape((kind, parts), width)
-                shape = to_tile((kind, parts), env, extent, buffer)
-                out.append(None if shape is None else geometry_fields(shape))
+            shapes, last, held = [], None, None
+            for data in rows[wkb]:
+                if data != last:  # a feature's tiles follow each other
+                    last, held = data, geometry.read(bytes(data))
+                shapes.append(held)
+            z = rows["z"].to_numpy()
+            if simplify:
+                width = np.where(z > 11, 40075016.68557849 / (extent * 2.0**z), 40075016.68557849 / 2.0 ** (z + 8))
+                shapes = geometry.simplify_shapes(shapes, width)
+            env = np.stack(envelope(z, rows["x"].to_numpy(), rows["y"].to_numpy()), 1)
+            out: list[bytes | None] = [None] * len(shapes)
+            areas = [i for i, (kind, _) in enumerate(shapes) if kind == 3]
+            for i, drawn in zip(areas, area_fields([shapes[i][1] for i in areas], env[areas], extent, buffer), strict=True):
+                out[i] = drawn
+            for i, (kind, parts) in enumerate(shapes):
+                if kind != 3 and (shape := to_tile((kind, parts), env[i], extent, buffer)):
+                    out[i] = geometry_fields(shape)
             yield rows.assign(**{wkb: out})[rows.columns][[o is not None for o in out]]
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,7 +93,8 @@ def in_tile(df: DataFrame, z: int, x: int, y: int, margin: float = BUFFER / EXTE
 
 
 def envelope(z: int, x: int, y: int, margin: float = 0.0) -> tuple[float, float, float, float]:
-    size = 2 * grid.WORLD_EDGE / 2**z
+    """Box of a tile, or arrays of them."""
+    size = 2 * grid.WORLD_EDGE / 2.0**z
     return size * (x - margin) - grid.WORLD_EDGE, grid.WORLD_EDGE - size * (y + 1 + margin), size * (x + 1 + margin) - grid.WORLD_EDGE, grid.WORLD_EDGE - size * (y - margin)
 
 
@@ -104,14 +105,20 @@ def tile_cover(df: DataFrame, zooms: Iterable[int], margin: float = 0.0, box: Se
     cut into blocks of 256 columns and rows, which are dealt over all tasks (the table is then read twice).  With
     `max_tiles`, such a feature raises an error."""
     edge = grid.WORLD_EDGE
-    z = F.col("z")
-    size, last = F.lit(2 * edge) / grid.power_of_two(z), grid.power_of_two(z) - 1
-    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), last).cast("int")
+    z, zooms = F.col("z"), [int(i) for i in zooms]
     x0, y0, x1, y1 = (F.col(c) for c in box)
-    low = [clamp(F.floor((x0 + edge) / size - margin).cast("double")), clamp(F.floor((edge - y1) / size - margin).cast("double"))]
-    high = [clamp(F.floor((x1 + edge) / size + margin).cast("double")), clamp(F.floor((edge - y0) / size + margin).cast("double"))]
-    spans = df.where(x0.isNotNull()).withColumn("z", F.explode(F.array(*(F.lit(int(i)) for i in zooms)))).withColumns({"__x0": low[0], "__y0": low[1], "__x1": high[0], "__y1": high[1]})
-    tiles = (F.col("__x1") - F.col("__x0") + 1).cast("long") * (F.col("__y1") - F.col("__y0") + 1)
+
+    def ends(z: Column) -> dict[str, Column]:
+        size, last = F.lit(2 * edge) / grid.power_of_two(z), grid.power_of_two(z) - 1
+        clamp = lambda c: F.least(F.greatest(F.floor(c).cast("double"), F.lit(0.0)), last).cast("int")
+        return {"__x0": clamp((x0 + edge) / size - margin), "__y0": clamp((edge - y1) / size - margin), "__x1": clamp((x1 + edge) / size + margin), "__y1": clamp((edge - y0) / size + margin)}
+
+    def number(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return (x1 - x0 + 1).cast("long") * (y1 - y0 + 1)
+
+    names = ("__x0", "__y0", "__x1", "__y1")
+    spanned = lambda rows: rows.withColumn("z", F.explode(F.array(*map(F.lit, zooms)))).withColumns(ends(z))
+    spans, tiles = spanned(df.where(x0.isNotNull())), number(*(F.col(n) for n in names))
 
     def cells(rows: DataFrame) -> DataFrame:
         end = F.col("__x1")
@@ -124,9 +131,11 @@ def tile_cover(df: DataFrame, zooms: Iterable[int], margin: float = 0.0, box: Se
         return cells(spans)
     cut = lambda a, b: F.explode(F.sequence(F.col(a), F.col(b), F.lit(256)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # a number given is not coalesced: the rows are few, what they unroll is not
-    blocks = spans.where(tiles > spread).withColumn("__bx", cut("__x0", "__x1")).withColumn("__by", cut("__y0", "__y1")).repartition(parts, *box, "z", "__bx", "__by")
-    ends = {"__x0": F.col("__bx"), "__x1": F.least(F.col("__x1"), F.col("__bx") + 255), "__y0": F.col("__by"), "__y1": F.least(F.col("__y1"), F.col("__by") + 255)}
-    return cells(spans.where(tiles <= spread)).unionByName(cells(blocks.withColumns(ends).drop("__bx", "__by")))
+    # told from the box before the zooms are unrolled, so that no other column of a small feature is made twice
+    large = reduce(Column.__or__, (number(*(ends(F.lit(i))[n] for n in names)) > spread for i in zooms), F.lit(False))
+    blocks = spanned(df.where(x0.isNotNull() & large)).where(tiles > spread).withColumn("__bx", cut("__x0", "__x1")).withColumn("__by", cut("__y0", "__y1")).repartition(parts, *box, "z", "__bx", "__by")
+    within = {"__x0": F.col("__bx"), "__x1": F.least(F.col("__x1"), F.col("__bx") + 255), "__y0": F.col("__by"), "__y1": F.least(F.col("__y1"), F.col("__by") + 255)}
+    return cells(spans.where(tiles <= spread)).unionByName(cells(blocks.withColumns(within).drop("__bx", "__by")))
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:

@@ -207,6 +207,34 @@ def test_mvt_concat_holds_every_feature(spark, tmp_path):
         assert inside <= found[name] and {i for i, _, _ in found[name]} == {i for i, b in boxes.items() if b[column] is not None}
 
 
+def test_areas_are_drawn_together_as_they_are_alone():
+    rng, areas, envelopes = np.random.default_rng(5), [], []
+    for case in range(400):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, int(rng.integers(1, 20))))
+        ring = np.stack([np.cos(angle), np.sin(angle)], 1) * rng.uniform(0.2, 3, len(angle))[:, None] * 10.0 ** rng.integers(-5, 3)
+        ring = ring[::-1] if case % 3 else ring
+        ring = np.concatenate([ring, ring[:1]]) if case % 4 else ring
+        areas.append([[ring], [ring, ring * 0.3, ring * 0.001, ring[::-1] * 0.1 + 0.2], [], [np.array([(0.0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])]][case % 7 % 4])
+        envelopes.append((*(low := rng.uniform(-1, 1, 2)), *(low + rng.uniform(0.1, 2))))
+    drawn = [mvt.to_tile((3, rings), env) for rings, env in zip(areas, envelopes, strict=True)]
+    wanted = [d and mvt.geometry_fields(d) for d in drawn]
+    assert 100 < sum(w is None for w in wanted) < 300
+    assert mvt.area_fields(areas, np.array(envelopes)) == wanted
+    assert mvt.area_fields([], np.zeros((0, 4))) == [] and mvt.area_fields([[]], np.zeros((1, 4))) == [None]
+
+
+def test_tiles_draw_areas_of_a_batch_in_one_call(spark, monkeypatch):
+    """Drawing one by one is left to points and lines; a shape is made once, not for large features again."""
+    square = geometry.write((3, [np.array([(0.0, 0), (9e4, 0), (9e4, 9e4), (0, 9e4), (0, 0)])]))
+    made = F.udf(lambda i: square, "binary")
+    boxes = spark.range(20).selectExpr("id", "id * 1e3 as xmin", "id * 1e3 as ymin", "id * 1e3 + 9e4 as xmax", "id * 1e3 + 9e4 as ymax").withColumn("wkb", made("id"))
+    plan = mvt.tiles(boxes, (6, 8), "a")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("BatchEvalPython")  # one for each of the two ways of large and small features
+    assert len(below) == 3 and "65536" in below[-1]
+    monkeypatch.setattr(mvt, "to_tile", None)  # not called for areas
+    assert mvt.area_fields([geometry.read(square)[1]] * 3, np.array([vector.envelope(8, 128, 127)] * 3))[2] is not None
+
+
 def test_geometry():
     ring = np.array([(0.0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])
     area = (3, [ring])

@@ -6,7 +6,7 @@ backpropagation; a word outside them is scored as the unknown mark times its add
 words outside.  The state runs through a document from its first word to its end.
 
 On Spark.  Word counts of all training documents are gathered in packets by word hash; each batch sends a
-word once.  Words outside the vocabulary are looked up the other way round: each document's distinct ones
+word once.  Texts are then kept as word numbers, which training and scoring read.  Words outside the vocabulary are looked up the other way round: each document's distinct ones
 go to their word's bucket, which counts them over all training documents and returns sums by document.
 The network is trained on every training document once, in `train_share` rounds, each on another
 1/`train_share` of them, dealt over trainers whose number grows with their bytes; each trains on its own documents from
@@ -88,13 +88,20 @@ class _Vocabulary:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(words)
-        self.sorted, self.number, self.counts = words[order], order + 2, counts
+        self.sorted, self.counts = words[order], counts
+        self.number = np.append(order + 2, UNKNOWN).astype(np.int32)
+        self.begin = np.searchsorted(self.sorted, np.arange(1 << 16, dtype=U) << U(48)).astype(np.int32)  # first word of each upper 16 bits
+        self.most = int(np.bincount((words >> U(48)).astype(np.int64), minlength=1).max())  # words that share them
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
-            return np.full(len(hashes), UNKNOWN)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.number[at], UNKNOWN)
+            return np.full(len(hashes), UNKNOWN, np.int32)
+        at, last = self.begin[hashes >> U(48)], len(self.sorted) - 1
+        found = np.full(len(hashes), last + 1)
+        for step in range(self.most):
+            here = np.minimum(at + step, last)
+            np.copyto(found, here, where=self.sorted[here] == hashes)
+        return self.number[found]
 
 
 def _other_packets(vocabulary, buckets: int):
@@ -155,28 +162,64 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": rows["slice"][:1], "trainer": [rows["trainer"].iloc[0] // _FAN], "tokens": [rows["tokens"].sum()], "weights": [total.tobytes()]})
 
 
+def _kind(vocabulary: _Vocabulary) -> type:
+    """The shortest type that holds the vocabulary's numbers."""
+    return np.uint16 if len(vocabulary.counts) <= 1 << 16 else np.int32
+
+
+def _numbers(batch: pa.RecordBatch, kind: type) -> list[np.ndarray]:
+    """The numbers of each document of a numbered batch."""
+    return [np.frombuffer(value.as_buffer(), kind).astype(np.int32) for value in batch.column("numbers")]
+
+
+_NUMBERED = "doc_id long, rid long, held_out boolean, size long, numbers binary"
+
+
+def _numbered(docs: DataFrame, vocabulary) -> DataFrame:
+    """docs with the numbers of each text's words and its end instead of the text, and the text's bytes and 8 more; kept,
+    so that the rounds of training and the scores read them without splitting texts again."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _kind(vocabulary.value)
+        for whole in batches:
+            _, offsets = strings(whole.column("text"))
+            for i, j in doc_chunks(offsets, 1 << 26):  # a column of bytes has 2 GB at most
+                batch = whole.slice(i, j - i)
+                hashes, first = _batch_words(batch)
+                numbers = np.insert(vocabulary.value.numbers(hashes), first[1:], END).astype(kind)
+                ends = ((first + np.arange(len(first))) * numbers.itemsize).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(numbers)])
+                columns = [batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(np.diff(offsets[i : j + 1]) + 8), held]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "held_out", "size", "numbers"])
+
+    return cut(docs.mapInArrow(run, _NUMBERED))
+
+
 def train_network(docs: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_bytes: int) -> Gru:
     """The mean of trainers' networks; docs: the training documents (rid, text)."""
-    spark = docs.sparkSession
-    share = F.pmod(F.xxhash64("rid"), F.lit(train_share)).cast("int")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    sizes = {r[0]: r[1] for r in docs.groupBy(share.alias("share")).agg(F.sum(size)).collect()}  # train_share rows at most
-    network, words = Gru(vocabulary.counts, hidden), spark.sparkContext.broadcast(vocabulary)
+    docs = docs.withColumns({"doc_id": F.col("rid"), "held_out": F.lit(False)})
+    return _trained(_numbered(docs, docs.sparkSession.sparkContext.broadcast(vocabulary)), vocabulary, hidden, train_share, trainer_bytes)
+
+
+def _trained(numbered: DataFrame, vocabulary: _Vocabulary, hidden: int, train_share: int, trainer_bytes: int) -> Gru:
+    """The network of the numbered documents that are not held out."""
+    spark = numbered.sparkSession
+    docs = numbered.where("not held_out").withColumn("share", F.pmod(F.xxhash64("rid"), F.lit(train_share)).cast("int"))
+    sizes = {r[0]: r[1] for r in docs.groupBy("share").agg(F.sum("size")).collect()}  # train_share rows at most
+    network, kind, counts = Gru(vocabulary.counts, hidden), _kind(vocabulary), spark.sparkContext.broadcast(vocabulary.counts)
     for turn in range(train_share):
         trainers = max(1, -(-sizes.get(turn, 0) // trainer_bytes))
         trainer = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(trainers)).cast("int")
-        dealt = docs.where(share == turn).repartitionById(trainers, trainer).sortWithinPartitions("rid", "text")
-        start = spark.sparkContext.broadcast(network)
+        dealt = docs.where(F.col("share") == turn).select("rid", "numbers").repartitionById(trainers, trainer).sortWithinPartitions("rid", "numbers")
+        start = spark.sparkContext.broadcast(network.flat())
 
         def train(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             stream = [np.array([END], np.int32)]
             for batch in batches:
-                hashes, first = _batch_words(batch)
-                numbers = words.value.numbers(hashes).astype(np.int32)
-                stream += [np.append(numbers[a:b], np.int32(END)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                stream += _numbers(batch, kind)
             tokens = np.concatenate(stream)
             if len(tokens) > 1:
-                own = Gru(words.value.counts, hidden).load(start.value.flat())
+                own = Gru(counts.value, hidden).load(start.value)
                 own.train(tokens)
                 parts = np.array_split(own.flat().astype(np.float64) * len(tokens), _SLICES)
                 me = np.full(_SLICES, TaskContext.get().partitionId(), np.int32)
@@ -211,23 +254,22 @@ def language_model_scores(documents: DataFrame, vocabulary: int = 4096, hidden:
     shared = spark.sparkContext.broadcast(words)
     others = docs.mapInArrow(_other_packets(shared, buckets), packets.PACKET).repartitionById(buckets, "bucket").mapInArrow(_looked_up(buckets), packets.PACKET)
     others = others.repartitionById(buckets, "bucket").mapInArrow(_summed, "__doc long, other_log double, other_known double, other_n double")
-    network = spark.sparkContext.broadcast(train_network(docs.where("not held_out"), words, hidden, train_share, trainer_bytes))
+    numbered = _numbered(docs, shared)
+    network = spark.sparkContext.broadcast(_trained(numbered, words, hidden, train_share, trainer_bytes))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_logs = np.log10(shared.value.counts + 1)
+        known_logs, kind = np.log10(shared.value.counts + 1), _kind(shared.value)
         for batch in batches:
-            hashes, first = _batch_words(batch)
-            numbers = shared.value.numbers(hashes).astype(np.int32)
-            counts = np.diff(first)
-            docs_ = [np.append(numbers[a:b], np.int32(END)) for a, b in zip(first[:-1], first[1:], strict=True)]
-            inside = numbers != UNKNOWN
-            of = np.repeat(np.arange(len(counts)), counts)
-            own = np.bincount(of[inside], minlength=len(counts))
-            base = np.bincount(of[inside], known_logs[numbers[inside]], len(counts)) + known_logs[END]
+            docs_ = _numbers(batch, kind)
+            numbers, counts = np.concatenate([*docs_, np.zeros(0, np.int32)]), np.array([len(d) - 1 for d in docs_], np.int64)
+            inside = (numbers != UNKNOWN) & (numbers != END)
+            of = np.repeat(np.arange(len(counts)), counts + 1)[inside]
+            own = np.bincount(of, minlength=len(counts))
+            base = np.bincount(of, known_logs[numbers[inside]], len(counts)) + known_logs[END]
             columns = [batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(counts + 1), pa.array(own + (ends > 0)), pa.array(counts - own), pa.array(base), pa.array(network.value.score(docs_))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "held_out", "n_tokens", "known", "n_other", "base", "model"])
 
-    scored = docs.mapInArrow(score, "doc_id long, rid long, held_out boolean, n_tokens long, known long, n_other long, base double, model double")
+    scored = numbered.mapInArrow(score, "doc_id long, rid long, held_out boolean, n_tokens long, known long, n_other long, base double, model double")
     joined = scored.join(others, F.col("rid") == F.col("__doc"), "left")
     share = F.coalesce(F.col("n_other") / F.when(F.col("other_n") > 0, F.col("other_n")), F.lit(0.0))
     joined = joined.withColumn("logs", F.coalesce(F.col("other_log") * share, F.lit(0.0))).withColumn("more", F.coalesce(F.round(F.col("other_known") * share).cast("long"), F.lit(0)))

@@ -328,6 +328,51 @@ def test_gru_gradients_match_differences():
             assert abs((up - down) / 2e-4 - g[name][at]) < 1e-4
 
 
+def test_gru_gradients_match_differences_in_classes_of_every_size():
+    rng = np.random.default_rng(8)
+    model = gru.Gru(1000.0 / np.arange(1, 101), hidden=4, per_class=8)
+    assert model.sizes.tolist() == [1, 3, 4, *[8] * 7, *[16] * 3]  # the more frequent, the smaller
+    for n in ("inputs", "u", "bias", "class_w", "class_b", "word_w", "word_b"):
+        setattr(model, n, getattr(model, n).astype(np.float64) * 3 + 0.05)
+    tokens, targets = rng.integers(0, 100, (9, 30)), rng.integers(0, 100, (9, 30))
+    _, g, _ = model.gradients(tokens, targets, rng.standard_normal((30, 4)) * 0)
+    for name, at in [*(("word_w", (c, 2, int(model.sizes[c]) - 1)) for c in range(len(model.sizes))), *(("word_b", (c, 0)) for c in range(len(model.sizes))), ("class_w", (1, 2)), ("class_b", (12,)), ("inputs", (int(tokens[3, 3]), 5)), ("u", (3, 7)), ("bias", (9,))]:
+        values = getattr(model, name)
+        old, found = values[at], []
+        for step in (1e-4, -1e-4):
+            values[at] = old + step
+            found.append(model.gradients(tokens, targets, np.zeros((30, 4)))[0])
+        values[at] = old
+        assert abs((found[0] - found[1]) / 2e-4 - g[name][at]) < 1e-6, name
+
+
+def test_gru_class_sizes_make_one_distribution():
+    model = gru.Gru(1000.0 / np.arange(1, 101), hidden=4, per_class=8)
+    model.class_b[:], model.word_b[:] = -70, 3  # far-off logits too
+    states = np.random.default_rng(9).uniform(-1, 1, (3, 4)).astype(np.float32)
+    every = np.arange(int(model.sizes.sum()))
+    for state in states:
+        assert abs(np.exp(model.log_probs(np.tile(state, (len(every), 1)), every, part=32).astype(np.float64)).sum() - 1) < 1e-5
+
+
+def test_gru_windows_ask_for_little_memory(monkeypatch):
+    grown, gradients = [], gru.Gru.gradients
+
+    def traced(self, tokens, targets, h):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        found = gradients(self, tokens, targets, h)
+        grown.append(tracemalloc.get_traced_memory()[1] - before)
+        return found
+
+    monkeypatch.setattr(gru.Gru, "gradients", traced)
+    stream = np.random.default_rng(5).integers(0, 4096, 6 * 2048 + 1).astype(np.int32)
+    tracemalloc.start()
+    gru.Gru(1e6 / np.arange(1, 4097), hidden=24).train(stream, least_updates=6)
+    tracemalloc.stop()
+    assert len(grown) == 6 and max(grown[1:]) < 2.5e6  # all of a window's arrays: 8 MB
+
+
 def test_gru_scores_do_not_depend_on_windows_or_groups():
     rng = np.random.default_rng(4)
     model = gru.Gru(np.arange(1, 30.0), hidden=8, per_class=6)
@@ -384,6 +429,26 @@ def test_every_training_document_reaches_the_network(spark):
     assert (inputs != start).any(axis=1)[vocabulary.numbers(hashes[::2])].all()
 
 
+def test_vocabulary_numbers_of_hashes_with_equal_upper_bits():
+    rng = np.random.default_rng(2)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 300, np.uint64), (np.uint64(0xFFFF) << np.uint64(48)) + rng.integers(0, 1 << 40, 20, np.uint64), rng.integers(0, 9, 5, np.uint64)]))
+    rng.shuffle(hashes)
+    vocabulary = lm_score._Vocabulary(hashes[:200], np.ones(202))
+    number = {h: i + 2 for i, h in enumerate(hashes[:200].tolist())}
+    assert vocabulary.numbers(hashes).tolist() == [number.get(h, gru.UNKNOWN) for h in hashes.tolist()]
+    assert lm_score._Vocabulary(hashes[:0], np.ones(2)).numbers(hashes[:2]).tolist() == [gru.UNKNOWN] * 2
+
+
+def test_numbered_texts_are_words_and_ends(spark):
+    values = ["a b  c", None, "", "c zz\na", "É a"]
+    hashes, _ = lm_score._batch_words(pa.RecordBatch.from_pydict({"text": ["a", "b", "c"]}))
+    shared = spark.sparkContext.broadcast(lm_score._Vocabulary(hashes, np.ones(5)))
+    docs = spark.createDataFrame([(i, i, False, v) for i, v in enumerate(values)], "doc_id long, rid long, held_out boolean, text string")
+    got = {r.doc_id: (r.size, np.frombuffer(r.numbers, np.uint16).tolist()) for r in lm_score._numbered(docs, shared).collect()}
+    assert got == {0: (14, [2, 3, 4, 0]), 1: (8, [0]), 2: (8, [0]), 3: (14 - 2 + 0, [4, 1, 2, 0]), 4: (12, [1, 2, 0])} or got[3][0] == len("c zz\na") + 8
+    assert [got[i][1] for i in range(5)] == [[2, 3, 4, 0], [0], [0], [4, 1, 2, 0], [1, 2, 0]]
+
+
 def test_lm_scores_against_brute_force(spark):
     rng = random.Random(12)
     patterned = [" ".join("red green blue yellow".split()[(i + j) % 4] for j in range(rng.randint(5, 60))) for i in range(120)]

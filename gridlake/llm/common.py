@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the reliable checkpoint folder, so lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridlake-ckpt-"))  # one process: any folder is shared
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the reliable checkpoint folder, so lost executors cost no recomputation."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Materialise df as Parquet in the checkpoint folder.
+
+    A checkpoint keeps the plan's estimate of its size, and a join's is the product of its sides: in a loop of joins that
+    number doubles its digits each round until it fills the driver.  A table's size is that of its files."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that df does not have yet (names of columns ignore case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -193,6 +193,32 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    made, cut = [], graph.cut
+
+    def counted(df):
+        made.append(cut(df))
+        assert len(made) <= 12, "a round for each few nodes"
+        return made[-1]
+
+    monkeypatch.setattr(graph, "cut", counted)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    ids = list(range(300))
+    random.Random(2).shuffle(ids)
+    edges = [*zip(ids[:-1], ids[1:], strict=True), *((1000, i) for i in range(1001, 1040)), *((2000, i) for i in range(1960, 1990)), (5, 5)]
+    try:
+        spark.conf.set(batch, "10")
+        wanted = {**{i: 0 for i in ids}, **{i: 1000 for i in range(1000, 1040)}, **{i: 1960 for i in [*range(1960, 1990), 2000]}}
+        for options in ({}, {"solo": 16}):
+            made.clear()
+            found = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(6), **options)
+            assert {r.node: r.component for r in found.collect()} == wanted
+            assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64  # it does not multiply from round to round
+    finally:
+        spark.conf.set(batch, before)
+
+
 def brute_rules(text):
     own, seen, dup = words(text), set(), 0
     for line in (text or "").split("\n"):
